@@ -1,6 +1,6 @@
 """Registered queries by family; importing this package fills the registry."""
 
-from chronoloom.plans import interval_queries, relational_queries
+from chronoloom.plans import evaluation_queries, interval_queries, relational_queries
 from chronoloom.plans.registry import ORACLE_SQL, QUERIES
 
-__all__ = ["ORACLE_SQL", "QUERIES", "interval_queries", "relational_queries"]
+__all__ = ["ORACLE_SQL", "QUERIES", "evaluation_queries", "interval_queries", "relational_queries"]
