@@ -45,7 +45,7 @@ def punctuation(text: Column) -> Column:
 def sentences(text: Column) -> Column:
     """Pieces that end at a terminator or a line's end, trimmed, those with letters or digits only."""
     cut = F.split(text, r"[.?!。！？\n]")
-    return F.filter(F.transform(cut, F.trim), lambda s: s.rlike(r"[\p{L}\p{N}]"))
+    return F.filter(F.transform(cut, lambda s: F.trim(s)), lambda s: s.rlike(r"[\p{L}\p{N}]"))
 
 
 def pairs_balanced(text: Column) -> Column:
@@ -76,15 +76,6 @@ def occurrences(text: Column, part: Column) -> Column:
     return F.when(F.length(part) > 0, count).otherwise(0).cast("long")
 
 
-def repeated_suffix(tokens: Column, times: int = 4) -> Column:
-    """The shortest period of which the last tokens are `times` repetitions; null if there is none."""
-    n = F.size(tokens)
-    tail = lambda w: F.slice(tokens, n - w * times + 1, w * (times - 1))
-    shifted = lambda w: F.slice(tokens, n - w * (times - 1) + 1, w * (times - 1))
-    widths = F.when(n >= times, F.sequence(F.lit(1), F.floor(n / times).cast("int"))).otherwise(F.array().cast("array<int>"))
-    return F.array_min(F.filter(widths, lambda w: tail(w) == shifted(w)))
-
-
 def redacted(text: Column) -> Column:
     return F.regexp_replace(text, SECRET, "[REDACTED]")
 
