@@ -8,7 +8,7 @@ import heapq
 import unicodedata
 from collections.abc import Iterator
 from functools import cache
-from itertools import chain
+from itertools import chain, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -239,7 +239,7 @@ class BytePairs:
         cuts = np.flatnonzero(piece_starts(codes, first)) if len(codes) else np.zeros(0, np.int64)
         bounds = np.searchsorted(cuts, np.append(begin, len(codes))).tolist()
         starts = cuts.tolist()
-        pieces = [joined[a:b] for a, b in zip(starts, [*starts[1:], len(codes)], strict=True)]
+        pieces = [joined[a:b] for a, b in pairwise([*starts, len(codes)])]
         known = self.known
         new = list({p for p in pieces if p not in known})
         if new:

@@ -126,24 +126,44 @@ def learn_weights(counts: dict[tuple[str, bool], int]) -> dict[str, float]:
     return out
 
 
-def _beside(kinds: list[str], weights: dict[str, float]) -> bool:
-    named = (weights.get(k, BESIDE if k in ASIDE_TAGS or k[0] == "." and k[1:] in ASIDE_NAMES else 0.0) for k in kinds)
-    return any(w < 0 for w in named)
+def _is_aside(kind: str, weights: dict[str, float]) -> bool:
+    """By the learned weights, else by the fixed lists."""
+    return weights.get(kind, BESIDE if kind in ASIDE_TAGS or kind[0] == "." and kind[1:] in ASIDE_NAMES else 0.0) < 0
+
+
+def _word_weights(parts: list[tuple[str, str, list[str]]], weights: dict[str, float]) -> list[float]:
+    """What a word counts at each token: WORD in content, 0 beside it but inside the element that labels the content, else BESIDE.
+
+    On a page that labels its content, all other words are beside it; a header inside the content belongs to it.
+    """
+    labelled = any(k in CONTENT for _, _, kinds in parts for k in kinds)
+    out = []
+    for _, _, kinds in parts:
+        inside = next((i for i, k in enumerate(kinds) if k in CONTENT), None)
+        named = any(
+            _is_aside(k, weights)
+            for i, k in enumerate(kinds)
+            if not (k == "header" and inside is not None and i > inside)
+        )
+        lies = named or labelled and inside is None
+        around = any(_is_aside(k, weights) for k in kinds[: inside or 0])
+        out.append(WORD if not lies else 0.0 if inside is not None and not around else BESIDE)
+    return out
 
 
 def main_text(page: str | None, weights: dict[str, float]) -> str:
     """The blocks of the best-scoring run, one a line; the empty string for a page without such words.
 
-    Words of content count WORD each, tags their weight, words beside the content BESIDE. One scan keeps the best run
+    Words count as _word_weights says, tags their weight. One scan keeps the best run
     that ends at each token and the best of all; of equal ones the first. Within it, elements beside the
     content are left out.
     """
     parts = annotate(page or "")
-    beside = [_beside(kinds, weights) for _, _, kinds in parts]
+    word = _word_weights(parts, weights)
     best, span, score, start = 0.0, (0, 0), 0.0, 0
     for i, (what, value, _) in enumerate(parts):
         if what == "text":
-            score += len(html.unescape(value).split()) * (BESIDE if beside[i] else WORD)
+            score += len(html.unescape(value).split()) * word[i]
         else:
             score += weights.get(f"<{value}", TAG_BOUNDS[1]) if what == "open" else TAG_BOUNDS[1]
         if score > best:
@@ -151,14 +171,14 @@ def main_text(page: str | None, weights: dict[str, float]) -> str:
         if score <= 0:
             score, start = 0.0, i + 1
     blocks, block = [], []
-    for (what, value, _), off in zip(parts[slice(*span)], beside[slice(*span)], strict=True):
+    for (what, value, _), counts in zip(parts[slice(*span)], word[slice(*span)], strict=True):
         if what != "text":
             if value in BLOCK:
                 blocks.append(block)
                 block = []
             elif value == "br":
                 block.append(" ")
-        elif not off:
+        elif counts > 0:
             block.append(value)
     lines = (" ".join(html.unescape("".join(b)).split()) for b in [*blocks, block])
     return "\n".join(line for line in lines if line)

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import cache
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -188,8 +189,8 @@ def read_stream(media: bytes) -> dict:
     units, parts = [], []
     for x in sorted({s["pid"] for program in programs for s in program["streams"]}):
         at = of.get(x, np.zeros(0, np.int64))
-        heads = np.flatnonzero(start[at])
-        for h, end in zip(heads, [*heads[1:], len(at)], strict=True):
+        heads = np.flatnonzero(start[at]).tolist()
+        for h, end in pairwise([*heads, len(at)]):
             own = at[h:end]
             body = p[own][np.arange(PACKET)[None, :] >= begin[own][:, None]].tobytes()
             if len(body) < 9 or body[:3] != b"\x00\x00\x01":
