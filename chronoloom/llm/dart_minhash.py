@@ -153,15 +153,21 @@ def _text_cells(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         yield _lists(np.concatenate(found), np.concatenate(lengths))
 
 
-def _stars(buckets: DataFrame) -> DataFrame:
-    """Candidate pairs: each member of a bucket with the bucket's centres.
+#: Parts that the texts of candidate pairs are dealt into; a text's cells are sent to a part once, however many of its pairs lie there.
+PARTS = 128
 
-    buckets: (key, node). A bucket's first centre is its member that meets the most others over all
-    its buckets, which in a large group of near copies is the one most of them are close to; the second
-    is a random one. Thus a bucket of n gives 2n pairs at most.
+
+def _live(buckets: DataFrame) -> DataFrame:
+    """(key, node, members): the buckets that hold two nodes or more."""
+    return buckets.join(buckets.groupBy("key").agg(F.count("*").alias("members")).filter("members > 1"), "key")
+
+
+def _stars(live: DataFrame) -> DataFrame:
+    """First candidate pairs: each member of a bucket with the bucket's centres.
+
+    A bucket's first centre is its member that meets the most others over all its buckets, which in a large group of
+    near copies is the one most of them are close to; the second is a random one. Thus a bucket of n gives 2n pairs at most.
     """
-    sizes = buckets.groupBy("key").agg(F.count("*").alias("members")).filter("members > 1")
-    live = cut_lineage(buckets.join(sizes, "key"))
     met = live.groupBy("node").agg(F.sum("members").alias("met"))
     centre = live.join(met, "node").groupBy("key").agg(
         F.max_by("node", F.struct("met", -F.col("node"))).alias("hub"), F.min_by("node", F.struct(F.xxhash64("key", "node"), "node")).alias("other")
@@ -172,21 +178,46 @@ def _stars(buckets: DataFrame) -> DataFrame:
     return pairs.distinct()
 
 
-def near_links(docs: DataFrame, nodes: DataFrame, similar: float, key: str, text: str) -> DataFrame:
-    """(a, b, similarity) of the candidate pairs whose exact weighted Jaccard similarity is at least `similar`.
+def _across(live: DataFrame, components: DataFrame, sizes: DataFrame, similar: float) -> DataFrame:
+    """All pairs of a bucket's members that are in different components and whose sizes (node, n) let them be `similar`."""
+    state = live.select("key", "node").join(components, "node", "left").join(sizes, "node").withColumn("component", F.coalesce("component", "node"))
+    parts = state.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low != high").select("key")
+    open_ = cut_lineage(state.join(parts, "key", "left_semi"))
+    left, right = (open_.select("key", *(F.col(c).alias(f"{c}_{side}") for c in ("node", "component", "n"))) for side in "ab")
+    met = left.join(right, "key").filter("node_a < node_b and component_a != component_b")
+    met = met.filter(F.least("n_a", "n_b") / F.greatest("n_a", "n_b") >= similar)
+    return met.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
+
+
+def _measured(pairs: DataFrame, sets: DataFrame, similar: float) -> DataFrame:
+    """The pairs (a, b) whose weighted Jaccard similarity is at least `similar`; pairs meet cells in parts by a, so no cells move once a pair."""
+    part = lambda c: F.pmod(F.xxhash64(c), F.lit(PARTS))
+    dealt = pairs.select("a", "b", part("a").alias("part"))
+    left = sets.select(F.col("node").alias("a"), F.col("cells").alias("left"), part("node").alias("part"))
+    right = dealt.select("part", "b").distinct().join(sets.select(F.col("node").alias("b"), F.col("cells").alias("right")), "b")
+    dealt, left, right = (x.repartition(PARTS, "part") for x in (dealt, left, right))
+    shared = F.size(F.array_intersect("left", "right"))  # cells are distinct but for a chance hash
+    joined = dealt.join(right, ["part", "b"]).join(left, ["part", "a"])
+    return joined.filter(shared / (F.size("left") + F.size("right") - shared) >= similar).select("a", "b")
+
+
+def near_links(docs: DataFrame, nodes: DataFrame, similar: float, key: str, text: str) -> tuple[DataFrame, DataFrame]:
+    """Links (a, b) of pairs whose exact weighted Jaccard similarity is at least `similar`, and components (node, component).
 
-    Every pair comes from the stars of the buckets, so their number grows with the bands, not with the square of a
-    bucket. A text is linked to its group if it is close to the centre of one of the buckets that it shares with it.
+    The buckets' stars link most of a group. Then every pair of a bucket that lies across two components is measured, so two
+    texts that share a band are in one component if they are similar. The second step grows with the square of a bucket
+    whose members stay apart.
     """
-    buckets = nodes.select("node", F.explode("bands").alias("key"))
-    pairs = cut_lineage(_stars(buckets))
-    involved = if_small(cut_lineage(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()))
+    docs.sparkSession.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
+    live = cut_lineage(_live(nodes.select("node", F.explode("bands").alias("key"))))
+    involved = if_small(cut_lineage(live.select("node").distinct()))
     texts = docs.select(F.col(key).alias("node"), F.col(text).alias("text")).join(involved, "node", "left_semi")
     sets = cut_lineage(texts.select("node", text_cells(F.col("text")).alias("cells")).dropDuplicates(["node"]))
-    joined = pairs.join(sets.select(F.col("node").alias("b"), F.col("cells").alias("right")), "b").join(sets.select(F.col("node").alias("a"), F.col("cells").alias("left")), "a")
-    shared = F.size(F.array_intersect("left", "right"))
-    measured = joined.select("a", "b", (shared / (F.size("left") + F.size("right") - shared)).alias("similarity"))
-    return measured.filter(F.col("similarity") >= similar)
+    stars = cut_lineage(_stars(live))
+    links = cut_lineage(_measured(stars, sets, similar))
+    across = _across(live, connected_components(links), sets.select("node", F.size("cells").alias("n")), similar)
+    links = links.unionByName(cut_lineage(_measured(cut_lineage(across.join(stars, ["a", "b"], "left_anti")), sets, similar)))
+    return links, connected_components(links)
 
 
 def near_duplicates(docs: DataFrame, *, similar: float = SIMILAR, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -204,8 +235,7 @@ def near_duplicates(docs: DataFrame, *, similar: float = SIMILAR, key: str = "do
     hashed = cut_lineage(hashed)
     grouped = hashed.filter("_key is not null and size(bands) > 0")
     nodes = cut_lineage(grouped.groupBy("a", "b").agg(F.min("_key").alias("node"), F.count("*").alias("copies"), F.first("bands").alias("bands")))
-    links = cut_lineage(near_links(docs, nodes.select("node", "bands"), similar, key, text))
-    found = connected_components(links.select("a", "b"))
+    links, found = near_links(docs, nodes.select("node", "bands"), similar, key, text)
     ends = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("links"))
     classes = nodes.select("a", "b", "node", "copies").join(found.join(ends, "node"), "node", "left")
     classes = cut_lineage(classes.select("a", "b", F.coalesce("component", "node").alias("class_id"), "copies", F.coalesce("links", F.lit(0).cast("long")).alias("links")))

@@ -84,6 +84,21 @@ def test_large_group_of_near_copies(spark):
     assert got == classes(rows)
 
 
+def test_large_group_without_a_centre(spark):
+    rng = random.Random(6)
+    base, rows = [f"w{i}" for i in range(150)], []
+    for i in range(120):  # twins change the same three places, so they are at 0.81; others share their buckets at about 0.66
+        places = [5 + rng.randrange(8) * 5 + 45 * j for j in range(3)]
+        for twin in (0, 1):
+            w = list(base)
+            for at in places:
+                w[at] = f"n{i}x{twin}x{at}"
+            rows.append((2 * i + twin, " ".join(w)))
+    want = classes(rows)
+    got = {r["doc_id"]: r["class_id"] for r in dart_minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert len(set(want.values())) > 1 and got == want
+
+
 def test_hard_rows(hard, none):
     rows = dart_minhash.near_duplicates(hard).collect()
     assert len(rows) == hard.count()
