@@ -32,6 +32,8 @@ ASIDE_NAMES = {
     "masthead", "menu", "modal", "nav", "navbar", "navigation", "newsletter", "notice", "popup", "promo", "promoted", "related", "respond", "share", "sharing", "sidebar", "social",
     "sponsor", "sponsored", "subscribe", "toolbar", "widget",
 }
+#: Parts of names that tell of a layout around the content ("has-sidebar"), and tags that may wrap a whole page. Fixed values.
+LAYOUT_NAMES, WRAPPERS = {"has", "have", "with", "without", "no", "layout"}, {"html", "body"}
 #: Weights: of a word of content, bounds of a tag's, of a word beside the content; and what outweighs a count of none.
 WORD, TAG_BOUNDS, BESIDE, PSEUDO = 1.0, (-2.0, -0.1), -3.0, 1.0
 
@@ -40,6 +42,12 @@ _NAMES = re.compile(r"(?:^|\s)(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|
 _PARTS = re.compile(r"[^a-z0-9]+")
 
 
+def _name_parts(name: str) -> list[str]:
+    """The parts of a name; none of one that tells of a layout."""
+    parts = [p for p in _PARTS.split(name) if p]
+    return [] if LAYOUT_NAMES & set(parts) else parts
+
+
 def tokens(page: str) -> Iterator[tuple[str, str, tuple[str, ...]]]:
     """("open", tag, name parts), ("close", tag, ()) and ("text", text, ()) in page order; what isn't shown is left out."""
     at, skip = 0, None
@@ -65,7 +73,7 @@ def tokens(page: str) -> Iterator[tuple[str, str, tuple[str, ...]]]:
                 end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
                 at = end.end() if end else len(page)
         else:
-            parts = tuple(p for groups in _NAMES.findall(attributes) for value in groups if value for p in _PARTS.split(value.lower()) if p) if "=" in attributes else ()
+            parts = tuple(p for groups in _NAMES.findall(attributes) for value in groups for name in value.lower().split() for p in _name_parts(name)) if "=" in attributes else ()
             yield "open", tag, parts
     if at < len(page) and skip is None:
         yield "text", page[at:], ()
@@ -76,29 +84,63 @@ def _kinds(tag: str, parts: tuple[str, ...]) -> list[str]:
     return [*([tag] if tag in ASIDE_TAGS | CONTENT else []), *(f".{p}" for p in parts)]
 
 
-def annotate(page: str) -> list[tuple[str, str, list[str]]]:
-    """Each token with the kinds of all elements that are open at it."""
-    open_tags: list[tuple[str, list[str]]] = []
-    out = []
+def annotate(page: str) -> list[tuple[str, str, list[str], int | None]]:
+    """Each token with the kinds of all elements that are open at it, and where in them the element that labels the content is.
+
+    The names of html, body and an element that holds most of the page's words (and its first h1, if there is one) don't
+    count, nor that such an element is a form: it lies around the content. A content element labels if neither it
+    nor an element around it is named or tagged as an aside by the fixed lists; around main, names don't count.
+    """
+    tags: list[str] = []
+    kinds: list[list[str]] = []
+    above: list[tuple[int, ...]] = []
+    words: list[int] = []
+    path: tuple[int, ...] = ()
+    out: list[tuple[str, str, tuple[int, ...]]] = []
+    title: tuple[int, ...] | None = None
     for what, value, parts in tokens(page):
         if what == "open":
-            if value == "p" and open_tags and open_tags[-1][0] == "p":
-                open_tags.pop()
-            kinds = _kinds(value, parts)
+            if value == "p" and path and tags[path[-1]] == "p":
+                path = path[:-1]
+            if value == "h1" and title is None:
+                title = path
             if value not in VOID:
-                open_tags.append((value, kinds))
-        elif what == "close" and any(t == value for t, _ in open_tags):
-            while open_tags.pop()[0] != value:
-                pass
-        out.append((what, value, [k for _, kinds in open_tags for k in kinds]))
-    return out
+                path = (*path, len(tags))
+                tags.append(value)
+                kinds.append(_kinds(value, parts))
+                above.append(path)
+                words.append(0)
+        elif what == "close":
+            at = next((i for i in range(len(path) - 1, -1, -1) if tags[path[i]] == value), None)
+            path = path if at is None else path[:at]
+        else:
+            n = len(value.split())
+            for e in path:
+                words[e] += n
+        out.append((what, value, path))
+    total = sum(len(value.split()) for what, value, _ in out if what == "text")
+    mains = {e for e, tag in enumerate(tags) if tag == "main" for e in above[e][:-1]}
+    for e, tag in enumerate(tags):
+        if tag in WRAPPERS or e in mains or (2 * words[e] > total and (title is None or e in title)):
+            kinds[e] = [k for k in kinds[e] if k[0] != "." and k != "form"]
+    aside = [any(_is_aside(k, {}) for k in ks) for ks in kinds]
+    labels = {e for e, tag in enumerate(tags) if tag in CONTENT and not any(aside[x] for x in above[e])}
+    known: dict[tuple[int, ...], tuple[list[str], int | None]] = {}
+    for _, _, path in out:
+        if path not in known:
+            first = next((i for i, e in enumerate(path) if e in labels), None)
+            known[path] = [k for e in path for k in kinds[e]], None if first is None else sum(len(kinds[e]) for e in path[:first])
+    return [(what, value, *known[path]) for what, value, path in out]
 
 
 def count_page(page: str) -> Counter[tuple[str, bool]]:
-    """(feature, inside): words by kind of element and tags, inside and outside of the element that labels the content."""
+    """(feature, inside): words by kind of element and tags, inside and outside of the element that labels the content, if one does."""
     out: Counter[tuple[str, bool]] = Counter()
-    for what, value, kinds in annotate(page):
-        inside = any(k in CONTENT for k in kinds)
+    parts = annotate(page)
+    if all(label is None for *_, label in parts):
+        return out
+    for what, value, kinds, label in parts:
+        inside = label is not None
         if what == "text":
             n = len(value.split())
             out["word", inside] += n
@@ -131,15 +173,14 @@ def _is_aside(kind: str, weights: dict[str, float]) -> bool:
     return weights.get(kind, BESIDE if kind in ASIDE_TAGS or kind[0] == "." and kind[1:] in ASIDE_NAMES else 0.0) < 0
 
 
-def _word_weights(parts: list[tuple[str, str, list[str]]], weights: dict[str, float]) -> list[float]:
+def _word_weights(parts: list[tuple[str, str, list[str], int | None]], weights: dict[str, float]) -> list[float]:
     """What a word counts at each token: WORD in content, 0 beside it but inside the element that labels the content, else BESIDE.
 
     On a page that labels its content, all other words are beside it; a header inside the content belongs to it.
     """
-    labelled = any(k in CONTENT for _, _, kinds in parts for k in kinds)
+    labelled = any(label is not None for *_, label in parts)
     out = []
-    for _, _, kinds in parts:
-        inside = next((i for i, k in enumerate(kinds) if k in CONTENT), None)
+    for _, _, kinds, inside in parts:
         named = any(
             _is_aside(k, weights)
             for i, k in enumerate(kinds)
@@ -161,7 +202,7 @@ def main_text(page: str | None, weights: dict[str, float]) -> str:
     parts = annotate(page or "")
     word = _word_weights(parts, weights)
     best, span, score, start = 0.0, (0, 0), 0.0, 0
-    for i, (what, value, _) in enumerate(parts):
+    for i, (what, value, *_) in enumerate(parts):
         if what == "text":
             score += len(html.unescape(value).split()) * word[i]
         else:
@@ -171,7 +212,7 @@ def main_text(page: str | None, weights: dict[str, float]) -> str:
         if score <= 0:
             score, start = 0.0, i + 1
     blocks, block = [], []
-    for (what, value, _), counts in zip(parts[slice(*span)], word[slice(*span)], strict=True):
+    for (what, value, *_), counts in zip(parts[slice(*span)], word[slice(*span)], strict=True):
         if what != "text":
             if value in BLOCK:
                 blocks.append(block)

@@ -43,3 +43,29 @@ def test_hard_rows(spark):
     assert len(got) == 5 and sorted(len(r["text"]) for r in got)[:2] == [0, 0] and max(len(r["text"]) for r in got) == 249_999
     none = pages.limit(0)
     assert he.fit_weights(none) == {} and he.with_main_text(none, {}).count() == 0
+
+
+WORDS = " ".join(f"story{i}" for i in range(60))
+
+
+def test_names_around_the_content():
+    beside = '<div class="sidebar"><p>Read these other things as well, there are many of them here today.</p></div>'
+    weights = he.learn_weights(he.count_page(f"<body>{beside}<article><p>{WORDS}</p></article></body>"))
+    assert weights[".sidebar"] < 0
+    for story in (f"<article><p>{WORDS}</p></article>", f"<div><p>{WORDS}</p></div>", f"<main><p>{WORDS}</p></main>"):
+        for around in ('<body class="has-sidebar">', '<body class="sidebar header">', '<body><div id="page" class="with-sidebar">', '<body><div class="widget">', "<body><form>"):
+            for learned in ({}, weights):
+                assert he.main_text(f"{around}{story}{beside}", learned) == WORDS
+
+
+def test_articles_that_are_asides():
+    comments = "".join(f'<article class="comment"><p>Comment {i} says that it likes this very much.</p></article>' for i in range(3))
+    for below in (comments, f'<div id="comments">{comments.replace(" class=", " data-x=")}</div>'):
+        page = f'<body><div class="story"><h1>Head</h1><p>{WORDS}</p></div>{below}</body>'
+        assert he.count_page(page) == {}
+        assert he.main_text(page, {}) == f"Head\n{WORDS}"
+
+
+def test_long_comments_are_not_the_content():
+    page = f'<body><div class="story"><h1>Head</h1><p>{WORDS}</p></div><div class="comments"><p>{"reply " * 500}</p></div></body>'
+    assert he.main_text(page, {}) == f"Head\n{WORDS}"
