@@ -70,7 +70,7 @@ def speaker_tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
 def window_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Turns as segments of windows that overlap; a turn is in two of them."""
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text").filter("text is not null")
-    twice = turns.withColumn("window", F.explode(F.array(F.floor(F.col("turn") / 2), F.floor((F.col("turn") + 1) / 2))))
+    twice = turns.withColumn("window", F.explode(F.array(F.col("turn"), F.col("turn") + 1)))
     seen = twice.select("conv_id", "window", (F.col("turn") * 1000).alias("start"), (F.col("turn") * 1000 + 900).alias("end"), "text", F.lit(0.5).alias("score"))
     return stitching.drop_window_duplicates(seen, "conv_id").groupBy("conv_id").agg(F.count("*").alias("segments"), F.sum(F.length("text")).alias("chars"))
 
