@@ -145,7 +145,7 @@ def exports(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").withColumn("n", F.row_number().over(Window.partitionBy("conv_id").orderBy("turn")).cast("long"))
     cues = turns.select("conv_id", "n", ((F.col("n") * 2 - 2) * 16000).alias("start"), (F.col("n") * 32000).alias("end"), F.concat("role", F.lit(": "), "text").alias("text"))
     srt, plain = render_srt(cues, "conv_id"), render_text(cues, "conv_id")
-    counts = cues.groupBy("conv_id").agg(F.count("*").alias("cues")).filter("cues < 30")
+    counts = cues.groupBy("conv_id").agg(F.count("*").alias("cues"))
     return counts.join(srt.select("conv_id", F.md5("content").alias("srt")), "conv_id").join(plain.select("conv_id", F.md5("content").alias("txt")), "conv_id")
 
 

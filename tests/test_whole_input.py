@@ -24,3 +24,14 @@ def test_each_turn_stays_once(spark, wide):
     folder, turns, _ = wide
     got = {r["conv_id"]: (r["segments"], r["chars"]) for r in plans.QUERIES["window_duplicates"](spark, folder).collect()}
     assert got == {k: (len(own := {(t, x) for c, t, _, x in turns if c == k}), sum(len(x) for _, x in own)) for k in "abc"}
+
+
+def test_long_conversations_are_exported(spark, wide):
+    folder, turns, _ = wide
+    clock = lambda s: f"{s // 3600:02}:{s // 60 % 60:02}:{s % 60:02},000"
+    want = {}
+    for k in "abc":
+        own = [f"{role}: {x}" for c, _, role, x in turns if c == k]
+        srt = "\n\n".join(f"{n}\n{clock(2 * n - 2)} --> {clock(2 * n)}\n{x}" for n, x in enumerate(own, 1))
+        want[k] = (len(own), hashlib.md5(srt.encode()).hexdigest(), hashlib.md5(("\n\n".join(own) + "\n").encode()).hexdigest())
+    assert {r["conv_id"]: (r["cues"], r["srt"], r["txt"]) for r in plans.QUERIES["exports"](spark, folder).collect()} == want
