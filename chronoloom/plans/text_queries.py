@@ -103,7 +103,7 @@ def redaction(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT doc_id, length(regexp_replace(text, '\\p{P}', '', 'g')) AS off, length(text) - len(regexp_extract_all(text, '\\p{P}')) + len(regexp_extract_all(text, '[.?!]')) AS sentence_end FROM documents WHERE NOT regexp_matches(text, '[。！？]')")
 def punctuation_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
     size = lambda mode: F.length(texts.punctuated(F.col("text"), mode)).cast("long").alias(mode)
-    return documents(spark, sf_dir).filter(~F.col("text").rlike("[。！？]")).select("doc_id", size("off"), size("sentence_end"))
+    return documents(spark, sf_dir).select("doc_id", size("off"), size("sentence_end"))
 
 
 @query(

@@ -35,3 +35,10 @@ def test_long_conversations_are_exported(spark, wide):
         srt = "\n\n".join(f"{n}\n{clock(2 * n - 2)} --> {clock(2 * n)}\n{x}" for n, x in enumerate(own, 1))
         want[k] = (len(own), hashlib.md5(srt.encode()).hexdigest(), hashlib.md5(("\n\n".join(own) + "\n").encode()).hexdigest())
     assert {r["conv_id"]: (r["cues"], r["srt"], r["txt"]) for r in plans.QUERIES["exports"](spark, folder).collect()} == want
+
+
+def test_wide_marks_are_counted(spark, wide):
+    folder, _, docs = wide
+    mark = lambda c: unicodedata.category(c)[0] == "P"
+    want = {k: (None, None) if x is None else (sum(not mark(c) for c in x), sum(not mark(c) or bool(re.match("[.?!。！？]", c)) for c in x)) for k, x in docs}
+    assert {r["doc_id"]: (r["off"], r["sentence_end"]) for r in plans.QUERIES["punctuation_modes"](spark, folder).collect()} == want
