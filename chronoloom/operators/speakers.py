@@ -1,4 +1,4 @@
-"""Speaker labels on a timeline: diarization errors, constraints from overlap, tracking over windows."""
+"""Speaker labels on a timeline: diarization errors."""
 
 from __future__ import annotations
 
