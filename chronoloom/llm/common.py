@@ -13,8 +13,8 @@ from chronoloom.session import ship
 SPACE_CLASS = r"[\x20\x09-\x0D]+"
 WORD_CLASS = r"[^\x20\x09-\x0D]+"
 
-#: Most rows of a table that may be broadcast; beyond it the join shuffles.
-BROADCAST_ROWS = 500_000
+#: Most rows, and bytes of them, of a table that may be broadcast; beyond either the join shuffles.
+BROADCAST_ROWS, BROADCAST_BYTES = 500_000, 64 << 20
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -48,12 +48,26 @@ def bounded_batches(spark: SparkSession, rows: int = 2000) -> None:
         spark.conf.set(key, str(rows))
 
 
-def if_small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """df with a broadcast hint if a count shows that it has at most limit rows, else df as it is.
+def if_small(df: DataFrame, limit: int = BROADCAST_ROWS, most_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """df with a broadcast hint if a count shows at most `limit` rows of at most `most_bytes`, else df as it is.
 
-    Call it on a table that is cut from its lineage, as the count runs its plan.
+    Bytes are those of the rows as JSON. Call it on a table that is cut from its lineage, as the count runs its plan.
     """
-    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+    rows = F.octet_length(F.to_json(F.struct(*(F.col(f"`{c}`") for c in df.columns))))
+    count, size = df.limit(limit + 1).agg(F.count("*"), F.coalesce(F.sum(rows), F.lit(0))).first()
+    return F.broadcast(df) if count <= limit and size <= most_bytes else df
+
+
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """Names for columns of an operator's own that none of df's columns has, whatever their case."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
 
 
 def text_or_empty(name: str = "text") -> Column:

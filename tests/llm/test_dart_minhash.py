@@ -105,10 +105,38 @@ def test_hard_rows(hard, none):
     assert {r["class_id"] for r in rows if r["doc_id"] in (1, 2)} == {1}
     assert all(r["class_id"] == r["doc_id"] for r in rows if r["doc_id"] not in (1, 2))
     kept = dart_minhash.drop_near_duplicates(hard)
-    assert kept.columns == hard.columns and sorted(str(r["doc_id"]) for r in kept.collect()) == sorted(str(r["doc_id"]) for r in hard.collect() if r["doc_id"] != 2)
+    ids = sorted(str(r["doc_id"]) for r in hard.collect() if r["doc_id"] not in (2, 8))
+    assert kept.columns == hard.columns and sorted(str(r["doc_id"]) for r in kept.collect()) == sorted([*ids, "8"])
     assert dart_minhash.near_duplicates(none).count() == 0 and dart_minhash.drop_near_duplicates(none).count() == 0
 
 
+def test_keys_with_several_texts(spark):
+    one, two, three = (" ".join(f"{x}{i}" for i in range(40)) for x in "abc")
+    rows = [(1, one), (1, two), (2, two), (3, three), (3, three), (4, one + " more"), (None, one)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as key", "2 as row", "3 as node", "4 as _KEY")
+    got = sorted((r["class_id"] or 0, r["class_size"]) for r in dart_minhash.near_duplicates(df).collect())
+    assert got == [(0, 1), (1, 2), (1, 2), (1, 2), (1, 2), (3, 2), (3, 2)]
+    kept = sorted(((r["doc_id"] or 0), r["text"]) for r in dart_minhash.drop_near_duplicates(df).collect())
+    assert kept == [(0, one), (1, one), (1, two), (3, three)]
+
+
+def test_recall_by_similarity(spark):
+    rng, rows, pairs = random.Random(9), [], []
+    for i in range(600):  # pairs of 60 words at similarities from 0.8 upwards
+        w = [f"w{rng.randint(0, 10**7)}" for _ in range(60)]
+        v = list(w)
+        if i % 3:
+            v[rng.choice([0, 1, 2]) if i % 3 == 1 else 57 + rng.randrange(3)] = "x"
+        else:
+            v[5] = "x"
+        rows += [(2 * i, " ".join(w)), (2 * i + 1, " ".join(v))]
+        pairs.append(similarity(shingle_counts(rows[-2][1]), shingle_counts(rows[-1][1])))
+    got = {r["doc_id"]: r["class_id"] for r in dart_minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for low, high in ((0.8, 0.85), (0.85, 0.9), (0.9, 1.01)):
+        band = [got[2 * i + 1] == 2 * i for i, s in enumerate(pairs) if low <= s < high]
+        assert band and sum(band) >= 0.99 * len(band)
+
+
 def test_components(spark):
     links = [(1, 2), (3, 2), (10, 11), (12, 11), (5, 5), *((i, i + 1) for i in range(100, 160))]
     found = dict(components.connected_components(spark.createDataFrame(links, "a long, b long")).collect())
