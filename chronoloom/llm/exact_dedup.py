@@ -2,14 +2,26 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chronoloom.llm.common import SPACE_CLASS, cut_lineage, text_or_empty
+from chronoloom.llm.common import SPACE_CLASS, bounded_batches, cut_lineage, if_small, shared_dir, text_or_empty, unused
+from chronoloom.llm.text_arrays import mix
 
-#: Bits of the filter per row, hash functions, and the most bits it may have (64 MB).
-BITS_PER_ROW, PROBES, MOST_BITS = 16, 2, 1 << 29
-_WORD = 64
+#: Bits of the filter per row, and the most bits a filter may have (64 MB); more rows are taken in several ranges of hashes.
+BITS_PER_ROW, MOST_BITS = 16, 1 << 29
+#: The hash functions' seeds.
+PROBES = (0x9E3779B97F4A7C15, 0xD1B54A32D192ED03)
+#: Bits that are merged by one task.
+BLOCK = 1 << 20
+#: Rows from which a group of equal texts is joined by broadcast; there are fewer such groups than rows divided by this.
+LARGE = 100_000
 
 
 def normalised(text: str = "text") -> Column:
@@ -17,51 +29,112 @@ def normalised(text: str = "text") -> Column:
     return F.regexp_replace(text_or_empty(text), SPACE_CLASS, " ")
 
 
-def _slots(bits: int, digest: str = "_sha") -> Column:
-    return F.array(*(F.pmod(F.xxhash64(F.col(digest), F.lit(i)), F.lit(bits)) for i in range(PROBES)))
+def slots(hashes: np.ndarray, bits: int) -> list[np.ndarray]:
+    """The bit that each hash function gives each hash; bits is a power of two."""
+    shift = np.uint64(64 - (bits.bit_length() - 1))
+    return [mix(hashes.view(np.uint64) ^ np.uint64(p)) >> shift for p in PROBES]
 
 
-def repeated_filter(hashed: DataFrame, rows: int, most_bits: int = MOST_BITS) -> tuple[DataFrame, int]:
-    """First pass: a Bloom filter of the hashes that may occur twice, as rows (word, mask).
+def set_bits(hashed: DataFrame, bits: int, least: int) -> np.ndarray:
+    """The filter's bits, packed: those that `least` rows or more of hashed (hash) set.
 
-    Every row sets PROBES slots of a filter of BITS_PER_ROW bits per row, a power of two and
-    most_bits at most; a slot set by two rows goes into the second filter. Slots are counted within
-    each task before they shuffle. A filter at its bound lets more rows through to the exact pass,
-    and never hides a repeated one.
+    Each task sends its set bits as one list for each block of the filter, so records that shuffle are
+    counted in blocks and not in rows, and a hash that a task meets often is sent once. The
+    finished bits, bits/8 bytes of them, come to the driver.
     """
-    bits = min(most_bits, 1 << max(10, (BITS_PER_ROW * max(rows, 1) - 1).bit_length()))
-    slot = hashed.select(F.explode(_slots(bits)).alias("slot"))
-    twice = slot.groupBy("slot").count().filter("count > 1")
-    word = (F.col("slot") / _WORD).cast("long")
-    bit = F.expr(f"shiftleft(1L, cast(slot % {_WORD} as int))")
-    return twice.groupBy(word.alias("word")).agg(F.bit_or(bit).alias("mask")), bits
+    bounded_batches(hashed.sparkSession)
 
+    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = np.concatenate([np.zeros(0, np.int64), *(b.column(0).to_numpy() for b in batches)])
+        slot, times = np.unique(np.concatenate(slots(hashes, bits)), return_counts=True)
+        block, offset = slot // np.uint64(BLOCK), (slot % np.uint64(BLOCK)).astype(np.uint32)
+        at = np.flatnonzero(np.concatenate(([True], block[1:] != block[:-1]))) if len(slot) else np.zeros(0, np.int64)
+        for a, b in zip(at, np.append(at[1:], len(slot))[: len(at)], strict=True):
+            often = times[a:b] >= least
+            fields = [pa.array([int(block[a])], pa.int64()), *(pa.array([x.tobytes()], pa.binary()) for x in (offset[a:b][~often], offset[a:b][often]))]
+            yield pa.RecordBatch.from_arrays(fields, ["block", "few", "often"])
 
-def mark_possible(hashed: DataFrame, words: DataFrame, bits: int) -> DataFrame:
-    """Second pass: column _maybe says if all slots of a row are in the filter.
+    def merge(lists: pd.DataFrame) -> pd.DataFrame:
+        count = np.zeros(min(BLOCK, bits), np.uint32)
+        for few, often in zip(lists["few"], lists["often"], strict=True):
+            count[np.frombuffer(few, np.uint32)] += 1
+            count[np.frombuffer(often, np.uint32)] += least
+        return pd.DataFrame({"block": lists["block"].iloc[:1], "bits": [np.packbits(count >= least, bitorder="little").tobytes()]})
 
-    The filter is broadcast: it has bits/64 rows at most, which MOST_BITS bounds.
-    """
-    out = hashed.withColumn("_slot", _slots(bits)).withColumn("_maybe", F.lit(True))
-    for i in range(PROBES):
-        side = F.broadcast(words.select(F.col("word").alias(f"_w{i}"), F.col("mask").alias(f"_m{i}")))
-        slot = F.col("_slot")[i]
-        out = out.join(side, (slot / _WORD).cast("long") == F.col(f"_w{i}"), "left")
-        hit = F.getbit(F.coalesce(F.col(f"_m{i}"), F.lit(0).cast("long")), (slot % _WORD).cast("int")) == 1
-        out = out.withColumn("_maybe", F.col("_maybe") & hit).drop(f"_w{i}", f"_m{i}")
-    return out.drop("_slot")
+    lists = hashed.select("hash").mapInArrow(sketch, "block long, few binary, often binary")
+    out = np.zeros(bits // 8, np.uint8)
+    for block, found in lists.groupBy("block").applyInPandas(merge, "block long, bits binary").collect():
+        part = np.frombuffer(found, np.uint8)
+        out[block * BLOCK // 8 : block * BLOCK // 8 + len(part)] = part
+    return out
+
+
+def maybe_in(df: DataFrame, hash_column: Column, packed: np.ndarray) -> Column:
+    """Whether all bits of a hash are set. The filter is broadcast: MOST_BITS/8 bytes at most."""
+    shared = df.sparkSession.sparkContext.broadcast(packed)
 
+    @F.arrow_udf("boolean")
+    def probe(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for hashes in batches:
+            found = np.ones(len(hashes), bool)
+            for slot in slots(hashes.to_numpy(zero_copy_only=False), 8 * len(shared.value)):
+                found &= (shared.value[(slot >> np.uint64(3)).astype(np.int64)] >> (slot & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
+            yield pa.array(found)
 
-def _groups(candidates: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
-    """Per (digest, key) the rows, and per digest the key that stays, how many rows have it, and all rows."""
-    keyed = candidates.groupBy("_sha", F.col(key).alias("_key")).agg(F.count("*").alias("_rows"))
-    first = F.min(F.struct(F.col("_key").isNull().alias("no"), F.col("_key").alias("key"), F.col("_rows").alias("rows")))
-    best = keyed.groupBy("_sha").agg(first.alias("_first"), F.sum("_rows").alias("_size"))
-    return keyed, best.select("_sha", F.col("_first.key").alias("_keep"), F.col("_first.rows").alias("_keep_rows"), "_size")
+    return probe(hash_column)
+
+
+def _power(bits: int) -> int:
+    return 1 << max(10, (bits - 1).bit_length())
 
 
 def _hashed(docs: DataFrame, key: str, text: str) -> DataFrame:
-    return docs.select(F.col(key).alias("_key"), F.sha2(normalised(text), 256).alias("_sha"))
+    """(key, sha, hash) of each row."""
+    return docs.select(F.col(key).alias("key"), F.sha2(normalised(text), 256).alias("sha")).withColumn("hash", F.xxhash64("sha"))
+
+
+def _in_ranges(hashed: DataFrame, most_bits: int, work: Callable[[DataFrame, int], DataFrame]) -> DataFrame:
+    """work(rows, bits) over all rows, or, where a filter for them would exceed most_bits, over one range of hashes after another.
+
+    Equal texts have equal hashes, so a range is complete in itself. The ranges' results lie in the shared folder.
+    """
+    spark = hashed.sparkSession
+    needed = _power(BITS_PER_ROW * max(hashed.count(), 1))
+    ranges = max(1, needed // most_bits)
+    if ranges == 1:
+        return work(hashed, needed)
+    folder = f"{shared_dir(spark)}/exact-dedup-{uuid.uuid4().hex}"
+    hashed.sortWithinPartitions("hash").write.parquet(f"{folder}/hashes")
+    width = 2**64 // ranges
+    for i in range(ranges):
+        first = i * width - 2**63
+        part = spark.read.parquet(f"{folder}/hashes").filter(F.col("hash").between(first, first + width - 1))
+        work(part, most_bits).write.mode("append").parquet(f"{folder}/found")
+    return spark.read.parquet(f"{folder}/found")
+
+
+def _split(hashed: DataFrame, bits: int) -> tuple[DataFrame, DataFrame]:
+    """Rows whose text can't be repeated, and the others."""
+    marked = cut_lineage(hashed.withColumn("maybe", maybe_in(hashed, F.col("hash"), set_bits(hashed, bits, 2))))
+    return marked.filter(~F.col("maybe")), marked.filter("maybe")
+
+
+def _groups(candidates: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Per (sha, key) the rows, and per sha the key that stays, how many rows have it, and all rows."""
+    keyed = candidates.groupBy("sha", "hash", "key").agg(F.count("*").alias("rows"))
+    first = F.min(F.struct(F.col("key").isNull().alias("no"), "key", "rows"))
+    best = keyed.groupBy("sha", "hash").agg(first.alias("first"), F.sum("rows").alias("size"))
+    return keyed, best.select("sha", "hash", F.col("first.key").alias("keep"), F.col("first.rows").alias("keep_rows"), "size")
+
+
+def _join_groups(rows: DataFrame, groups: DataFrame, on: str, size: str = "size") -> DataFrame:
+    """rows with their groups' columns. Groups that few rows and bytes hold are broadcast, else those of LARGE rows or more, so that none lies in one task."""
+    groups = cut_lineage(groups)
+    small = if_small(groups)
+    if small is not groups:
+        return rows.join(small, on)
+    large = F.broadcast(groups.filter(F.col(size) >= LARGE))
+    return rows.join(large, on).unionByName(rows.join(large.select(on), on, "left_anti").join(groups.filter(F.col(size) < LARGE), on))
 
 
 def mark_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", most_bits: int = MOST_BITS) -> DataFrame:
@@ -73,30 +146,48 @@ def mark_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", most_b
     the filter calls possibly repeated shuffle; their groups are counted per (text, key) first, so a
     large group isn't gathered in one task.
     """
-    hashed = cut_lineage(_hashed(docs, key, text))
-    words, bits = repeated_filter(hashed, hashed.count(), most_bits)
-    marked = mark_possible(hashed, cut_lineage(words), bits)
-    alone = marked.filter(~F.col("_maybe")).select(F.col("_key").alias(key), F.col("_key").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), F.col("_sha").alias("text_sha256"))
-    keyed, best = _groups(marked.filter("_maybe"), "_key")
-    each = keyed.join(best, "_sha").withColumn("_no", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_rows"))))
-    kept = F.col("_key").eqNullSafe(F.col("_keep")) & (F.col("_no") == 1)
-    copies = each.select(F.col("_key").alias(key), F.col("_keep").alias("keep_id"), F.col("_size").alias("group_size"), kept.alias("kept"), F.col("_sha").alias("text_sha256"))
-    return alone.unionByName(copies)
+
+    def mark(hashed: DataFrame, bits: int) -> DataFrame:
+        alone, candidates = _split(hashed, bits)
+        keyed, best = _groups(candidates)
+        keyed = cut_lineage(keyed)
+        each = _join_groups(keyed, best.drop("hash"), "sha").withColumn("no", F.explode(F.sequence(F.lit(1).cast("long"), F.col("rows"))))
+        kept = F.col("key").eqNullSafe(F.col("keep")) & (F.col("no") == 1)
+        copies = each.select("key", "keep", "size", kept.alias("kept"), "sha")
+        return alone.select("key", F.col("key").alias("keep"), F.lit(1).cast("long").alias("size"), F.lit(True).alias("kept"), "sha").unionByName(copies)
+
+    found = _in_ranges(cut_lineage(_hashed(docs, key, text)), most_bits, mark)
+    return found.select(F.col("key").alias(key), F.col("keep").alias("keep_id"), F.col("size").alias("group_size"), "kept", F.col("sha").alias("text_sha256"))
 
 
 def drop_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", most_bits: int = MOST_BITS) -> DataFrame:
-    """The rows of docs that mark_copies keeps, with all their columns.
+    """The rows of docs that mark_copies keeps, with all their columns, whatever their names.
 
-    Rows that can't be copies pass without a shuffle; of the others, those with the key that stays are
-    joined to their group, and only where several rows share that key one of them is picked.
+    The groups of repeated texts are found as there. Few groups are then broadcast, and no row of docs shuffles; many
+    are made a Bloom filter of most_bits at most, and only the rows that it lets through are joined. Where
+    several rows share both the text and the key that stays one of them is picked.
     """
-    hashed = cut_lineage(_hashed(docs, key, text))
-    words, bits = repeated_filter(hashed, hashed.count(), most_bits)
-    words = cut_lineage(words)
-    whole = mark_possible(docs.withColumn("_sha", F.sha2(normalised(text), 256)), words, bits)
-    _, best = _groups(mark_possible(hashed, words, bits).filter("_maybe"), "_key")
-    best = best.select("_sha", "_keep", "_keep_rows")
-    stays = whole.filter("_maybe").join(best, "_sha").filter(F.col(key).eqNullSafe(F.col("_keep")))
-    single = stays.filter("_keep_rows = 1")
-    several = stays.filter("_keep_rows > 1").dropDuplicates(["_sha"])
-    return whole.filter(~F.col("_maybe")).select(*docs.columns).unionByName(single.select(*docs.columns)).unionByName(several.select(*docs.columns))
+
+    def repeated(hashed: DataFrame, bits: int) -> DataFrame:
+        return _groups(_split(hashed, bits)[1])[1].filter("size > 1")
+
+    groups = cut_lineage(_in_ranges(cut_lineage(_hashed(docs, key, text)), most_bits, repeated))
+    sha, keep, rows, size, possible = unused(docs, "sha", "keep", "keep_rows", "group_rows", "possible")
+    named = groups.select(F.col("sha").alias(sha), F.col("keep").alias(keep), F.col("keep_rows").alias(rows), F.col("size").alias(size))
+    whole = docs.withColumn(sha, F.sha2(normalised(text), 256))
+    small = if_small(named)
+    if small is not named:
+        passed = whole.limit(0)
+        joined = whole.join(small, sha, "left")
+    else:
+        packed = set_bits(groups, min(most_bits, _power(BITS_PER_ROW * groups.count())), 1)
+        told = whole.withColumn(possible, maybe_in(whole, F.xxhash64(sha), packed))
+        passed, through = (told.filter(x).drop(possible) for x in (~F.col(possible), F.col(possible)))
+        matched = _join_groups(through, named, sha, size)
+        joined = matched.unionByName(through.join(F.broadcast(named.filter(F.col(size) >= LARGE).select(sha)), sha, "left_anti").join(named.select(sha), sha, "left_anti"), allowMissingColumns=True)
+    stays = joined.filter(F.col(rows).isNull() | F.col(key).eqNullSafe(F.col(keep)))
+    single = stays.filter(F.coalesce(F.col(rows), F.lit(1)) == 1).select(*docs.columns)
+    out = single if small is not named else single.unionByName(passed.select(*docs.columns))
+    if groups.filter("keep_rows > 1").isEmpty():
+        return out
+    return out.unionByName(stays.filter(F.col(rows) > 1).dropDuplicates([sha]).select(*docs.columns))
