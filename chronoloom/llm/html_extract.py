@@ -7,6 +7,7 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass, field
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -16,8 +17,8 @@ from chronoloom.llm.common import bounded_batches, cut_lineage
 
 #: Most labelled pages that the weights are learned from.
 LABELLED = 2000
-# fixed values: elements whose text isn't shown, that have no end, that begin a block, that label a page's content
-RAW = {"script", "style", "noscript", "template", "textarea", "title", "iframe", "svg", "select", "button", "object", "canvas", "math"}
+# fixed values: elements whose text isn't shown, that have no end, that begin a block, that label a page's content for learning
+RAW = {"script", "style", "noscript", "template", "textarea", "title", "iframe", "svg", "select", "button", "object", "canvas"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 BLOCK = {
     "address", "article", "aside", "blockquote", "body", "caption", "center", "dd", "details", "dialog", "div", "dl", "dt", "fieldset", "figcaption", "figure", "footer", "form",
@@ -25,136 +26,221 @@ BLOCK = {
     "td", "tfoot", "th", "thead", "tr", "ul",
 }
 CONTENT = {"article", "main"}
-#: Elements and name parts that stand for other things than content where no labelled page says otherwise. Fixed values.
+#: Prior of kinds that no labelled page has: tags, and names of elements, that stand for other things than content. Fixed values.
 ASIDE_TAGS = {"head", "nav", "header", "footer", "aside", "form", "menu", "dialog", "fieldset"}
 ASIDE_NAMES = {
-    "ad", "ads", "adv", "advert", "adverts", "advertisement", "banner", "breadcrumb", "breadcrumbs", "comment", "comments", "cookie", "cookies", "consent", "disqus", "footer", "header",
-    "masthead", "menu", "modal", "nav", "navbar", "navigation", "newsletter", "notice", "popup", "promo", "promoted", "related", "respond", "share", "sharing", "sidebar", "social",
-    "sponsor", "sponsored", "subscribe", "toolbar", "widget",
+    "ad", "ads", "advert", "adverts", "advertisement", "banner", "breadcrumb", "breadcrumbs", "comment", "comments", "cookie", "cookies", "consent", "disqus", "footer", "header",
+    "masthead", "menu", "modal", "nav", "navbar", "navigation", "newsletter", "notice", "popup", "promo", "related", "respond", "share", "sharing", "sidebar", "social", "sponsor",
+    "sponsored", "subscribe", "toolbar", "widget",
 }
-#: Parts of names that tell of a layout around the content ("has-sidebar"), and tags that may wrap a whole page. Fixed values.
+#: Parts that leave the meaning of a name to its other parts, those that tell of a layout around the content ("has-sidebar"), and tags around a whole page. Fixed values.
+NEUTRAL_NAMES = {"area", "bar", "block", "box", "buttons", "container", "form", "inner", "item", "left", "link", "links", "list", "posts", "right", "section", "signup", "site", "top", "wrap", "wrapper"}
 LAYOUT_NAMES, WRAPPERS = {"has", "have", "with", "without", "no", "layout"}, {"html", "body"}
-#: Weights: of a word of content, bounds of a tag's, of a word beside the content; and what outweighs a count of none.
-WORD, TAG_BOUNDS, BESIDE, PSEUDO = 1.0, (-2.0, -0.1), -3.0, 1.0
+#: Elements that hold parts of a page rather than a paragraph. Fixed values.
+CONTAINERS = {"article", "body", "center", "div", "html", "main", "section", "table", "tbody", "td", "tr"}
+#: Weights: of a word of content, bounds of a tag's, of a word beside the content; what outweighs a count of none; words a kind must have to be learned.
+WORD, TAG_BOUNDS, BESIDE, PSEUDO, ENOUGH = 1.0, (-2.0, -0.1), -3.0, 1.0, 10
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S)
+_END = re.compile(r"[>\"']")
+_NAME = re.compile(r"/?([a-zA-Z][^\s/>]*)")
 _NAMES = re.compile(r"(?:^|\s)(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _PARTS = re.compile(r"[^a-z0-9]+")
+_RAW_END = {tag: re.compile(rf"</{tag}(?=[\s/>])", re.I) for tag in RAW}
 
 
-def _name_parts(name: str) -> list[str]:
-    """The parts of a name; none of one that tells of a layout."""
-    parts = [p for p in _PARTS.split(name) if p]
-    return [] if LAYOUT_NAMES & set(parts) else parts
+def _tag_end(page: str, at: int) -> int:
+    """Where the tag that begins before `at` ends: its first > outside of quoted values; -1 if a quote stays open."""
+    while m := _END.search(page, at):
+        if m[0] == ">":
+            return m.start()
+        at = m.end()
+        if page[max(m.start() - 8, 0) : m.start()].rstrip().endswith("="):
+            at = page.find(m[0], at) + 1
+            if not at:
+                return -1
+    return -1
 
 
-def tokens(page: str) -> Iterator[tuple[str, str, tuple[str, ...]]]:
-    """("open", tag, name parts), ("close", tag, ()) and ("text", text, ()) in page order; what isn't shown is left out."""
-    at, skip = 0, None
-    for m in _TOKEN.finditer(page):
-        if m.start() < at:
-            continue
-        if m.start() > at and skip is None:
-            yield "text", page[at : m.start()], ()
-        at = m.end()
-        tag = (m[2] or m[5] or "").lower()
-        if not tag:
+def tokens(page: str) -> Iterator[tuple[str, str, str]]:
+    """("open", tag, attributes), ("close", tag, "") and ("text", text, "") in page order; what isn't shown is left out.
+
+    Every character is looked at a bounded number of times: after the last > all is text, and once a quote stays open to
+    the end of the page, tags end at their first >.
+    """
+    at, text, last, quotes = 0, 0, page.rfind(">"), True
+    while 0 <= (open_ := page.find("<", at)) < max(last, 0):
+        begin = page[open_ + 1]
+        if begin in "!?":
+            if page.startswith("<!--", open_):
+                end = page.find("-->", open_ + 4) + 3
+                end = end if end > 2 else len(page)
+            elif page.startswith("<![CDATA[", open_):
+                end = page.find("]]>", open_ + 9) + 3
+                end = end if end > 2 else len(page)
+            else:
+                end = page.find(">", open_) + 1
+            if open_ > text:
+                yield "text", page[text:open_], ""
+            at = text = end
             continue
-        closes = bool(m[1] or m[4])
-        attributes = m[3] or m[6] or ""
-        if skip is not None:
-            if closes and tag == skip:
-                skip = None
+        name = _NAME.match(page, open_ + 1)
+        if not name:
+            at = open_ + 1
             continue
-        if closes:
-            yield "close", tag, ()
+        end = _tag_end(page, name.end()) if quotes else page.find(">", name.end())
+        if end < 0:
+            quotes = False
+            end = page.find(">", name.end())
+        if open_ > text:
+            yield "text", page[text:open_], ""
+        at = text = end + 1
+        tag, attributes = name[1].lower(), page[name.end() : end]
+        if begin == "/":
+            yield "close", tag, ""
         elif tag in RAW:
-            if not attributes.rstrip().endswith("/"):
-                end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
-                at = end.end() if end else len(page)
+            if not attributes.endswith("/"):
+                closing = _RAW_END[tag].search(page, at)
+                at = text = page.find(">", closing.end()) + 1 or len(page) if closing else len(page)
         else:
-            parts = tuple(p for groups in _NAMES.findall(attributes) for value in groups for name in value.lower().split() for p in _name_parts(name)) if "=" in attributes else ()
-            yield "open", tag, parts
-    if at < len(page) and skip is None:
-        yield "text", page[at:], ()
+            yield "open", tag, attributes
+    rest = page[text:]
+    if "<!--" in rest:
+        rest = rest[: rest.index("<!--")]
+    if rest:
+        yield "text", rest, ""
+
+
+def _is_aside_name(name: str) -> bool:
+    """Whether the prior takes an element of this name for something beside the content: by its last part, or by all of its parts."""
+    parts = [p for p in _PARTS.split(name) if p]
+    if not parts or LAYOUT_NAMES & set(parts):
+        return False
+    return parts[-1] in ASIDE_NAMES or bool(ASIDE_NAMES & set(parts)) and all(p in ASIDE_NAMES or p in NEUTRAL_NAMES for p in parts)
 
 
-def _kinds(tag: str, parts: tuple[str, ...]) -> list[str]:
-    """What an element may be known by: its tag if it sections the page, and each part of its names."""
-    return [*([tag] if tag in ASIDE_TAGS | CONTENT else []), *(f".{p}" for p in parts)]
+def word_count(text: str) -> int:
+    return len((html.unescape(text) if "&" in text else text).split())
 
 
-def annotate(page: str) -> list[tuple[str, str, list[str], int | None]]:
-    """Each token with the kinds of all elements that are open at it, and where in them the element that labels the content is.
+@dataclass
+class Tree:
+    """The tokens of a page, (what, value, number of the element that they lie in), and its elements in page order.
 
-    The names of html, body and an element that holds most of the page's words (and its first h1, if there is one) don't
-    count, nor that such an element is a form: it lies around the content. A content element labels if neither it
-    nor an element around it is named or tagged as an aside by the fixed lists; around main, names don't count.
+    kinds: what an element may be known by: its tag if it sections the page, and its names. own: words of its own text,
+    words: all inside it. A parent comes before its children. Elements that wrap the page's title and most of its words have no names, as
+    they lie around the content, nor are such forms any; no kinds has a header that holds the title and no list or form.
     """
-    tags: list[str] = []
-    kinds: list[list[str]] = []
-    above: list[tuple[int, ...]] = []
-    words: list[int] = []
-    path: tuple[int, ...] = ()
-    out: list[tuple[str, str, tuple[int, ...]]] = []
-    title: tuple[int, ...] | None = None
-    for what, value, parts in tokens(page):
+
+    tokens: list[tuple[str, str, int]] = field(default_factory=list)
+    tags: list[str] = field(default_factory=list)
+    parents: list[int] = field(default_factory=list)
+    kinds: list[list[str]] = field(default_factory=list)
+    own: list[int] = field(default_factory=list)
+    words: list[int] = field(default_factory=list)
+
+
+def parse(page: str) -> Tree:
+    """The tree of a page, in time linear in its length."""
+    tree, stack, open_of = Tree(), [], {}
+    title, busy = None, set()
+
+    def close_down_to(depth: int) -> None:
+        while len(stack) > depth:
+            open_of[tree.tags[stack.pop()]].pop()
+
+    for what, value, attributes in tokens(page):
         if what == "open":
-            if value == "p" and path and tags[path[-1]] == "p":
-                path = path[:-1]
+            if value == "p" and stack and tree.tags[stack[-1]] == "p":
+                close_down_to(len(stack) - 1)
+            number = len(tree.tags)
             if value == "h1" and title is None:
-                title = path
+                title = number
+            if value in ("ul", "ol", "nav", "form", "menu"):
+                busy.add(number)
             if value not in VOID:
-                path = (*path, len(tags))
-                tags.append(value)
-                kinds.append(_kinds(value, parts))
-                above.append(path)
-                words.append(0)
+                tree.parents.append(stack[-1] if stack else -1)
+                tree.tags.append(value)
+                names = [n for groups in _NAMES.findall(attributes) for v in groups for n in v.lower().split()] if "=" in attributes else []
+                tree.kinds.append([*([value] if value in ASIDE_TAGS else []), *(f".{n}" for n in names)])
+                tree.own.append(0)
+                open_of.setdefault(value, []).append(len(stack))
+                stack.append(number)
         elif what == "close":
-            at = next((i for i in range(len(path) - 1, -1, -1) if tags[path[i]] == value), None)
-            path = path if at is None else path[:at]
-        else:
-            n = len(value.split())
-            for e in path:
-                words[e] += n
-        out.append((what, value, path))
-    total = sum(len(value.split()) for what, value, _ in out if what == "text")
-    mains = {e for e, tag in enumerate(tags) if tag == "main" for e in above[e][:-1]}
-    for e, tag in enumerate(tags):
-        if tag in WRAPPERS or e in mains or (2 * words[e] > total and (title is None or e in title)):
-            kinds[e] = [k for k in kinds[e] if k[0] != "." and k != "form"]
-    aside = [any(_is_aside(k, {}) for k in ks) for ks in kinds]
-    labels = {e for e, tag in enumerate(tags) if tag in CONTENT and not any(aside[x] for x in above[e])}
-    known: dict[tuple[int, ...], tuple[list[str], int | None]] = {}
-    for _, _, path in out:
-        if path not in known:
-            first = next((i for i, e in enumerate(path) if e in labels), None)
-            known[path] = [k for e in path for k in kinds[e]], None if first is None else sum(len(kinds[e]) for e in path[:first])
-    return [(what, value, *known[path]) for what, value, path in out]
+            if open_of.get(value):
+                close_down_to(open_of[value][-1])
+        elif stack:
+            tree.own[stack[-1]] += word_count(value)
+        tree.tokens.append((what, value, stack[-1] if stack else -1))
+    loose = sum(word_count(value) for what, value, e in tree.tokens if what == "text" and e < 0)
+    lists, tree.words = [False] * len(tree.tags), list(tree.own)
+    for e in range(len(tree.tags) - 1, -1, -1):
+        lists[e] |= e in busy
+        if tree.parents[e] >= 0:
+            tree.words[tree.parents[e]] += tree.words[e]
+            lists[tree.parents[e]] |= lists[e]
+    total = loose + sum(n for n, p in zip(tree.words, tree.parents, strict=True) if p < 0)
+    above, e = set(), -1 if title is None else title
+    while e >= 0:
+        above.add(e)
+        e = tree.parents[e]
+    for e, tag in enumerate(tree.tags):
+        heads = e in above and not lists[e] and (tag == "header" or any(k.endswith("header") for k in tree.kinds[e]))
+        if heads:
+            tree.kinds[e] = []
+        elif tag in WRAPPERS or 2 * tree.words[e] > total and (title is None or e in above):
+            tree.kinds[e] = [k for k in tree.kinds[e] if k[0] != "." and k != "form"]
+    return tree
+
+
+def is_aside(kind: str, weights: dict[str, float]) -> bool:
+    """By the learned weights, and by the prior for a kind that has none."""
+    known = weights.get(kind)
+    return known < 0 if known is not None else kind in ASIDE_TAGS or kind[0] == "." and _is_aside_name(kind[1:])
+
+
+def beside(tree: Tree, weights: dict[str, float]) -> list[bool]:
+    """Of each element, whether it or one around it is beside the content."""
+    out: list[bool] = []
+    for parent, kinds in zip(tree.parents, tree.kinds, strict=True):
+        out.append(parent >= 0 and out[parent] or any(is_aside(k, weights) for k in kinds))
+    return out
 
 
 def count_page(page: str) -> Counter[tuple[str, bool]]:
-    """(feature, inside): words by kind of element and tags, inside and outside of the element that labels the content, if one does."""
-    out: Counter[tuple[str, bool]] = Counter()
-    parts = annotate(page)
-    if all(label is None for *_, label in parts):
+    """(feature, inside): words by kind of element and tags, inside and outside of the elements that label the content; nothing if none does.
+
+    An article or main element labels it if neither it nor one around it is beside it by the prior.
+    """
+    tree, out = parse(page), Counter()
+    aside = beside(tree, {})
+    inside: list[bool] = []
+    for e, parent in enumerate(tree.parents):
+        inside.append(parent >= 0 and inside[parent] or tree.tags[e] in CONTENT and not aside[e])
+    if not any(inside):
         return out
-    for what, value, kinds, label in parts:
-        inside = label is not None
+    held = [[0, 0] for _ in tree.tags]
+    for what, value, e in tree.tokens:
+        lies = e >= 0 and inside[e]
         if what == "text":
-            n = len(value.split())
-            out["word", inside] += n
-            for k in set(kinds):
-                out[k, inside] += n
-        elif what == "open":
-            out[f"<{value}", inside] += 1
+            n = word_count(value)
+            out["word", lies] += n
+            if e >= 0:
+                held[e][lies] += n
+        elif what == "open" and value not in CONTENT:
+            out[f"<{value}", lies] += 1
+    for e in range(len(held) - 1, -1, -1):
+        for lies in (False, True):
+            for k in set(tree.kinds[e]):
+                out[k, lies] += held[e][lies]
+            if tree.parents[e] >= 0:
+                held[tree.parents[e]][lies] += held[e][lies]
     return out
 
 
 def learn_weights(counts: dict[tuple[str, bool], int]) -> dict[str, float]:
-    """Weights of tags, within TAG_BOUNDS, and of kinds of elements (0 or BESIDE), by log odds of being inside the content.
+    """Weights of tags, within TAG_BOUNDS, by log odds of being inside the content, and of kinds of elements: BESIDE or 0.
 
-    A kind needs ten words before its odds count; else the fixed lists tell.
+    A kind of ENOUGH words is beside the content if nine tenths of them are; others are left to the prior.
     """
     total = {i: PSEUDO + sum(n for (f, x), n in counts.items() if x == i and f[0] == "<") for i in (True, False)}
     out = {}
@@ -163,63 +249,72 @@ def learn_weights(counts: dict[tuple[str, bool], int]) -> dict[str, float]:
         if f[0] == "<":
             odds = math.log((a + PSEUDO) / total[True]) - math.log((b + PSEUDO) / total[False])
             out[f] = min(max(odds, TAG_BOUNDS[0]), TAG_BOUNDS[1])
-        elif f != "word" and f not in CONTENT and a + b >= 10:
+        elif f != "word" and a + b >= ENOUGH:
             out[f] = BESIDE if b > 9 * a else 0.0
     return out
 
 
-def _is_aside(kind: str, weights: dict[str, float]) -> bool:
-    """By the learned weights, else by the fixed lists."""
-    return weights.get(kind, BESIDE if kind in ASIDE_TAGS or kind[0] == "." and kind[1:] in ASIDE_NAMES else 0.0) < 0
+def best_run(scores: list[float]) -> tuple[int, int]:
+    """(start, end) of the run with the largest sum, found in one scan; of equal ones the one that ends first. (0, 0) if no sum is positive."""
+    best, span, score, start = 0.0, (0, 0), 0.0, 0
+    for i, x in enumerate(scores):
+        score += x
+        if score > best:
+            best, span = score, (start, i + 1)
+        if score <= 0:
+            score, start = 0.0, i + 1
+    return span
 
 
-def _word_weights(parts: list[tuple[str, str, list[str], int | None]], weights: dict[str, float]) -> list[float]:
-    """What a word counts at each token: WORD in content, 0 beside it but inside the element that labels the content, else BESIDE.
+def content_container(tree: Tree, aside: list[bool]) -> int:
+    """The innermost container that holds more than half of the page's words which aren't beside the content; -1 if none does."""
+    net = [0 if a else n for a, n in zip(aside, tree.own, strict=True)]
+    for e in range(len(net) - 1, -1, -1):
+        if tree.parents[e] >= 0:
+            net[tree.parents[e]] += net[e]
+    total = sum(n for n, p in zip(net, tree.parents, strict=True) if p < 0)
+    return max((e for e, n in enumerate(net) if 2 * n > total and tree.tags[e] in CONTAINERS), default=-1)
 
-    On a page that labels its content, all other words are beside it; a header inside the content belongs to it.
+
+def token_scores(tree: Tree, aside: list[bool], weights: dict[str, float]) -> list[float]:
+    """A text counts WORD for each of its words, in an element beside the content BESIDE; a tag its weight, 0 if it labels content.
+
+    An element beside the content but inside the container of most words interrupts the content, it doesn't end it: it counts 0.
     """
-    labelled = any(label is not None for *_, label in parts)
+    root = content_container(tree, aside)
+    within = [False] * len(tree.tags)
+    for e in range(max(root, 0), len(within)):
+        within[e] = e == root or tree.parents[e] >= 0 and within[tree.parents[e]]
     out = []
-    for _, _, kinds, inside in parts:
-        named = any(
-            _is_aside(k, weights)
-            for i, k in enumerate(kinds)
-            if not (k == "header" and inside is not None and i > inside)
-        )
-        lies = named or labelled and inside is None
-        around = any(_is_aside(k, weights) for k in kinds[: inside or 0])
-        out.append(WORD if not lies else 0.0 if inside is not None and not around else BESIDE)
+    for what, value, e in tree.tokens:
+        between = e >= 0 and aside[e] and within[e] and not aside[root]
+        if value in CONTENT and what != "text" or between:
+            out.append(0.0)
+        elif what == "text":
+            out.append(word_count(value) * (BESIDE if e >= 0 and aside[e] else WORD))
+        else:
+            out.append(weights.get(f"<{value}", TAG_BOUNDS[1]) if what == "open" else TAG_BOUNDS[1])
     return out
 
 
 def main_text(page: str | None, weights: dict[str, float]) -> str:
     """The blocks of the best-scoring run, one a line; the empty string for a page without such words.
 
-    Words count as _word_weights says, tags their weight. One scan keeps the best run
-    that ends at each token and the best of all; of equal ones the first. Within it, elements beside the
-    content are left out.
+    Only the scores decide: elements that label content for learning are not looked at. Within the run, elements
+    beside the content are left out. Time grows linearly with the page; broken markup (open tags, quotes, comments) costs no more.
     """
-    parts = annotate(page or "")
-    word = _word_weights(parts, weights)
-    best, span, score, start = 0.0, (0, 0), 0.0, 0
-    for i, (what, value, *_) in enumerate(parts):
-        if what == "text":
-            score += len(html.unescape(value).split()) * word[i]
-        else:
-            score += weights.get(f"<{value}", TAG_BOUNDS[1]) if what == "open" else TAG_BOUNDS[1]
-        if score > best:
-            best, span = score, (start, i + 1)
-        if score <= 0:
-            score, start = 0.0, i + 1
+    tree = parse(page or "")
+    aside = beside(tree, weights)
+    span = slice(*best_run(token_scores(tree, aside, weights)))
     blocks, block = [], []
-    for (what, value, *_), counts in zip(parts[slice(*span)], word[slice(*span)], strict=True):
+    for what, value, e in tree.tokens[span]:
         if what != "text":
             if value in BLOCK:
                 blocks.append(block)
                 block = []
             elif value == "br":
                 block.append(" ")
-        elif counts > 0:
+        elif e < 0 or not aside[e]:
             block.append(value)
     lines = (" ".join(html.unescape("".join(b)).split()) for b in [*blocks, block])
     return "\n".join(line for line in lines if line)
@@ -228,9 +323,10 @@ def main_text(page: str | None, weights: dict[str, float]) -> str:
 def fit_weights(pages: DataFrame, *, most: int = LABELLED, key: str = "page_id", page: str = "html") -> dict[str, float]:
     """Weights from at most `most` labelled pages, the first by hash of their key.
 
-    A page labels itself if it marks its content by one of the CONTENT elements. Without such pages, the fixed lists
-    alone give the weights. The counts of the sample come to the driver.
+    A page labels itself if it marks its content by one of the CONTENT elements. Without such pages the prior alone
+    tells. The counts of the sample come to the driver.
     """
+    bounded_batches(pages.sparkSession)
     marked = pages.filter(F.col(page).rlike("(?i)<(" + "|".join(sorted(CONTENT)) + r")[\s>]"))
     first = cut_lineage(marked.select(key).filter(F.col(key).isNotNull()).distinct().orderBy(F.xxhash64(key), key).limit(most))
 
@@ -247,7 +343,11 @@ def fit_weights(pages: DataFrame, *, most: int = LABELLED, key: str = "page_id",
 
 
 def with_main_text(pages: DataFrame, weights: dict[str, float], *, page: str = "html", name: str = "text") -> DataFrame:
-    """pages with the main text as a column (one of that name is replaced); a null or empty page has the empty text."""
+    """pages with the main text as a column (one of that name is replaced); other columns stay, whatever their names.
+
+    A null or empty page, and one without a word of content, has the empty text. Long and broken pages are read whole,
+    in linear time. Rows that repeat a page get the same text; an empty table gives no rows.
+    """
     bounded_batches(pages.sparkSession)
 
     @F.arrow_udf("string")

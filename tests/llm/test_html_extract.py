@@ -1,3 +1,8 @@
+import random
+import time
+
+import pytest
+
 from chronoloom.llm import html_extract as he
 from chronoloom.llm import queries
 
@@ -62,10 +67,45 @@ def test_articles_that_are_asides():
     comments = "".join(f'<article class="comment"><p>Comment {i} says that it likes this very much.</p></article>' for i in range(3))
     for below in (comments, f'<div id="comments">{comments.replace(" class=", " data-x=")}</div>'):
         page = f'<body><div class="story"><h1>Head</h1><p>{WORDS}</p></div>{below}</body>'
-        assert he.count_page(page) == {}
         assert he.main_text(page, {}) == f"Head\n{WORDS}"
 
 
 def test_long_comments_are_not_the_content():
     page = f'<body><div class="story"><h1>Head</h1><p>{WORDS}</p></div><div class="comments"><p>{"reply " * 500}</p></div></body>'
     assert he.main_text(page, {}) == f"Head\n{WORDS}"
+
+
+def test_best_run_equals_all_runs():
+    rng = random.Random(3)
+    for _ in range(300):
+        scores = [rng.choice([-3, -2, -1, 0, 1, 2, 5]) for _ in range(rng.randint(0, 12))]
+        sums = {(a, b): sum(scores[a:b]) for b in range(len(scores) + 1) for a in range(b)}
+        most = max(sums.values(), default=0)
+        a, b = he.best_run(scores)
+        assert sum(scores[a:b]) == max(most, 0) and (most <= 0 or b == min(y for (x, y), s in sums.items() if s == most))
+
+
+def test_the_label_does_not_decide():
+    beside = '<nav><a href="/x">Go home</a></nav>'
+    page = f"<body>{beside}<div><p>{WORDS}</p></div></body>"
+    weights = he.learn_weights(he.count_page(PAGE))
+    for tag in ("article", "main", "section"):
+        assert he.main_text(page.replace("div>", f"{tag}>"), weights) == WORDS
+    assert he.main_text(f"<article>Short teaser here</article><article>Another one</article><div><p>{WORDS}</p></div>", weights).endswith(WORDS)
+
+
+def test_names_that_only_look_like_asides():
+    for inner in ('<h1 class="entry-header">A title</h1>', '<header><h1>A title</h1></header>', '<div class="social-science"><h1>A title</h1></div>', "<math><mi>A</mi> <mi>title</mi></math>"):
+        assert he.main_text(f"<body><main>{inner}<p>{WORDS}</p></main></body>", {}).startswith("A title")
+    for name in ("sidebar", "left-sidebar", "comment-list", "cookie-notice", "site-header", "ad-box"):
+        assert he.main_text(f'<body><div class="{name}"><p>Some other words that are not content</p></div><div><h1>T</h1><p>{WORDS}</p></div></body>', {}) == f"T\n{WORDS}"
+
+
+@pytest.mark.parametrize("part", ["<div>", "<div class=x>w", "<a ", "<a '", "<a x='", '<p "', "</div>", "<!--", "<", "&", "<script>", "<p><b>w</p>", "<script x"])
+def test_broken_pages_take_linear_time(part):
+    page = part * (1_000_000 // len(part))
+    for whole in (page, page + ">", f"<p>{page}</p>"):
+        begun = time.perf_counter()
+        he.parse(whole)
+        assert time.perf_counter() - begun < 6  # a second on an idle machine
+    assert he.main_text(f"{page[: 5000 * len(part)]}", {}) is not None
