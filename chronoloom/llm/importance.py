@@ -15,33 +15,36 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chronoloom.llm.common import bounded_batches, cut_lineage, unit_hash
-from chronoloom.llm.text_arrays import chunks, utf8, words
+from chronoloom.llm.text_arrays import MULTIPLIER, chunks, mix, utf8, words
 
-#: Buckets of the byte trigrams; two more tell whether a word repeats the one before it.
+#: Buckets of each family of n-grams: byte trigrams, words, pairs of words; one more counts pairs of the same word.
 BUCKETS = 1 << 16
-SAME, OTHER, EVENTS = BUCKETS, BUCKETS + 1, BUCKETS + 2
+FAMILIES, REPEAT, EVENTS = 3, 3 * BUCKETS, 3 * BUCKETS + 1
 #: Most labelled documents that the target model and the threshold are fitted on.
 LABELLED = 20_000
-#: Added to each count, and the trigrams' weight of a neutral prior in a document's mean.
-SMOOTHING, NEUTRAL = 0.5, 20.0
-#: The Gumbel noise is scaled by so much before it is added to the mean log ratio.
-TEMPERATURE = 0.002
+#: What is added to a bucket's count in the target, and to the count that the raw text lets expect; weight of a neutral prior in a document's mean.
+SMOOTHING, NEUTRAL = 1.0, 20.0
+#: The Gumbel noise is scaled by so much before it is added to the mean log ratio, as if a document had 1/TEMPERATURE independent n-grams.
+TEMPERATURE = 0.02
 
 
-def _events(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Trigram buckets with the row of each, and word-pair buckets with the row of each."""
+def _events(data: np.ndarray, starts: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each family the buckets of its n-grams and the row of each. A pair of equal words is one event, whatever the word, as each such pair is rare."""
     row = np.repeat(np.arange(len(starts) - 1), np.diff(starts))
     if len(data) >= 3:
         key = data[:-2].astype(np.uint32) | data[1:-1].astype(np.uint32) << np.uint32(8) | data[2:].astype(np.uint32) << np.uint32(16)
         grams = (key * np.uint32(2654435761)) >> np.uint32(16)
         whole = row[:-2] == row[2:]
-        grams, gram_row = grams[whole], row[:-2][whole]
+        grams, gram_row = grams[whole].astype(np.int64), row[:-2][whole]
     else:
-        grams, gram_row = np.zeros(0, np.uint32), np.zeros(0, np.int64)
+        grams, gram_row = np.zeros(0, np.int64), np.zeros(0, np.int64)
     hashes, of = words(data, starts)
-    pair = of[1:] == of[:-1]
-    pairs = np.where(hashes[1:] == hashes[:-1], SAME, OTHER)[pair]
-    return grams, gram_row, pairs, of[1:][pair]
+    low = np.uint64(BUCKETS - 1)
+    single = (mix(hashes) & low).astype(np.int64) + BUCKETS
+    both = of[1:] == of[:-1]
+    one, two = hashes[:-1][both], hashes[1:][both]
+    pairs = np.where(one == two, REPEAT, (mix(one * MULTIPLIER + two) & low).astype(np.int64) + 2 * BUCKETS)
+    return [(grams, gram_row), (single, of), (pairs, of[1:][both])]
 
 
 @dataclass(frozen=True)
@@ -51,21 +54,22 @@ class RatioModel:
     log_ratio: np.ndarray
 
     def score(self, texts: pa.Array) -> np.ndarray:
-        """Mean log ratio of a text's trigrams, pulled to 0 for short texts, plus that of its word pairs; NaN without events."""
+        """Sum over the families of the mean log ratio of a text's n-grams, pulled to 0 for short texts; NaN without n-grams."""
         data, starts = utf8(texts)
         out = np.zeros(len(texts))
         for a, b in chunks(starts):
-            part = starts[a : b + 1] - starts[a]
-            grams, gram_row, pairs, pair_row = _events(data[starts[a] : starts[b]], part)
-            n, m = np.bincount(gram_row, minlength=b - a), np.bincount(pair_row, minlength=b - a)
-            by_gram = np.bincount(gram_row, self.log_ratio[grams], b - a) / (n + NEUTRAL)
-            by_pair = np.bincount(pair_row, self.log_ratio[pairs], b - a) / (m + NEUTRAL / 5)
-            out[a:b] = np.where(n + m > 0, by_gram + by_pair, np.nan)
+            some = np.zeros(b - a, bool)
+            for event, row in _events(data[starts[a] : starts[b]], starts[a : b + 1] - starts[a]):
+                n = np.bincount(row, minlength=b - a)
+                out[a:b] += np.bincount(row, self.log_ratio[event], b - a) / (n + NEUTRAL)
+                some |= n > 0
+            out[a:b][~some] = np.nan
         return out
 
 
 def event_counts(docs: DataFrame, text: str, target: Column) -> DataFrame:
-    """(bucket, raw, target): events in all rows and in those where target holds, summed over all tasks."""
+    """(bucket, raw, target): n-grams in all rows and in those where target holds, summed over all tasks."""
+    bounded_batches(docs.sparkSession)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         raw, chosen = np.zeros(EVENTS, np.int64), np.zeros(EVENTS, np.int64)
@@ -73,9 +77,8 @@ def event_counts(docs: DataFrame, text: str, target: Column) -> DataFrame:
             data, starts = utf8(batch.column(0))
             flags = np.asarray(batch.column(1).fill_null(False))
             for a, b in chunks(starts):
-                grams, gram_row, pairs, pair_row = _events(data[starts[a] : starts[b]], starts[a : b + 1] - starts[a])
                 flag = flags[a:b]
-                for event, row in ((grams, gram_row), (pairs, pair_row)):
+                for event, row in _events(data[starts[a] : starts[b]], starts[a : b + 1] - starts[a]):
                     raw += np.bincount(event, minlength=EVENTS)
                     if flag.any():
                         chosen += np.bincount(event[flag[row]], minlength=EVENTS)
@@ -87,28 +90,31 @@ def event_counts(docs: DataFrame, text: str, target: Column) -> DataFrame:
 
 
 def labelled_sample(labels: DataFrame, most: int = LABELLED, key: str = "doc_id") -> DataFrame:
-    """At most `most` labelled keys in hash order: (_label_key, _good, _fit); conflicting labels of a key: the lowest."""
-    one = labels.filter(F.col(key).isNotNull() & F.col("quality").isNotNull()).groupBy(key).agg(F.min("quality").alias("quality"))
-    first = one.orderBy(F.xxhash64(key), key).limit(most)
-    return first.select(F.col(key).alias("_label_key"), (F.col("quality") >= 1).alias("_good"), (F.pmod(F.xxhash64(F.col(key), F.lit(1)), F.lit(2)) == 0).alias("_fit"))
+    """At most `most` labelled keys in hash order: (label_key, good, fit); conflicting labels of a key: the lowest."""
+    one = labels.filter(F.col(key).isNotNull() & F.col("quality").isNotNull()).groupBy(F.col(key).alias("label_key")).agg(F.min("quality").alias("quality"))
+    first = one.orderBy(F.xxhash64("label_key"), "label_key").limit(most)
+    return first.select("label_key", (F.col("quality") >= 1).alias("good"), (F.pmod(F.xxhash64("label_key", F.lit(1)), F.lit(2)) == 0).alias("fit"))
 
 
 def fit_ratio(docs: DataFrame, sample: DataFrame, key: str = "doc_id", text: str = "text") -> RatioModel:
     """The raw model counts every document, the target model those of the sample labelled good for fitting.
 
-    The sample is broadcast, as LABELLED bounds it. Its counts, one row per bucket, come to the driver.
+    The sample is broadcast, as LABELLED bounds it. Its counts, one row per bucket, come to the driver. A bucket's
+    ratio is that of its count in the target to the count that the raw text lets expect, both smoothed, so that
+    rare n-grams say little.
     """
-    good = F.broadcast(sample.filter("_good and _fit").select("_label_key"))
-    marked = docs.select(key, text).join(good, F.col(key) == F.col("_label_key"), "left")
+    wanted = F.broadcast(sample.filter("good and fit").select("label_key"))
+    marked = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).join(wanted, F.col("key") == F.col("label_key"), "left")
     raw, target = np.zeros(EVENTS), np.zeros(EVENTS)
-    for bucket, r, t in event_counts(marked, text, F.col("_label_key").isNotNull()).collect():
+    for bucket, r, t in event_counts(marked, "text", F.col("label_key").isNotNull()).collect():
         raw[bucket], target[bucket] = r, t
     ratio = np.zeros(EVENTS)
-    for part in (slice(0, BUCKETS), slice(BUCKETS, EVENTS)):
-        p, q = (x[part] + SMOOTHING * (raw[part] > 0) for x in (target, raw))
+    for i in range(FAMILIES):
+        part = slice(i * BUCKETS, (i + 1) * BUCKETS + (i == FAMILIES - 1))
         if target[part].sum():
-            ratio[part] = np.where(raw[part] > 0, np.log(np.maximum(p, 1e-9) / p.sum()) - np.log(np.maximum(q, 1e-9) / q.sum()), 0)
-    return RatioModel(ratio.astype(np.float64))
+            expected = raw[part] * (target[part].sum() / raw[part].sum())
+            ratio[part] = np.log((target[part] + SMOOTHING) / (expected + SMOOTHING))
+    return RatioModel(ratio)
 
 
 def with_log_ratio(docs: DataFrame, model: RatioModel, text: str = "text", name: str = "log_ratio") -> DataFrame:
@@ -172,21 +178,20 @@ def resample(
     kept marks the `take` rows with the largest gumbel_score = log_ratio + temperature * Gumbel noise,
     the noise seeded by the key. Without `take` it is the number of documents whose log ratio
     reaches the cut that best parts the held-out half of the labelled sample; without labels of both
-    kinds all documents with text are taken. A text without events (null, empty, under three bytes and
-    two words) has a null log_ratio and isn't kept. Rows that repeat key and text share their score, and
+    kinds all documents with text are taken. A text without n-grams (null, empty, white space of under three bytes) has a null log_ratio and isn't kept. Rows that repeat key and text share their score, and
     all that tie with the last one taken are taken. An empty table gives no rows.
     """
     names = [c for c in docs.columns if c not in ("log_ratio", "gumbel_score", "kept")]
     docs = docs.select(*names)
     sample = cut_lineage(labelled_sample(labels, most_labelled, key))
     model = fit_ratio(docs, sample, key, text)
-    noise = F.lit(temperature) * gumbel(F.col(key), seed)
-    narrow = with_log_ratio(docs.select(key, text), model, text).drop(text).join(F.broadcast(sample), F.col(key) == F.col("_label_key"), "left")
-    narrow = cut_lineage(narrow.select("log_ratio", "_good", "_fit", (F.col("log_ratio") + noise).alias("gumbel_score")))
+    own = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
+    narrow = with_log_ratio(own, model).select("key", "log_ratio").join(F.broadcast(sample), F.col("key") == F.col("label_key"), "left")
+    narrow = cut_lineage(narrow.withColumn("gumbel_score", F.col("log_ratio") + F.lit(temperature) * gumbel(F.col("key"), seed)))
     if take is None:
-        held_out = narrow.filter("not _fit and log_ratio is not null").select("log_ratio", "_good")
-        cut = best_cut([(r, g) for r, g in held_out.limit(2 * most_labelled).collect()])
+        held_out = narrow.filter("not fit and log_ratio is not null").groupBy("key").agg(F.min("log_ratio"), F.first("good"))
+        cut = best_cut([(score, good) for _, score, good in held_out.collect()])  # a row per label of the sample at most
         take = narrow.filter(F.col("log_ratio") >= cut).count()
     least = kth_largest(narrow, "gumbel_score", take)
-    scored = with_log_ratio(docs, model, text).withColumn("gumbel_score", F.col("log_ratio") + noise)
+    scored = with_log_ratio(docs, model, text).withColumn("gumbel_score", F.col("log_ratio") + F.lit(temperature) * gumbel(F.col(key), seed))
     return scored.withColumn("kept", F.coalesce(F.col("gumbel_score") >= F.lit(least), F.lit(False)))
