@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from chronoloom.llm.common import WORD_CLASS, cut_lineage, if_small, text_or_empty, unit_hash
+from chronoloom.llm.common import WORD_CLASS, cut_lineage, if_small, text_or_empty, unused
 
 #: A source's words are repeated at most so many times.
 MOST_REPEATS = 3
 #: Weights dealt to the sources by code point, over and over.
 WEIGHTS = (1, 2, 3)
+#: Draws that a source chooses among: a key's hash of so many values, times an odd number of each draw's own.
+DRAWS, VALUES, FACTOR = 128, 1 << 28, 97612893
 
 
 def word_count(text: Column) -> Column:
@@ -46,32 +48,59 @@ def source_targets(sizes: DataFrame, most_repeats: int = MOST_REPEATS) -> DataFr
     return left.withColumn("target", F.when(F.col("_full"), bound.cast("double")).otherwise(share.cast("double"))).drop("_words", "_weights", "_full")
 
 
+def draw_hash(key: Column, seed: str) -> Column:
+    """A whole number below VALUES that depends on key and seed alone, the same in every engine that has MD5."""
+    text = F.concat(F.lit(seed), F.coalesce(key.cast("string"), F.lit("")))
+    return F.conv(F.substring(F.md5(text), 1, 7), 16, 10).cast("long")
+
+
+def _drawn(hashed: Column, draw: Column, rate: Column) -> Column:
+    """Whether a document with this hash gets one copy more in a draw, which has the probability of the rate's fraction."""
+    factor = (2 * draw.cast("long") + 1) * FACTOR % VALUES
+    return hashed * factor % VALUES / F.lit(float(VALUES)) < rate - F.floor(rate)
+
+
+def nearest_draws(sized: DataFrame, targets: DataFrame) -> DataFrame:
+    """targets (source, source_size, target, rate) with `draw`: of the DRAWS draws the one whose words are nearest to the target, the first of equal ones.
+
+    sized: (source, size, hashed). One aggregate takes the words of all draws.
+    """
+    rated = sized.join(if_small(targets.select(F.col("source").alias("of"), "rate")), F.col("source").eqNullSafe(F.col("of")))
+    extra = [F.sum(F.when(_drawn(F.col("hashed"), F.lit(j), F.col("rate")), F.col("size")).otherwise(0)) for j in range(DRAWS)]
+    sums = rated.groupBy(F.col("source").alias("of")).agg(F.array(*extra).alias("extra"))
+    near = F.array_min(F.transform("extra", lambda x, j: F.struct(F.abs((F.floor("rate") * F.col("source_size") + x).cast("double") - F.col("target")).alias("off"), j.alias("draw"))))
+    return targets.join(sums, F.col("source").eqNullSafe(F.col("of"))).withColumn("draw", near["draw"]).drop("of", "extra")
+
+
 def plan_mixture(
     docs: DataFrame, *, weights: DataFrame | None = None, most_repeats: int = MOST_REPEATS, seed: str = "mix", text: str = "text", source: str = "source", key: str = "doc_id"
 ) -> DataFrame:
-    """Every row of docs with size, source_size, target, rate and copies; columns so named are replaced.
+    """Every row of docs with size, source_size, target, rate and copies; columns so named are replaced, others stay, whatever their names.
 
     size counts words (null text: 0); null is a source like any other, the last one. The rate of a
     source is target/source_size; a row gets floor(rate) copies and one more if its hash, seeded by
-    `seed` and its key, falls below the fraction. Rows that repeat a key share its fate; an empty
+    `seed` and its key, falls below the fraction. Of DRAWS draws each source takes the one whose words
+    come nearest to its target, so that one long document doesn't lead it astray. Rows that repeat a key share its fate; an empty
     table gives no rows; a source without words has target 0 and rate 0. weights: a table
     (source, weight) in place of the default 1, 2, 3, 1, ... by code point.
     """
     kept = [c for c in docs.columns if c not in ("size", "source_size", "target", "rate", "copies")]
-    sized = docs.select(*kept, word_count(text_or_empty(text)).alias("size"))
-    sizes = sized.groupBy(F.col(source).alias("source")).agg(F.sum("size").alias("source_size"))
+    size = word_count(text_or_empty(text))
+    sized = cut_lineage(docs.select(F.col(source).alias("source"), size.alias("size"), draw_hash(F.col(key), seed).alias("hashed")))
+    sizes = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
     if weights is None:
         turn = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last()))
         sizes = sizes.withColumn("weight", F.array(*map(F.lit, WEIGHTS))[(turn - 1) % len(WEIGHTS)].cast("long"))
     else:
-        named = weights.select(F.col("source").alias("_source"), "weight")
-        sizes = sizes.join(named, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
-    targets = source_targets(sizes, most_repeats).select(F.col("source").alias("_source"), "source_size", "target")
-    targets = if_small(cut_lineage(targets))
+        sizes = sizes.join(weights.select(F.col("source").alias("of"), "weight"), F.col("source").eqNullSafe(F.col("of"))).drop("of")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    planned = sized.join(targets, F.col(source).eqNullSafe(F.col("_source"))).drop("_source").withColumn("rate", rate)
-    extra = unit_hash(F.col(key), seed) < F.col("rate") - F.floor("rate")
-    return planned.withColumn("copies", F.floor("rate") + extra.cast("long"))
+    targets = cut_lineage(source_targets(sizes, most_repeats).select("source", "source_size", "target", rate.alias("rate")))
+    targets = if_small(cut_lineage(nearest_draws(sized, targets)))
+    of, draw = unused(docs, "of_source", "draw")
+    told = targets.select(F.col("source").alias(of), "source_size", "target", "rate", F.col("draw").alias(draw))
+    planned = docs.select(*kept, size.alias("size")).join(told, F.col(source).eqNullSafe(F.col(of)))
+    extra = _drawn(draw_hash(F.col(key), seed), F.col(draw), F.col("rate"))
+    return planned.withColumn("copies", F.floor("rate") + extra.cast("long")).drop(of, draw)
 
 
 def emit_mixture(planned: DataFrame) -> DataFrame:

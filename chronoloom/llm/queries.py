@@ -103,10 +103,12 @@ ORACLE_SQL = {
         g AS (SELECT *, w * words >= 3 * s * weights AS filled FROM f),
         o AS (SELECT words, weights FROM g WHERE NOT filled ORDER BY n LIMIT 1),
         t AS (SELECT source, s::BIGINT AS source_size, CASE WHEN filled THEN (3 * s)::DOUBLE ELSE (w * (SELECT words FROM o))::DOUBLE / (SELECT weights FROM o)::DOUBLE END AS target FROM g),
-        p AS (SELECT doc_id, size, source_size, target, CASE WHEN source_size > 0 THEN target / source_size::DOUBLE ELSE 0 END AS rate,
-            ('0x' || substr(md5('mix' || coalesce(doc_id::VARCHAR, '')), 1, 13))::BIGINT::DOUBLE / 4503599627370496.0 AS u
-            FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
-        SELECT doc_id, size, source_size, target, (size * (floor(rate)::BIGINT + CASE WHEN u < rate - floor(rate) THEN 1 ELSE 0 END))::BIGINT AS taken FROM p""",
+        p AS (SELECT doc_id, d.source, size, source_size, target, CASE WHEN source_size > 0 THEN target / source_size::DOUBLE ELSE 0 END AS rate,
+            ('0x' || substr(md5('mix' || coalesce(doc_id::VARCHAR, '')), 1, 7))::BIGINT AS h
+            FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+        c AS (SELECT p.*, j, (size * (floor(rate)::BIGINT + CASE WHEN (h * ((2 * j + 1) * 97612893 % 268435456) % 268435456)::DOUBLE / 268435456.0::DOUBLE < rate - floor(rate) THEN 1 ELSE 0 END))::BIGINT AS taken FROM p, range(128) g(j)),
+        n AS (SELECT source, j, row_number() OVER (PARTITION BY source ORDER BY abs(sum(taken)::DOUBLE - any_value(target)), j) AS place FROM c GROUP BY source, j)
+        SELECT doc_id, size, source_size, target, taken FROM c JOIN n ON c.source IS NOT DISTINCT FROM n.source AND c.j = n.j AND place = 1""",
     "op6_exact_dedup": """
         WITH h AS (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]+', ' ', 'g')) AS text_sha256 FROM documents)
         SELECT doc_id, first_value(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION BY text_sha256) AS group_size, row_number() OVER w = 1 AS kept, text_sha256

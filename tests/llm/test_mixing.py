@@ -42,6 +42,19 @@ def test_hard_rows(hard, none):
     assert mixing.plan_mixture(none).count() == 0
 
 
+def test_taken_words_are_near_their_targets(spark):
+    for folder, near in (("sf0.01", 0.02), ("sf0.1", 0.002)):
+        planned = mixing.plan_mixture(spark.read.parquet(f"/root/testdata/{folder}/documents.parquet").select("doc_id", "source", "text"))
+        for r in planned.selectExpr("source", "target", "size * copies as n").groupBy("source", "target").sum("n").collect():
+            assert abs(r["sum(n)"] - r["target"]) <= near * r["target"], r
+
+
+def test_clashing_names(hard):
+    docs = hard.selectExpr("*", "'s' as of_source", "'d' as _DRAW", "'d' as draw", "'c' as hashed", "'w' as weight")
+    planned = mixing.plan_mixture(docs)
+    assert {(r["of_source"], r["draw"], r["_DRAW"], r["hashed"], r["weight"]) for r in planned.collect()} == {("s", "d", "d", "c", "w")}
+
+
 def test_no_python_in_plan(hard):
     plan = mixing.emit_mixture(mixing.plan_mixture(hard))._jdf.queryExecution().toString()
     assert not any(x in plan for x in ("Python", "Arrow", "Pandas"))
