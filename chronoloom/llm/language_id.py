@@ -7,15 +7,18 @@ from dataclasses import dataclass
 from itertools import combinations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chronoloom.llm.common import bounded_batches, unit_hash
+from chronoloom.llm.common import bounded_batches, cut_lineage, unit_hash, unused
 from chronoloom.llm.text_arrays import chunks, utf8
 
 #: Hash buckets of the byte 1- to 4-grams, and about how many documents of each language are learned from.
 BUCKETS, PER_LANGUAGE = 4096, 800
+#: Most languages that are learned, the most frequent ones; they bound the machines, each of 16 KB, that the driver gets and sends out.
+MOST_LANGUAGES = 64
 #: Penalty of a margin violation, and passes of the solver over the sample.
 PENALTY, PASSES = 1.0, 20
 #: Families of close languages. Fixed values; any other language is a family of its own.
@@ -131,19 +134,26 @@ def held_out(key: str = "doc_id") -> Column:
     return F.crc32(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary")) % 5 == 0
 
 
-def fit_languages(docs: DataFrame, *, per_language: int = PER_LANGUAGE, key: str = "doc_id", text: str = "text", lang: str = "lang") -> LanguageModel:
+def fit_languages(docs: DataFrame, *, per_language: int = PER_LANGUAGE, most_languages: int = MOST_LANGUAGES, key: str = "doc_id", text: str = "text", lang: str = "lang") -> LanguageModel:
     """Learn from about per_language documents of each language, taken by hash from those not held out.
 
-    Only counts per language and the sample's feature vectors come to the driver; both are bounded by the number
-    of languages. Rows without a language or a letter are left out; none at all gives an empty model.
+    Each machine is trained in a task of its own, which gets the sampled feature vectors of its two classes; a family gives as
+    many documents as a language does. Only counts per language and the machines come to the driver; most_languages bounds
+    both. Rows without a language or a letter are left out; none at all gives an empty model. Rows that repeat are learned each.
     """
-    bounded_batches(docs.sparkSession)
+    spark = docs.sparkSession
+    bounded_batches(spark)
     known = docs.filter(F.col(lang).isNotNull() & F.col(text).isNotNull() & ~held_out(key)).filter(F.col(text).rlike(r"\p{L}"))
-    counts = dict(known.groupBy(lang).count().collect())
-    if not counts:
+    counts = known.groupBy(F.col(lang).alias("lang")).count().orderBy(F.desc("count"), "lang").limit(most_languages).collect()
+    languages = sorted(r["lang"] for r in counts)
+    if not languages:
         return LanguageModel((), ())
-    share = F.coalesce(*(F.when(F.col(lang) == name, F.lit(per_language / n)) for name, n in sorted(counts.items())))
-    sample = known.filter(unit_hash(F.col(key), "language") < share)
+    families = sorted({family(x) for x in languages})
+    classes = [(r["lang"], per_language / r["count"], 1 / sum(family(x) == family(r["lang"]) for x in languages)) for r in counts]
+    pairs = [(f"family:{one}", f"family:{other}", x, 1.0 if family(x) == one else -1.0) for one, other in combinations(families, 2) for x in languages if family(x) in (one, other)]
+    pairs += [(one, other, x, 1.0 if x == one else -1.0) for one, other in combinations(languages, 2) if family(one) == family(other) for x in (one, other)]
+    if not pairs:
+        return LanguageModel(tuple(languages), ())
 
     @F.arrow_udf("binary")
     def features(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
@@ -157,22 +167,27 @@ def fit_languages(docs: DataFrame, *, per_language: int = PER_LANGUAGE, key: str
                     out[a:b] += (seen / np.maximum(n, 1)[:, None]).astype(np.float32)
             yield pa.array([x.tobytes() for x in out], pa.binary())
 
-    rows = sample.select(F.col(key).alias("key"), F.col(lang).alias("lang"), features(F.lower(text)).alias("x")).collect()
-    rows.sort(key=lambda r: (r["key"] is None, r["key"], r["lang"], bytes(r["x"])))
-    x = np.stack([np.frombuffer(r["x"], np.float32) for r in rows]) if rows else np.zeros((0, BUCKETS), np.float32)
-    names = np.array([r["lang"] for r in rows], object)
-    languages = tuple(sorted(set(names)))
-    kin = np.array([f"family:{family(n)}" for n in names], object)
-    pairs = [*((p, kin) for p in combinations(sorted(set(kin)), 2)), *((p, names) for p in combinations(languages, 2) if family(p[0]) == family(p[1]))]
-    machines = []
-    for (one, other), of in pairs:
-        rows_of = np.flatnonzero((of == one) | (of == other))
-        machines.append(fit_machine((one, other), x[rows_of], np.where(of[rows_of] == one, 1.0, -1.0)))
-    return LanguageModel(languages, tuple(machines))
+    def train(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["key", "lang", "x"], na_position="first")
+        x = np.stack([np.frombuffer(v, np.float32) for v in rows["x"]])
+        machine = fit_machine((rows["one"].iloc[0], rows["other"].iloc[0]), x, rows["y"].to_numpy(float))
+        return pd.DataFrame({"one": [machine.pair[0]], "other": [machine.pair[1]], "weights": [machine.weights.tobytes()], "bias": [machine.offset]})
+
+    shares = F.broadcast(spark.createDataFrame(classes, "lang string, share double, kin double"))
+    sides = F.broadcast(spark.createDataFrame(pairs, "one string, other string, lang string, y double"))
+    named = known.select(F.col(key).alias("key"), F.col(text).alias("text"), F.col(lang).alias("lang")).join(shares, "lang")
+    sample = named.filter(unit_hash(F.col("key"), "language") < F.col("share")).select("key", "lang", "kin", features(F.lower("text")).alias("x"))
+    dealt = cut_lineage(sample).join(sides, "lang").filter(~F.col("one").startswith("family:") | (unit_hash(F.col("key"), "family") < F.col("kin")))
+    trained = dealt.groupBy("one", "other").applyInPandas(train, "one string, other string, weights binary, bias double").collect()
+    machines = {(r["one"], r["other"]): Machine((r["one"], r["other"]), np.frombuffer(r["weights"], np.float32), r["bias"]) for r in trained}
+    # a class of which no document was drawn leaves a machine that never decides
+    none = np.zeros(BUCKETS, np.float32)
+    names = sorted({(one, other) for one, other, *_ in pairs})
+    return LanguageModel(tuple(languages), tuple(machines.get(p, Machine(p, none, 0.0)) for p in names))
 
 
 def with_language(docs: DataFrame, model: LanguageModel, *, text: str = "text") -> DataFrame:
-    """docs with lang_pred and score (columns so named are replaced), from the text alone.
+    """docs with lang_pred and score (columns so named are replaced; others stay, whatever their names), from the text alone.
 
     A null text or one without a letter is `und` with score 0, and so is every text for an empty model. The
     score multiplies how sure the closest decisions of both levels are.
@@ -187,6 +202,6 @@ def with_language(docs: DataFrame, model: LanguageModel, *, text: str = "text")
             yield pa.StructArray.from_arrays([pa.array(found, pa.string()), pa.array(score, pa.float64())], ["lang_pred", "score"])
 
     kept = [c for c in docs.columns if c not in ("lang_pred", "score")]
-    letter = F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False)).alias("_letter")
-    told = docs.select(*kept, letter, predict(F.lower(F.col(text))).alias("_p"))
-    return told.select(*kept, F.when(F.col("_letter"), F.col("_p.lang_pred")).otherwise(UNDETERMINED).alias("lang_pred"), F.when(F.col("_letter"), F.col("_p.score")).otherwise(0.0).alias("score"))
+    letter, told = unused(docs, "letter", "told")
+    out = docs.select(*kept, F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False)).alias(letter), predict(F.lower(F.col(text))).alias(told))
+    return out.select(*kept, F.when(F.col(letter), F.col(told)["lang_pred"]).otherwise(UNDETERMINED).alias("lang_pred"), F.when(F.col(letter), F.col(told)["score"]).otherwise(0.0).alias("score"))
