@@ -6,20 +6,21 @@ import base64
 import hashlib
 import heapq
 import unicodedata
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from functools import cache
-from itertools import chain, pairwise
+from itertools import accumulate, chain, pairwise
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronoloom.llm.common import bounded_batches
+from chronoloom.llm.common import bounded_batches, unused
 from chronoloom.llm.text_arrays import chunks, utf8
 
-#: Where the public vocabulary lies on the driver, unless a caller names another file.
-RANK_FILE = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+#: The public vocabulary that ranks are read from on the driver, unless a caller names another file.
+VOCABULARY = "byte_bpe_50k.tiktoken"
 #: Classes of code points.
 OTHER, LETTER, NUMBER, SPACE = range(4)
 #: White space by Unicode's property. Fixed values.
@@ -256,14 +257,31 @@ class BytePairs:
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.tokens.__getitem__, ids))
 
+    def piece_tokens(self, text: str, starts: list[int]) -> list[int]:
+        """The number of the first token of each piece of a text that has just been encoded."""
+        sizes = [len(self.known[text[a:b]]) for a, b in pairwise([*starts, len(text)])]
+        return list(accumulate(sizes, initial=0))[:-1]
 
-def read_ranks(path: str = RANK_FILE) -> dict[bytes, int]:
-    """A rank file, one base64 token and its rank a line."""
+    def decode_span(self, ids: list[int], starts: list[int], tokens: list[int], first: int, last: int) -> bytes:
+        """The bytes of the code points [first, last) of a text: the pieces' offsets find the ids, so only theirs are decoded."""
+        if first >= last or not starts:
+            return b""
+        a, b = bisect_right(starts, max(first, 0)) - 1, bisect_left(starts, last)
+        ends = tokens[b] if b < len(tokens) else len(ids)
+        return self.decode(ids[tokens[a] : ends]).decode()[max(first, 0) - starts[a] : last - starts[a]].encode()
+
+
+def read_ranks(path: str | None = None) -> dict[bytes, int]:
+    """A rank file, one base64 token and its rank a line; by default that of VOCABULARY."""
+    if path is None:
+        import public_tokenizers
+
+        path = public_tokenizers.path(VOCABULARY)
     with open(path, "rb") as file:
         return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, file)}
 
 
-def _shared(spark: SparkSession, rank_file: str):  # noqa: ANN202
+def _shared(spark: SparkSession, rank_file: str | None):  # noqa: ANN202
     """The ranks on every executor; a vocabulary is some 50,000 entries whatever the corpus."""
     bounded_batches(spark)
     ranks, made = spark.sparkContext.broadcast(read_ranks(rank_file)), {}
@@ -282,25 +300,28 @@ def _parts(texts: pa.Array) -> Iterator[list[str]]:
         yield [x or "" for x in texts.slice(a, b - a).to_pylist()]
 
 
-def with_tokens(docs: DataFrame, *, text: str = "text", rank_file: str = RANK_FILE, name: str = "tokens") -> DataFrame:
-    """docs with a struct (ids, piece_starts): token ids, and the code point at which each piece starts.
+def with_tokens(docs: DataFrame, *, text: str = "text", rank_file: str | None = None, name: str = "tokens") -> DataFrame:
+    """docs with a struct (ids, piece_starts, piece_tokens): token ids, and the code point and token at which each piece starts.
 
     A null or empty text has no tokens; a column of that name is replaced; every other row and column
     stays as it is.
     """
     coder = _shared(docs.sparkSession, rank_file)
 
-    @F.arrow_udf("struct<ids:array<int>,piece_starts:array<int>>")
+    @F.arrow_udf("struct<ids:array<int>,piece_starts:array<int>,piece_tokens:array<int>>")
     def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
-            found = [x for part in _parts(texts) for x in coder().encode(part)]
+            found = []
+            for part in _parts(texts):
+                for value, (ids, starts) in zip(part, coder().encode(part), strict=True):
+                    found.append((ids, starts, coder().piece_tokens(value, starts)))
             kind = pa.list_(pa.int32())
-            yield pa.StructArray.from_arrays([pa.array([x[i] for x in found], kind) for i in (0, 1)], ["ids", "piece_starts"])
+            yield pa.StructArray.from_arrays([pa.array([x[i] for x in found], kind) for i in (0, 1, 2)], ["ids", "piece_starts", "piece_tokens"])
 
     return docs.withColumn(name, encode(F.col(text)))
 
 
-def with_decoded(docs: DataFrame, ids: str = "ids", *, rank_file: str = RANK_FILE, name: str = "decoded") -> DataFrame:
+def with_decoded(docs: DataFrame, ids: str = "ids", *, rank_file: str | None = None, name: str = "decoded") -> DataFrame:
     """docs with the bytes of an array of token ids; null has no bytes."""
     coder = _shared(docs.sparkSession, rank_file)
 
@@ -312,7 +333,23 @@ def with_decoded(docs: DataFrame, ids: str = "ids", *, rank_file: str = RANK_FIL
     return docs.withColumn(name, decode(F.col(ids)))
 
 
-def token_digests(docs: DataFrame, *, text: str = "text", rank_file: str = RANK_FILE) -> DataFrame:
+def with_decoded_span(docs: DataFrame, first: Column, last: Column, *, tokens: str = "tokens", rank_file: str | None = None, name: str = "decoded") -> DataFrame:
+    """docs with the bytes of a span of code points [first, last) of each encoded text, found by the offsets that with_tokens kept.
+
+    The whole text isn't decoded. A span beyond the text is cut to it; an empty one, null bounds and null tokens have no bytes.
+    """
+    coder = _shared(docs.sparkSession, rank_file)
+
+    @F.arrow_udf("binary")
+    def decode(batches: Iterator[tuple[pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for lists, begin, end in batches:
+            rows = zip(lists.to_pylist(), begin.to_pylist(), end.to_pylist(), strict=True)
+            yield pa.array([coder().decode_span(x["ids"], x["piece_starts"], x["piece_tokens"], a, b) if x and a is not None and b is not None else b"" for x, a, b in rows], pa.binary())
+
+    return docs.withColumn(name, decode(F.col(tokens), first.cast("long"), last.cast("long")))
+
+
+def token_digests(docs: DataFrame, *, text: str = "text", rank_file: str | None = None) -> DataFrame:
     """docs with n_tokens, ids_sha256 and decoded_sha256, for checks of a whole corpus (columns so named are replaced).
 
     Texts are encoded as by with_tokens and their ids decoded again within one task, so the ids needn't
@@ -333,4 +370,5 @@ def token_digests(docs: DataFrame, *, text: str = "text", rank_file: str = RANK_
             yield pa.StructArray.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds.values())], [*kinds])
 
     kept = [c for c in docs.columns if c not in ("n_tokens", "ids_sha256", "decoded_sha256")]
-    return docs.select(*kept, digest(F.col(text)).alias("_d")).select(*kept, "_d.*")
+    [found] = unused(docs, "digests")
+    return docs.select(*kept, digest(F.col(text)).alias(found)).select(*kept, f"{found}.*")

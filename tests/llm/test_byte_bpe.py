@@ -2,14 +2,16 @@ import hashlib
 import random
 
 import numpy as np
+import public_tokenizers
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from chronoloom.llm import byte_bpe, queries
 
 tiktoken = pytest.importorskip("tiktoken")
-PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+PATTERN = public_tokenizers.PATTERN
 
 
 @pytest.fixture(scope="module")
@@ -74,4 +76,9 @@ def test_query_against_the_library(spark, small, pair):
 def test_hard_rows(hard, none):
     rows = byte_bpe.with_decoded(byte_bpe.with_tokens(hard), "tokens.ids").collect()
     assert len(rows) == hard.count() and all(bytes(r["decoded"]).decode() == (r["text"] or "") for r in rows)
+    for first, last in ((0, 5), (3, 11), (-2, 4), (7, 7), (2, 10**6), (None, 3)):
+        spans = byte_bpe.with_decoded_span(byte_bpe.with_tokens(hard), F.lit(first), F.lit(last)).collect()
+        assert all(bytes(r["decoded"]).decode() == ("" if first is None else (r["text"] or "")[max(first, 0) : last]) for r in spans)
+    digests = hard.selectExpr("*", "'mine' as digests", "'mine' as ids_sha256")
+    assert {r["digests"] for r in byte_bpe.token_digests(digests).collect()} == {"mine"}
     assert byte_bpe.token_digests(none).count() == 0 and byte_bpe.with_tokens(none).count() == 0
