@@ -148,8 +148,8 @@ def _text_cells(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         yield _lists(np.concatenate(found), np.concatenate(lengths))
 
 
-#: Least number of parts that candidate pairs are dealt into; a text's cells are sent to a part once, however many of its pairs lie there.
-PARTS = 128
+#: About how many candidate pairs are dealt into a part; a text's cells are sent to a part once, however many of its pairs lie there.
+PAIRS_PER_PART = 2000
 
 
 def _live(buckets: DataFrame) -> DataFrame:
@@ -206,17 +206,16 @@ def _across(open_nodes: DataFrame, sets: DataFrame, similar: float) -> DataFrame
     some = placed.join(spans, "cell", "left_semi")
     left, right = (some.select("cell", *(F.col(c).alias(f"{c}_{side}") for c in ("node", "component", "n", "at"))) for side in "ab")
     met = left.join(right, "cell").filter("node_a < node_b and component_a != component_b")
-    # the cells before the places, and those after them, bound what two texts can share
-    most = F.least("at_a", "at_b") + 1 + F.least(F.col("n_a") - F.col("at_a") - 1, F.col("n_b") - F.col("at_b") - 1)
+    # of a similar pair the first shared cell leaves room for enough others after it in both
+    most = 1 + F.least(F.col("n_a") - F.col("at_a") - 1, F.col("n_b") - F.col("at_b") - 1)
     met = met.filter(F.least("n_a", "n_b") >= F.greatest("n_a", "n_b") * similar - 1e-9).filter(most >= (F.col("n_a") + F.col("n_b")) * similar / (1 + similar) - 1e-9)
     swap = F.xxhash64("node_a", "node_b") % 2 == 0
     return _paired(met.select(F.when(swap, F.col("node_a")).otherwise(F.col("node_b")).alias("home"), F.when(swap, F.col("node_b")).otherwise(F.col("node_a")).alias("away")))
 
 
 def _measured(pairs: DataFrame, sets: DataFrame, similar: float) -> DataFrame:
-    """The pairs (a, b) whose weighted Jaccard similarity is at least `similar`; pairs meet cells in the part of their home."""
-    spark = pairs.sparkSession
-    parts = max(PARTS, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    """The pairs (a, b) whose weighted Jaccard similarity is at least `similar`; pairs meet cells in the part of their home. pairs must be cut from their lineage, as they are counted."""
+    parts = max(1, -(-pairs.count() // PAIRS_PER_PART))
     dealt = pairs.select("a", "b", F.pmod(F.xxhash64("home"), F.lit(parts)).alias("part"))
     needed = dealt.select("part", F.explode(F.array("a", "b")).alias("node")).distinct().join(sets, "node").repartition(parts, "part")
     left, right = (needed.select("part", F.col("node").alias(end), F.col("cells").alias(f"cells_{end}")) for end in "ab")
