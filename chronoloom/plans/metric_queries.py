@@ -255,10 +255,10 @@ WINDOWS = "WITH w AS (SELECT label, vec_id, sqrt(list_sum([(x::DOUBLE) * (x::DOU
 @query(
     WINDOWS
     + """, s AS (SELECT label, count(*) AS windows, count(*) FILTER (WHERE rms < 0.12) AS silent, avg(rms) AS mean, stddev_pop(rms) AS spread, median(rms) FILTER (WHERE rms >= 0.12) AS signal, list_sort(list(rms)) AS sorted FROM w GROUP BY label),
-    q AS (SELECT *, list_median(sorted[1:greatest(1, windows // 10)]) AS noise FROM (SELECT *, sorted FROM s)),
+    q AS (SELECT *, list_aggregate(sorted[1:greatest(1, windows // 10)], 'median') AS noise FROM (SELECT *, sorted FROM s)),
     c AS (SELECT label, windows, round(silent / windows::DOUBLE, 6) AS silence_ratio, round(noise, 6) AS noise, round(CASE WHEN signal > 0 THEN 20 * log10(signal / greatest(noise, 1 / 32768.0::DOUBLE)) END, 4) AS snr_db, round(20 * log10(mean) - 0.691, 4) AS lufs,
         round(greatest(0, least(1, 1 - spread / greatest(mean, 1e-9))) * (1 - silent / windows::DOUBLE), 6) AS music FROM q)
-    SELECT *, row_number() OVER (ORDER BY round(1 - silence_ratio + noise, 5) DESC, label) = 1 AS best FROM c""".replace("list_median(sorted[1:greatest(1, windows // 10)])", "list_aggregate(sorted[1:greatest(1, windows // 10)], 'median')")
+    SELECT *, row_number() OVER (ORDER BY round(1 - silence_ratio + noise, 5) DESC, label) = 1 AS best FROM c"""
 )
 def channel_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A vector is a window of a channel (its label): silence, noise (median of the quietest tenth), signal to noise, loudness, steadiness, and the best channel."""
