@@ -61,3 +61,13 @@ def quantiles(ranked: DataFrame, keys: list[str], value: str, shares: dict[str,
     out = ranked.groupBy(*keys).agg(*found)
     between = lambda n: F.col(f"{n}__low") + (F.col(f"{n}__high") - F.col(f"{n}__low")) * F.col(f"{n}__part")
     return out.select(*keys, *(between(name).alias(name) for name in shares))
+
+
+def with_running_sum(df: DataFrame, keys: list[str], order: list[str], value: str, part: Column, name: str = "upto") -> DataFrame:
+    """df with the sum of a value over the rows of its key up to it in the order; slices as in with_neighbours."""
+    sliced = df.withColumn("slice__", part)
+    sums = sliced.groupBy(*keys, "slice__").agg(F.sum(value).alias("sum__"))
+    earlier = F.sum("sum__").over(Window.partitionBy(*keys).orderBy("slice__").rowsBetween(Window.unboundedPreceding, -1))
+    sums = sums.select(*(F.col(k).alias(f"{k}__of") for k in [*keys, "slice__"]), F.coalesce(earlier, F.lit(0)).alias("earlier__"))
+    own = F.sum(value).over(Window.partitionBy(*keys, "slice__").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    return sliced.join(sums, _same([*keys, "slice__"], sliced, sums)).select(*df.columns, (F.col("earlier__") + own).alias(name))

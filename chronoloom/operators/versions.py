@@ -6,6 +6,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from chronoloom.operators.neighbours import with_neighbours, with_running_sum
+
 
 def versioned_update(base: DataFrame, changes: DataFrame, keys: list[str], value: str) -> DataFrame:
     """base (keys, version, value) after changes (keys, expected, value): (keys, version, value, outcome).
@@ -69,15 +71,9 @@ def merge_adjacent(spans: DataFrame, keys: list[str], label: str, slice_width: i
     A row begins a run unless the row before it, by the start, ends where it starts and has its label. Runs are numbered by
     sums over slices of the timeline.
     """
-    from chronoloom.operators.neighbours import with_neighbours
-
     part = F.floor(F.col("start") / slice_width)
     seen = with_neighbours(spans.select(*keys, label, "start", "end"), keys, ["start", "end"], ["start", "end", label], part)
     new = ~F.coalesce((F.col("before.end") == F.col("start")) & F.col(f"before.{label}").eqNullSafe(F.col(label)), F.lit(False))
-    marked = seen.withColumn("new__", new.cast("long")).withColumn("slice__", part)
-    sums = marked.groupBy(*keys, "slice__").agg(F.sum("new__").alias("sum__"))
-    earlier = F.coalesce(F.sum("sum__").over(Window.partitionBy(*keys).orderBy("slice__").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    sums = sums.select(*keys, "slice__", earlier.alias("earlier__"))
-    run = F.col("earlier__") + F.sum("new__").over(Window.partitionBy(*keys, "slice__").orderBy("start", "end").rowsBetween(Window.unboundedPreceding, 0))
-    numbered = marked.join(sums, [*keys, "slice__"]).withColumn("run__", run)
+    marked = seen.select(*keys, label, "start", "end", new.cast("long").alias("new__"))
+    numbered = with_running_sum(marked, keys, ["start", "end"], "new__", part, "run__")
     return numbered.groupBy(*keys, "run__").agg(F.first(label).alias(label), F.min("start").alias("start"), F.max("end").alias("end"), F.count("*").alias("parts")).drop("run__")
