@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 #: Pairs that must open and close equally often. Fixed values.
 PAIRS = [("(", ")"), ("[", "]"), ("{", "}")]
 WORD = r"\d+(?:[.,]\d+)*|[\p{L}\p{N}]+(?:['’][\p{L}\p{N}]+)?"
+#: Secrets that are blotted out. Fixed values.
 SECRET = r"(?i)(bearer\s+\S+|hf_[a-z0-9]{16,}|token\s*=\s*\S+)"
 PUNCTUATION = r"\p{P}"
 
@@ -93,7 +94,7 @@ def share(pattern: str, text: Column) -> Column:
 
 
 def script_mismatch(text: Column, language: Column) -> Column:
-    """ja: six letters or more, 60 % of them Han and no kana; en: over 20 % not Latin; zh: over 35 % kana."""
+    """ja: six letters or more, 60 % of them Han and no kana; en: over 20 % not Latin; zh: over 35 % kana. Fixed values."""
     count = lambda p: F.regexp_count(text, F.lit(p))
     letters, han, kana, latin = count(r"\p{L}"), count(r"\p{IsHan}"), count(r"[\p{IsHiragana}\p{IsKatakana}]"), count(r"\p{IsLatin}")
     return (

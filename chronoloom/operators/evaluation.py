@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from chronoloom.operators import neighbours
 from chronoloom.functions.scores import clamp
 
 #: Steps, first rate and ridge of the gradient descent that fits a sigmoid; bins that a score's samples are pooled in.
@@ -27,11 +28,9 @@ def shared_mean(df: DataFrame, keys: Sequence[str], metric: str = "metric", valu
 
 def performance(df: DataFrame, keys: Sequence[str], *, busy: str, length: str, latency: str, peak: str) -> DataFrame:
     """Ratio of sums as real-time factor, largest peak, interpolated percentiles of the latencies there are, and how many there are."""
-    half = F.percentile(latency, F.array(F.lit(0.5), F.lit(0.95)))
-    out = df.groupBy(*keys).agg(
-        (F.sum(busy) / F.greatest(F.sum(length), F.lit(1e-9))).alias("rtf"), F.max(peak).alias("peak"), half.alias("_p"), (F.count(latency) / F.count("*")).alias("observed")
-    )
-    return out.select(*keys, "rtf", "peak", F.col("_p")[0].alias("p50"), F.col("_p")[1].alias("p95"), "observed")
+    out = df.groupBy(*keys).agg((F.sum(busy) / F.greatest(F.sum(length), F.lit(1e-9))).alias("rtf"), F.max(peak).alias("peak"), (F.count(latency) / F.count("*")).alias("observed"))
+    half = neighbours.quantiles(neighbours.ranked_values(df, list(keys), latency), list(keys), latency, {"p50": 0.5, "p95": 0.95})
+    return out.join(half, list(keys), "left").select(*keys, "rtf", "peak", "p50", "p95", "observed")
 
 
 def ranked(df: DataFrame, within: Sequence[str], *, score: Column, violations: dict[str, Column], key: str) -> DataFrame:

@@ -141,11 +141,7 @@ def summed_coverage(left: DataFrame, right: DataFrame, keys: list[str]) -> DataF
 def sessions(frames: DataFrame, keys: list[str], *, active: Column, silence: int, least: int, pad: int, score: str = "score") -> DataFrame:
     """Regions of active frames: a silence of at least `silence` parts them, those shorter than `least` go, the rest is
     padded (not below 0) and merged where it touches, keeping the largest score."""
-    order = Window.partitionBy(*keys).orderBy("start", "end")
-    voiced = frames.filter(active).filter("end > start")
-    new = F.when(F.col("start") - F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1)) < silence, 0).otherwise(1)
-    runs = voiced.withColumn("_new", new).withColumn("_run", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    regions = runs.groupBy(*keys, "_run").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.max(score).alias(score))
+    regions = merge_spans(frames.filter(active), keys, gap=silence - 1, score=score)
     padded = regions.filter(F.col("end") - F.col("start") >= least).select(*keys, F.greatest(F.lit(0).cast("long"), F.col("start") - pad).alias("start"), (F.col("end") + pad).alias("end"), score)
     return merge_spans(padded, keys, score=score)
 

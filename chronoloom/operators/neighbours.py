@@ -71,3 +71,14 @@ def with_running_sum(df: DataFrame, keys: list[str], order: list[str], value: st
     sums = sums.select(*(F.col(k).alias(f"{k}__of") for k in [*keys, "slice__"]), F.coalesce(earlier, F.lit(0)).alias("earlier__"))
     own = F.sum(value).over(Window.partitionBy(*keys, "slice__").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
     return sliced.join(sums, _same([*keys, "slice__"], sliced, sums)).select(*df.columns, (F.col("earlier__") + own).alias(name))
+
+
+def with_latest(df: DataFrame, keys: list[str], order: list[str], value: str, part: Column, name: str = "latest") -> DataFrame:
+    """df with the last value of its key up to each row that isn't null, null before the first; slices as in with_neighbours."""
+    sliced = df.withColumn("slice__", part)
+    some = F.when(F.col(value).isNotNull(), F.struct(*order))
+    ends = sliced.groupBy(*keys, "slice__").agg(F.max_by(value, some).alias("last__"))
+    earlier = F.last("last__", ignorenulls=True).over(Window.partitionBy(*keys).orderBy("slice__").rowsBetween(Window.unboundedPreceding, -1))
+    ends = ends.select(*(F.col(k).alias(f"{k}__of") for k in [*keys, "slice__"]), earlier.alias("earlier__"))
+    own = F.last(value, ignorenulls=True).over(Window.partitionBy(*keys, "slice__").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    return sliced.join(ends, _same([*keys, "slice__"], sliced, ends)).select(*df.columns, F.coalesce(own, "earlier__").alias(name))

@@ -81,11 +81,17 @@ def with_display_name(df: DataFrame, names: DataFrame, key: str, name: str) -> D
 
 
 def missing_keys(gold: DataFrame, found: DataFrame, group: Sequence[str], key: str) -> DataFrame:
-    """Gold keys without a row in a group of `found`, for all groups that it has, with what kind of fault: missing or unknown."""
-    groups = found.select(*group).distinct()
-    need = gold.select(key).distinct().crossJoin(F.broadcast(groups))
+    """Gold keys without a row in a group of `found`, for all groups that it has, with what kind of fault: missing or unknown.
+
+    Only the groups that lack a key are paired with the gold keys, so what is made grows with what is missing.
+    """
+    keys = gold.select(key).distinct()
     have = found.select(*group, key).distinct()
-    missing = need.join(have, [*group, key], "left_anti").select(*group, key).withColumn("fault", F.lit("missing"))
+    known = have.join(keys, key, "left_semi")
+    counts = known.groupBy(*group).agg(F.count("*").alias("held__"))
+    total = keys.agg(F.count("*").alias("all__"))
+    lacking = found.select(*group).distinct().join(counts, list(group), "left").join(F.broadcast(total), F.coalesce("held__", F.lit(0)) < F.col("all__"))
+    missing = lacking.select(*group).crossJoin(keys).join(have, [*group, key], "left_anti").select(*group, key).withColumn("fault", F.lit("missing"))
     unknown = have.join(gold.select(key).distinct(), key, "left_anti").select(*group, key).withColumn("fault", F.lit("unknown"))
     return missing.unionByName(unknown)
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -13,16 +13,33 @@ from pyspark.sql import functions as F
 _LOOP = re.compile(r"(.{3,10}?)\1{3}", re.S)
 
 
+def computed_once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with the value computed once for a row, also where it stands inside functions over arrays."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def tokens(text: Column) -> Column:
     return F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda w: w != "")
 
 
-def ngram_counts(df: DataFrame, key: str, text: str, size: int) -> DataFrame:
-    """(key, gram, words, times): how often each run of `size` tokens occurs in a text of at least that many."""
-    split = df.select(key, tokens(F.col(text)).alias("_w")).filter(F.size("_w") >= size)
-    grams = F.transform(F.sequence(F.lit(1), F.size("_w") - size + 1), lambda i: F.array_join(F.slice("_w", i, size), " "))
-    each = split.select(key, F.size("_w").cast("long").alias("words"), F.explode(grams).alias("gram"))
-    return each.groupBy(key, "words", "gram").agg(F.count("*").alias("times"))
+def ngram_repeats(text: Column, size: int, often: int) -> Column:
+    """A struct (words, most, repeated): a text's tokens, how often its most frequent run of `size` tokens occurs, and how many of its runs occur `often` times or more; null for a text of fewer tokens.
+
+    Runs are hashed, sorted and counted within the row, so none of them leaves its text.
+    """
+    grams = lambda w: F.array_sort(F.transform(F.sequence(F.lit(1), F.size(w) - size + 1), lambda i: F.xxhash64(F.array_join(F.slice(w, i, size), " "))))
+    start = F.struct(F.lit(None).cast("long").alias("last"), F.lit(0).alias("run"), F.lit(0).alias("most"), F.lit(0).alias("repeated"))
+
+    def count(s: Column, gram: Column) -> Column:
+        run = F.when(s["last"].eqNullSafe(gram), s["run"] + 1).otherwise(1)
+        added = F.when(run == often, often).when(run > often, 1).otherwise(0)
+        return F.struct(gram.alias("last"), run.alias("run"), F.greatest(s["most"], run).alias("most"), (s["repeated"] + added).alias("repeated"))
+
+    def tell(items: Column) -> Column:
+        end = lambda s: F.struct(F.size(items).cast("long").alias("words"), s["most"].cast("long").alias("most"), s["repeated"].cast("long").alias("repeated"))
+        return F.when(F.size(items) >= size, F.aggregate(grams(items), start, count, end))
+
+    return computed_once(tokens(text), tell)
 
 
 def has_token_loop(items: list[str], widest: int = 12, times: int = 4) -> bool:

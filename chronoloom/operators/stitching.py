@@ -6,10 +6,10 @@ from difflib import SequenceMatcher
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from chronoloom.streaming.folds import Router
+from chronoloom.operators import neighbours
 
 #: Similarity of text and share of time from which segments of neighbouring windows are one.
 SAME_TEXT, SAME_TIME = 0.88, 0.15
@@ -106,15 +106,25 @@ def track_speakers(df: DataFrame, key: str) -> DataFrame:
     return df.groupBy(key).applyInPandas(run, kinds)
 
 
-def routed(df: DataFrame, key: str, *, needed: int = 2, sure: float = 0.6) -> DataFrame:
-    """df (key, start, label, confidence) with the label in force at each observation, changed only by `needed` sure ones in a row."""
-    kinds = ", ".join(f"{c} {t}" for c, t in df.select(key, "start", "label", "confidence").dtypes)
+def routed(df: DataFrame, key: str, *, needed: int = 2, sure: float = 0.6, slice_width: int = 86_400) -> DataFrame:
+    """df (key, start, label, confidence) with the label in force at each observation as `route`, changed only by `needed` sure ones in a row.
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        router, ordered = Router(needed, sure), pdf.sort_values(["start", "label"])[[key, "start", "label", "confidence"]]
-        return ordered.assign(route=[router.push(a, None if pd.isna(b) else b) for a, b in zip(ordered["label"], ordered["confidence"], strict=True)])
-
-    return df.select(key, "start", "label", "confidence").groupBy(key).applyInPandas(run, f"{kinds}, route string")
+    The first sure observation decides at once; an unknown label or confidence is no evidence. Streaks are numbered and looked back at by slices
+    of the timeline, so a key with many observations is spread over tasks.
+    """
+    order, part = ["start", "label", "confidence"], F.floor(F.col("start") / slice_width)
+    own = df.select(key, *order)
+    known = F.col("label").isNotNull() & F.col("confidence").isNotNull()
+    is_sure = F.col("confidence") >= sure
+    seen = neighbours.with_neighbours(own.filter(known), [key], order, ["label", "confidence"], part)
+    goes_on = is_sure & F.coalesce((F.col("before.confidence") >= sure) & (F.col("before.label") == F.col("label")), F.lit(False))
+    marked = seen.select(key, *order, (~goes_on).cast("long").alias("new"), is_sure.cast("long").alias("sure"))
+    marked = neighbours.with_running_sum(neighbours.with_running_sum(marked, [key], order, "new", part, "streak"), [key], order, "sure", part, "sures")
+    place = F.row_number().over(Window.partitionBy(key, "streak").orderBy(*order))
+    decides = (F.col("sure") == 1) & ((F.col("place") >= needed) | (F.col("sures") == 1))
+    decided = marked.withColumn("place", place).select(key, *order, F.when(decides, F.col("label")).alias("decided"))
+    whole = decided.unionByName(own.filter(~known).withColumn("decided", F.lit(None).cast("string")))
+    return neighbours.with_latest(whole, [key], order, "decided", part, "route").select(key, *order, F.coalesce("route", F.lit("")).alias("route"))
 
 
 def chunk_ends(total: int, cues: list[tuple[int, int, float]], target: int, least: int, most: int) -> list[int]:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from chronoloom.functions import scores
-from chronoloom.operators import evaluation, intervals
+from chronoloom.operators import evaluation, intervals, neighbours
 from chronoloom.plans.interval_queries import SPANS, spans
 from chronoloom.plans.registry import query, table
 
@@ -48,14 +48,12 @@ def calibration(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def latency_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = table(spark, sf_dir, "events").filter("value is not null")
-    # the truncated index picks a row of the sorted values; ranks are counted by range partitions, not gathered in an array
-    half = F.percentile("value", F.array(F.lit(0.5), F.lit(0.95)))
-    counted = events.groupBy("event_type", "value").agg(F.count("*").alias("n"))
-    upto = counted.withColumn("upto", F.sum("n").over(Window.partitionBy("event_type").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)))
-    total = F.sum("n").over(Window.partitionBy("event_type"))
-    cut = upto.withColumn("at", F.floor((total - 1) * F.lit(0.95)) + 1).filter("upto >= at").groupBy("event_type").agg(F.round(F.min("value"), 6).alias("p95_cut"))
-    base = events.groupBy("event_type").agg(half.alias("p"), F.count_if(F.col("value") >= 1).alias("slow"), F.round(F.max("value"), 6).alias("peak"))
-    return base.join(cut, "event_type").select("event_type", F.round(F.col("p")[0], 6).alias("p50"), F.round(F.col("p")[1], 6).alias("p95"), "p95_cut", "slow", "peak")
+    ranked = neighbours.ranked_values(events, ["event_type"], "value")
+    half = neighbours.quantiles(ranked, ["event_type"], "value", {"p50": 0.5, "p95": 0.95})
+    # the truncated index picks a row of the sorted values
+    cut = ranked.filter(F.col("upto") >= F.floor((F.col("total") - 1) * F.lit(0.95)) + 1).groupBy("event_type").agg(F.round(F.min("value"), 6).alias("p95_cut"))
+    base = events.groupBy("event_type").agg(F.count_if(F.col("value") >= 1).alias("slow"), F.round(F.max("value"), 6).alias("peak"))
+    return base.join(half, "event_type").join(cut, "event_type").select("event_type", F.round("p50", 6).alias("p50"), F.round("p95", 6).alias("p95"), "p95_cut", "slow", "peak")
 
 
 @query(

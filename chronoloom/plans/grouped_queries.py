@@ -8,17 +8,23 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronoloom.operators import stitching
-from chronoloom.plans.interval_queries import SPANS, spans
+from chronoloom.operators import intervals, stitching
+from chronoloom.plans.interval_queries import ISLANDS, SPANS, spans
 from chronoloom.plans.registry import query, table
 from chronoloom.streaming import sessions
 
 
-@query()
+@query(
+    SPANS
+    + """, voiced AS (SELECT * FROM ok WHERE value >= 20), a AS (SELECT *, CASE WHEN s - max(e) OVER (PARTITION BY user_id ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) < 900 THEN 0 ELSE 1 END AS fresh FROM voiced),
+    b AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS run FROM a), c AS (SELECT user_id, greatest(0, min(s) - 60) AS s, max(e) + 60 AS e, max(value) AS value FROM b GROUP BY user_id, run HAVING max(e) - min(s) >= 600)"""
+    + ISLANDS.format(k="user_id", t="c")
+    + """ SELECT user_id, s AS "start", e AS "end", value AS score FROM islands"""
+)
 def session_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Speech sessions by the fold that the stream uses."""
-    frames = spans(spark, sf_dir).filter("end > start").withColumnRenamed("value", "score")
-    return sessions.speech_sessions_batch(frames, "user_id", threshold=0.5, silence=900, least=600, pad=60)
+    """The sessions of loud frames that the stream's fold gives, from a batch: merged by slices, not folded key by key."""
+    frames = spans(spark, sf_dir).withColumnRenamed("value", "score")
+    return intervals.sessions(frames, ["user_id"], active=F.col("score") >= 20, silence=900, least=600, pad=60).select("user_id", "start", "end", "score")
 
 
 @query(
@@ -37,10 +43,15 @@ def stream_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "event_type", "n", F.round("total", 4).alias("total"))
 
 
-@query()
+@query(
+    SPANS
+    + """, o AS (SELECT user_id, s AS "start", event_type AS label, least(1.0, value / 20) AS confidence FROM spans), p AS (SELECT *, lag(label) OVER w AS bl, lag(confidence) OVER w AS bc, sum(CASE WHEN confidence >= 0.6 THEN 1 ELSE 0 END) OVER (w ROWS UNBOUNDED PRECEDING) AS sures FROM o WINDOW w AS (PARTITION BY user_id ORDER BY "start", label, confidence)),
+    d AS (SELECT *, CASE WHEN confidence >= 0.6 AND (sures = 1 OR bl = label AND bc >= 0.6) THEN label END AS decided FROM p)
+    SELECT user_id, "start", label, confidence, coalesce(last_value(decided IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY "start", label, confidence ROWS UNBOUNDED PRECEDING), '') AS route FROM d"""
+)
 def label_router(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Event types as language observations; a change needs two sure ones in a row."""
-    seen = spans(spark, sf_dir).select("user_id", "start", F.col("event_type").alias("label"), F.least(F.lit(1.0), "value").alias("confidence"))
+    seen = spans(spark, sf_dir).select("user_id", "start", F.col("event_type").alias("label"), F.least(F.lit(1.0), F.col("value") / 20).alias("confidence"))
     return stitching.routed(seen, "user_id")
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from chronoloom.functions import normal, text
 from chronoloom.operators import neighbours
+from chronoloom.operators.repetition import computed_once
 from chronoloom.plans.registry import query, table
 
 PAIRS = "WITH p AS (SELECT a.conv_id, a.turn, a.text AS ref, b.text AS hyp FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1 WHERE a.text IS NOT NULL AND b.text IS NOT NULL)"
@@ -86,7 +87,7 @@ def safety_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = pairs(spark, sf_dir).withColumns({"whole": folded(F.col("hyp")), "own": F.split(normal.caseless(F.array_join(F.transform(normal.pieces(F.col("ref")), lambda s: F.regexp_replace(s, r"(?U)[\p{P}\s]", "")), "\n")), "\n")})
     kept = F.filter("own", lambda s: s != "")
     hours = F.greatest(F.length("ref") / F.lit(15.0) / 3600, F.lit(1 / 3600))
-    omitted = F.size(F.filter(kept, lambda s: ~normal.sentence_present(s, F.col("whole"))))
+    omitted = computed_once(F.col("whole"), lambda whole: F.size(F.filter(kept, lambda s: ~normal.sentence_present(s, whole))))
     return own.select(
         "conv_id", "turn", F.round(omitted / F.greatest(F.lit(1), F.size(kept)), 6).alias("omission_rate"),
         F.round(((F.col("turn") % 5 == 0) & (F.col("whole") != "")).cast("int") / hours, 6).alias("hallucinations_per_hour"),

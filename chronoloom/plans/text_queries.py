@@ -41,7 +41,10 @@ def bracket_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents(spark, sf_dir).select("doc_id", texts.pairs_balanced(F.col("text")).alias("balanced"))
 
 
-@query()
+@query(
+    """SELECT doc_id, length(list_reduce(list_concat([''], regexp_extract_all(text, '[\\(\\)\\[\\]\\{\\}]')), lambda s, c: CASE WHEN c IN ('(', '[', '{') THEN s || c WHEN right(s, 1) = CASE c WHEN ')' THEN '(' WHEN ']' THEN '[' ELSE '{' END THEN left(s, length(s) - 1) ELSE '!' || s END))::BIGINT AS unpaired
+    FROM documents WHERE text IS NOT NULL"""
+)
 def bracket_stack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents(spark, sf_dir).select("doc_id", texts.unpaired(F.col("text")).alias("unpaired"))
 
@@ -63,8 +66,8 @@ def repeated_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT doc_id, any_value(n) AS words, max(times) AS most, round(count(*) FILTER (WHERE times >= 4)::DOUBLE / (any_value(n) - 2), 6) AS repeated_share FROM c GROUP BY doc_id"""
 )
 def ngram_loops(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = repetition.ngram_counts(documents(spark, sf_dir), "doc_id", "text", size=3)
-    return found.groupBy("doc_id").agg(F.max("words").alias("words"), F.max("times").alias("most"), F.round(F.sum(F.when(F.col("times") >= 4, F.col("times")).otherwise(0)) / (F.max("words") - 2), 6).alias("repeated_share"))
+    found = documents(spark, sf_dir).select("doc_id", repetition.ngram_repeats(F.col("text"), 3, 4).alias("r")).filter("r is not null")
+    return found.select("doc_id", "r.words", "r.most", F.round(F.col("r.repeated") / (F.col("r.words") - 2), 6).alias("repeated_share"))
 
 
 @query()
@@ -100,7 +103,7 @@ def redaction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents(spark, sf_dir).select("doc_id", F.length(clean).cast("long").alias("chars"), F.md5(clean).alias("digest"), F.col("text").rlike(texts.SECRET).alias("changed"))
 
 
-@query("SELECT doc_id, length(regexp_replace(text, '\\p{P}', '', 'g')) AS off, length(text) - len(regexp_extract_all(text, '\\p{P}')) + len(regexp_extract_all(text, '[.?!]')) AS sentence_end FROM documents WHERE NOT regexp_matches(text, '[。！？]')")
+@query("SELECT doc_id, length(regexp_replace(text, '\\p{P}', '', 'g')) AS off, length(text) - len(regexp_extract_all(text, '\\p{P}')) + len(regexp_extract_all(text, '[.?!。！？]')) AS sentence_end FROM documents")
 def punctuation_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
     size = lambda mode: F.length(texts.punctuated(F.col("text"), mode)).cast("long").alias(mode)
     return documents(spark, sf_dir).select("doc_id", size("off"), size("sentence_end"))
@@ -127,7 +130,7 @@ def parameter_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SELECT d.doc_id, count(*) AS terms, string_agg(b.item_id::VARCHAR, ',' ORDER BY b.item_id) AS items FROM documents d JOIN benchmark b ON contains(lower(d.text), lower(b.text)) WHERE length(b.text) > 0 GROUP BY d.doc_id"""
 )
 def glossary_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark passage as it is; the first words of each passage file it in an index."""
+    """Documents that hold a benchmark passage as it is; inner words of each passage file it in an index."""
     from chronoloom.operators.glossary import contained_terms
 
     found = contained_terms(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"), text="text", term="text", term_id="item_id", key="doc_id")
@@ -136,8 +139,8 @@ def glossary_links(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     """WITH c AS (SELECT conv_id, turn, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM conversations)
-    SELECT conv_id, count(*) AS cues, md5(string_agg(n::VARCHAR || chr(10) || '00:00:' || lpad((n*2 - 2)::VARCHAR, 2, '0') || ',000 --> 00:00:' || lpad((n*2)::VARCHAR, 2, '0') || ',000' || chr(10) || role || ': ' || text, chr(10) || chr(10) ORDER BY n)) AS srt,
-    md5(string_agg(role || ': ' || text, chr(10) || chr(10) ORDER BY n) || chr(10)) AS txt FROM c GROUP BY conv_id HAVING count(*) < 30"""
+    SELECT conv_id, count(*) AS cues, md5(string_agg(n::VARCHAR || chr(10) || lpad(((n * 2 - 2) // 3600)::VARCHAR, 2, '0') || ':' || lpad(((n * 2 - 2) // 60 % 60)::VARCHAR, 2, '0') || ':' || lpad(((n * 2 - 2) % 60)::VARCHAR, 2, '0') || ',000' || ' --> ' || lpad(((n * 2) // 3600)::VARCHAR, 2, '0') || ':' || lpad(((n * 2) // 60 % 60)::VARCHAR, 2, '0') || ':' || lpad(((n * 2) % 60)::VARCHAR, 2, '0') || ',000' || chr(10) || role || ': ' || text, chr(10) || chr(10) ORDER BY n)) AS srt,
+    md5(string_agg(role || ': ' || text, chr(10) || chr(10) ORDER BY n) || chr(10)) AS txt FROM c GROUP BY conv_id"""
 )
 def exports(spark: SparkSession, sf_dir: str) -> DataFrame:
     from chronoloom.sources.exports import render_srt, render_text
