@@ -58,6 +58,30 @@ def drop_window_duplicates(df: DataFrame, key: str) -> DataFrame:
     return df.select(key, "window", "start", "end", "text", "score").groupBy(key).applyInPandas(run, schema)
 
 
+def overlap_links(before: DataFrame, after: DataFrame, keys: list[str], *, alike: float = 0.82, shared: float = 0.15, bucket: int = 86_400) -> DataFrame:
+    """(keys, label, speaker, evidence): for each local label of later segments the known speaker of earlier ones who says the same at the same time.
+
+    before: (keys, start, end, text, speaker), after: (keys, start, end, text, label). Segments meet in time buckets; a pair counts if its texts are alike
+    and it shares enough of the shorter span. evidence weighs both; of equal ones the first speaker by name wins.
+    """
+    from chronoloom.operators.intervals import overlap_join
+
+    pairs = overlap_join(before.filter("trim(text) != ''"), after.filter("trim(text) != ''"), keys, bucket=bucket)
+
+    @F.pandas_udf("double")
+    def same(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([SequenceMatcher(None, x, y, autojunk=False).ratio() for x, y in zip(a, b, strict=True)], dtype=float)
+
+    time = F.col("shared") / F.least(F.col("l_end") - F.col("l_start"), F.col("r_end") - F.col("r_start"))
+    lengths = F.struct(F.length("l_text").alias("a"), F.length("r_text").alias("b"))
+    possible = 2 * F.least(lengths["a"], lengths["b"]) / (lengths["a"] + lengths["b"]) >= alike  # the ratio can't exceed this
+    told = pairs.withColumn("time__", time).filter((F.col("time__") >= shared) & possible).withColumn("same__", same("l_text", "r_text")).filter(F.col("same__") >= alike)
+    evidence = F.least(F.lit(1.0), F.round(0.75 * F.col("same__") + 0.25 * F.col("time__"), 6))
+    best = told.select(*keys, F.col("r_label").alias("label"), F.col("l_speaker").alias("speaker"), evidence.alias("evidence"))
+    first = F.min(F.struct((-F.col("evidence")).alias("no"), "speaker"))
+    return best.groupBy(*keys, "label").agg(first.alias("b__")).select(*keys, "label", F.col("b__.speaker").alias("speaker"), (-F.col("b__.no")).alias("evidence"))
+
+
 def boundary_overlap(left: list[str], right: list[str]) -> int:
     """Tokens of the longest suffix of the left side that starts the right one."""
     low = [t.casefold() for t in left], [t.casefold() for t in right]

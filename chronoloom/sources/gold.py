@@ -2,9 +2,17 @@
 
 from __future__ import annotations
 
+import io
+import zipfile
+from collections.abc import Iterator
+from xml.etree import ElementTree
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from chronoloom.session import ship
+
 WORD = "array<struct<text:string,start_sample:bigint,end_sample:bigint,speaker:string>>"
 SPEAKER = "array<struct<speaker:string,start_sample:bigint,end_sample:bigint>>"
 GOLD = (
@@ -65,3 +73,27 @@ def read_terms(spark: SparkSession, path: str, language: str) -> DataFrame:
 def read_material(spark: SparkSession, path: str, most: int = 2_000_000) -> DataFrame:
     """(path, text): whole text files, each cut to `most` characters."""
     return spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias("path"), F.substring("value", 1, most).alias("text"))
+
+
+def _slide_texts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        rows = []
+        for path, content in batch.itertuples(index=False):
+            try:
+                with zipfile.ZipFile(io.BytesIO(content)) as archive:
+                    names = sorted(n for n in archive.namelist() if n.startswith("ppt/slides/slide") and n.endswith(".xml"))
+                    texts = [node.text for n in names for node in ElementTree.fromstring(archive.read(n)).iter() if node.tag.endswith("}t") and node.text]
+                rows.append((path, "\n".join(texts), None))
+            except (zipfile.BadZipFile, ElementTree.ParseError) as e:
+                rows.append((path, "", f"unreadable: {e}"))
+        yield pd.DataFrame(rows, columns=["path", "text", "fault"])
+
+
+def read_slides(spark: SparkSession, path: str) -> DataFrame:
+    """(path, text, fault) of presentations: the text nodes of their slides, one a line, slides in order of their files' names.
+
+    A file that isn't a presentation has the empty text and a fault. Files are read by Spark and opened in its tasks.
+    """
+    ship(spark)
+    files = spark.read.format("binaryFile").load(path).select("path", "content")
+    return files.mapInPandas(_slide_texts, "path string, text string, fault string")
