@@ -19,6 +19,12 @@ def _compatible(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         yield pa.array([None if x is None else unicodedata.normalize("NFKC", x).casefold() for x in texts.to_pylist()], pa.string())
 
 
+@F.arrow_udf("string")
+def _normalised(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    for texts in batches:
+        yield pa.array([None if x is None else unicodedata.normalize("NFKC", x) for x in texts.to_pylist()], pa.string())
+
+
 @F.arrow_udf("string")
 def _caseless(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
     for texts in batches:
@@ -30,6 +36,11 @@ def compatible(text: Column) -> Column:
     return _compatible(text)
 
 
+def normalised(text: Column) -> Column:
+    """NFKC alone."""
+    return _normalised(text)
+
+
 def caseless(text: Column) -> Column:
     """Case folding alone."""
     return _caseless(text)
@@ -101,3 +112,35 @@ def pronounced(text: Column, readings: dict[str, str]) -> Column:
     for written in sorted(readings, key=lambda w: (-len(w), w)):
         text = F.replace(text, F.lit(written), F.lit(readings[written]))
     return text
+
+
+def surface_tokens(compatible_text: Column, language: Column) -> Column:
+    """Tokens as they are shown. Chinese and Japanese: each character of their scripts, and runs of other letters, numbers, apostrophes, hyphens and stops; else words, numbers and single letters."""
+    script = r"\u3400-\u9fff\u3040-\u30ff"
+    mixed = F.regexp_extract_all(compatible_text, F.lit(rf"[{script}]|(?:[\p{{L}}\p{{N}}'’\-.&&[^{script}]])+"), F.lit(0))
+    words = F.regexp_extract_all(compatible_text, F.lit(r"[A-Za-z]+(?:['’-][A-Za-z]+)*|\d+(?:[.,]\d+)?|[\p{L}\p{N}]"), F.lit(0))
+    return F.when(language.isin("zh", "ja"), mixed).otherwise(words)
+
+
+#: Marks that only format a text. Fixed values.
+FORMATTING = "。！？.!?,，、;；:：\"'“”‘’「」『』【】（）()[]{}《》〈〉…"
+_PLAIN = "".join("\\" + c if c in "[]{}()" else c for c in FORMATTING if c not in ".,:'’")
+
+
+def lexical_characters(text: Column) -> Column:
+    """The text without white space and marks, but with stops before digits, commas and colons between digits, and apostrophes within words."""
+    drop = rf"\.(?!\p{{Nd}})|(?<!\p{{Nd}})[,:]|[,:](?!\p{{Nd}})|(?<![\p{{L}}\p{{N}}])['’]|['’](?![\p{{L}}\p{{N}}])|[{_PLAIN}]|(?U)\s"
+    return F.regexp_replace(text, drop, "")
+
+
+def novelty_stalled(snapshots: list[Column]) -> Column:
+    """Whether four successive token lists bring nothing new: they differ by one token at most, or each goes on from the one before with tokens of its last twelve only."""
+    sizes = F.array(*(F.size(s) for s in snapshots))
+    flat = F.array_max(sizes) - F.array_min(sizes) <= 1
+    steps = []
+    for before, now in zip(snapshots, snapshots[1:], strict=False):
+        n = F.size(before)
+        added = F.slice(now, n + 1, F.greatest(F.size(now) - n, F.lit(0)))
+        recent = F.slice(before, F.greatest(n - 11, F.lit(1)), F.lit(12))
+        steps.append((F.size(now) > n) & (F.slice(now, F.lit(1), n) == before) & (F.size(F.array_except(added, recent)) == 0))
+    return flat | (steps[0] & steps[1] & steps[2])

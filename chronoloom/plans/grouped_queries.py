@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,22 +28,36 @@ def session_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return intervals.sessions(frames, ["user_id"], active=F.col("score") >= 20, silence=900, least=600, pad=60).select("user_id", "start", "end", "score")
 
 
+def streamed(spark: SparkSession, sf_dir: str, name: str, operator: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """What a streaming operator gives over all rows of a table, read as a stream; the output lies in the shared folder."""
+    root = f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp(prefix='spark-shared-')}/stream-{uuid.uuid4().hex}"
+    schema = table(spark, sf_dir, name).schema
+    out = operator(spark.readStream.schema(schema).parquet(f"{sf_dir}/{name}.parque[t]"))  # a pattern fits a file and a folder
+    run = out.writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/state").outputMode("append").trigger(availableNow=True).start()
+    run.awaitTermination()
+    return spark.read.schema(out.schema).parquet(f"{root}/out")
+
+
 @query(
     """SELECT date_trunc('hour', ts) AS window_start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events
     WHERE date_trunc('hour', ts) + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE GROUP BY ALL"""
 )
 def stream_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hourly counts from a stream of the events table; windows that the watermark has passed at its end."""
-    root = f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp(prefix='spark-shared-')}/stream-{uuid.uuid4().hex}"
-    schema = table(spark, sf_dir, "events").schema
-    events = spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parque[t]")  # a pattern fits a file and a folder
-    out = sessions.windowed_counts(events)
-    run = out.writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/state").outputMode("append").trigger(availableNow=True).start()
-    run.awaitTermination()
-    found = spark.read.schema(out.schema).parquet(f"{root}/out")
+    found = streamed(spark, sf_dir, "events", sessions.windowed_counts)
     return found.select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "event_type", "n", F.round("total", 4).alias("total"))
 
 
+@query(
+    """WITH m AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) <= INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS fresh FROM events), r AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts) AS run FROM m)
+    SELECT user_id, min(ts) AS first, count(*) AS n FROM r GROUP BY user_id, run HAVING max(ts) + INTERVAL 30 MINUTE <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE"""
+)
+def expired_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sessions of a user in a stream of events that ended for want of events."""
+    found = streamed(spark, sf_dir, "events", lambda events: sessions.expired_sessions(events, "user_id"))
+    return found.select("user_id", F.col("first").cast("timestamp_ntz").alias("first"), "n")
+
+
 @query(
     SPANS
     + """, o AS (SELECT user_id, s AS "start", event_type AS label, least(1.0, value / 20) AS confidence FROM spans), p AS (SELECT *, lag(label) OVER w AS bl, lag(confidence) OVER w AS bc, sum(CASE WHEN confidence >= 0.6 THEN 1 ELSE 0 END) OVER (w ROWS UNBOUNDED PRECEDING) AS sures FROM o WINDOW w AS (PARTITION BY user_id ORDER BY "start", label, confidence)),

@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronoloom.operators import intervals, marks, stitching
+from chronoloom.functions import normal, scores
+from chronoloom.functions import text as texts
+from chronoloom.operators import evaluation, intervals, marks, stitching
 from chronoloom.plans.interval_queries import ISLANDS, SPANS, spans
-from chronoloom.plans.metric_queries import capital_scores, entity_recall, safety_rates
+from chronoloom.plans.metric_queries import capital_scores, entity_recall, pairs, safety_rates
 from chronoloom.plans.registry import ORACLE_SQL, query, table
 
 
@@ -114,3 +116,74 @@ def same_speakers(spark: SparkSession, sf_dir: str) -> DataFrame:
     before = turns.select("conv_id", "start", (F.col("start") + 900).alias("end"), "text", F.col("role").alias("speaker"))
     after = turns.select("conv_id", (F.col("start") + 200).alias("start"), (F.col("start") + 1100).alias("end"), F.concat("text", F.lit("!")).alias("text"), F.concat(F.lit("L"), (F.col("turn") % 3).cast("string")).alias("label"))
     return stitching.overlap_links(before, after, ["conv_id"], bucket=10_000).withColumn("evidence", F.round("evidence", 6))
+
+
+@query(
+    r"""WITH t AS (SELECT doc_id, regexp_extract_all(text, '[A-Za-z]+(?:[''’-][A-Za-z]+)*|\d+(?:[.,]\d+)?|[\p{L}\p{N}]') AS w FROM documents WHERE text IS NOT NULL) SELECT doc_id, len(w) AS tokens, md5(array_to_string(w, ' ')) AS digest FROM t"""
+)
+def surface_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every document as they are shown."""
+    docs = table(spark, sf_dir, "documents").filter("text is not null").select("doc_id", normal.normalised(F.col("text")).alias("t"), F.coalesce("lang", F.lit("")).alias("lang"))
+    told = docs.select("doc_id", normal.surface_tokens(F.col("t"), F.col("lang")).alias("w"))
+    return told.select("doc_id", F.size("w").cast("long").alias("tokens"), F.md5(F.array_join("w", " ")).alias("digest"))
+
+
+_MARKS = normal.FORMATTING.replace("'", "''")
+
+
+@query(
+    f"""WITH c AS (SELECT conv_id, turn, unnest(string_split(text, '')) AS ch, generate_subscripts(string_split(text, ''), 1) AS pos FROM conversations WHERE text <> ''),
+    n AS (SELECT *, coalesce(lag(ch) OVER w, '') AS b, coalesce(lead(ch) OVER w, '') AS a FROM c WINDOW w AS (PARTITION BY conv_id, turn ORDER BY pos)),
+    k AS (SELECT *, NOT regexp_matches(ch, '[\\s\\p{{Z}}]') AND (NOT contains('{_MARKS}', ch) OR ch = '.' AND regexp_matches(a, '\\p{{Nd}}') OR ch IN (',', ':') AND regexp_matches(b, '\\p{{Nd}}') AND regexp_matches(a, '\\p{{Nd}}')
+        OR ch IN (chr(39), '’') AND regexp_matches(b, '[\\p{{L}}\\p{{N}}]') AND regexp_matches(a, '[\\p{{L}}\\p{{N}}]')) AS kept FROM n)
+    SELECT conv_id, turn, count(*) FILTER (WHERE kept) AS characters, md5(coalesce(string_agg(ch, '' ORDER BY pos) FILTER (WHERE kept), '')) AS digest FROM k GROUP BY conv_id, turn"""
+)
+def lexical_characters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a turn says without white space and formatting marks."""
+    told = table(spark, sf_dir, "conversations").filter("text != ''").select("conv_id", "turn", normal.lexical_characters(F.col("text")).alias("t"))
+    return told.select("conv_id", "turn", F.length("t").cast("long").alias("characters"), F.md5("t").alias("digest"))
+
+
+@query("SELECT user_id, event_id // 40 AS frame, sqrt(avg(value * value)) >= 12 AS voiced, count(*) AS samples FROM events GROUP BY user_id, event_id // 40")
+def voiced_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether the level of each frame of a user passes the gate."""
+    level = F.sqrt(F.avg(F.col("value") * F.col("value")))
+    return table(spark, sf_dir, "events").groupBy("user_id", F.floor(F.col("event_id") / 40).alias("frame")).agg((level >= 12).alias("voiced"), F.count("*").alias("samples"))
+
+
+@query(
+    SPANS
+    + """, seg AS (SELECT * FROM ok WHERE event_type = (SELECT min(event_type) FROM events)), oth AS (SELECT * FROM ok WHERE event_type <> (SELECT min(event_type) FROM events)),
+    p AS (SELECT a.event_id, b.event_type AS speaker, sum(least(a.e, b.e) - greatest(a.s, b.s)) AS n FROM seg a JOIN oth b ON a.user_id = b.user_id AND a.s < b.e AND b.s < a.e GROUP BY ALL), d AS (SELECT event_id, max({'n': n, 'l': speaker})['l'] AS speaker FROM p GROUP BY event_id)
+    SELECT seg.event_id, coalesce(speaker, seg.event_type) AS speaker, round(CASE WHEN speaker IS NULL THEN value ELSE least(value, 10) END, 6) AS score FROM seg LEFT JOIN d USING (event_id)"""
+)
+def attributed_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Segments of the first type by name take the label that overlaps them most, and their score is capped if one does."""
+    found = spans(spark, sf_dir).filter("end > start")
+    first = found.agg(F.min("event_type")).first()[0]
+    segments, others = found.filter(F.col("event_type") == first), found.filter(F.col("event_type") != first)
+    best = intervals.dominant(segments.select("user_id", "event_id", "start", "end"), others, ["user_id"], "event_type", summed=True).select(F.col("l_event_id").alias("event_id"), F.col("event_type").alias("speaker"))
+    told = segments.join(best, "event_id", "left")
+    return told.select("event_id", F.coalesce("speaker", "event_type").alias("speaker"), F.round(F.when(F.col("speaker").isNull(), F.col("value")).otherwise(F.least("value", F.lit(10.0))), 6).alias("score"))
+
+
+_SNAPS = "WITH t AS (SELECT conv_id, turn, regexp_extract_all(text, '[\\p{L}\\p{N}]+') AS w FROM conversations WHERE text IS NOT NULL), s1 AS (SELECT *, w[1:6] AS a FROM t WHERE len(w) >= 8), s2 AS (SELECT *, list_concat(a, w[5:6]) AS b FROM s1), s3 AS (SELECT *, list_concat(b, w[4:6]) AS c FROM s2), s4 AS (SELECT *, list_concat(c, CASE WHEN turn % 2 = 1 THEN w[7:8] ELSE w[3:5] END) AS d FROM s3)"
+
+
+@query(_SNAPS + " SELECT conv_id, turn, len(list_filter(d[len(c) + 1:], lambda x: NOT list_contains(c[greatest(len(c) - 11, 1):], x))) = 0 AS stalled FROM s4")
+def prefix_stalls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether four growing readings of a turn stopped bringing anything new."""
+    turns = table(spark, sf_dir, "conversations").filter("text is not null").select("conv_id", "turn", F.regexp_extract_all("text", F.lit(r"[\p{L}\p{N}]+"), F.lit(0)).alias("w")).filter(F.size("w") >= 8)
+    a = F.slice("w", 1, 6)
+    b = F.concat(a, F.slice("w", 5, 2))
+    c = F.concat(b, F.slice("w", 4, 3))
+    d = F.concat(c, F.when(F.col("turn") % 2 == 1, F.slice("w", 7, 2)).otherwise(F.slice("w", 3, 3)))
+    return turns.select("conv_id", "turn", normal.novelty_stalled([a, b, c, d]).alias("stalled"))
+
+
+@query()
+def cased_error_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Word errors where case counts, and sentences without their marks."""
+    both = pairs(spark, sf_dir).select("conv_id", "turn", texts.words(F.col("ref")).alias("a"), texts.words(F.col("hyp")).alias("b"))
+    measured = both.select("conv_id", "turn", F.size("a").alias("reference"), F.size("b").alias("hypothesis"), evaluation.token_distance(F.col("a"), F.col("b")).alias("distance"))
+    return measured.withColumn("rate", F.round(scores.normalised_distance(F.col("distance"), F.col("reference"), F.col("hypothesis")), 6))

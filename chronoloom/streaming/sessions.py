@@ -78,3 +78,10 @@ def replay(events: DataFrame, job: str, order: str, *, after: int = 0, kept: int
 
     back = Window.partitionBy(job).orderBy(F.desc(order))
     return events.withColumn("_age", F.row_number().over(back)).filter((F.col("_age") <= kept) & (F.col(order) > after)).drop("_age")
+
+
+def expired_sessions(events: DataFrame, key: str, *, idle: str = "30 minutes", lateness: str = "10 minutes", time: str = "ts") -> DataFrame:
+    """(key, first, n): sessions of a stream that ended as nothing came for `idle`, once the watermark has passed their end."""
+    timed = events.withColumn("_time", F.col(time).cast("timestamp")).withWatermark("_time", lateness)
+    closed = timed.groupBy(F.session_window("_time", idle).alias("s"), key).agg(F.count("*").alias("n"))
+    return closed.select(key, F.col("s.start").alias("first"), "n")
