@@ -57,10 +57,10 @@ def columns(texts: list[tuple[object, list[str]]]) -> list[tuple[int, int, objec
     return [(at, extra, name, cast.get(name, "")) for (at, extra), cast in sorted(found.items()) for name, _ in texts]
 
 
-def confusion_network(df: DataFrame, segment: str, candidate: str, text: str) -> DataFrame:
+def confusion_network(df: DataFrame, segment: str, candidate: str, text: str, weight: str | None = None) -> DataFrame:
     """(segment, position, insertion, token, support, state): the winning token of each aligned column.
 
-    Each candidate has one vote a column; state tells whether the support is certain, in doubt, or so low that a reviewer
+    Each candidate has one vote a column, of its weight (1 without one; a null weight counts nothing); state tells whether the support is certain, in doubt, or so low that a reviewer
     decides. A segment's hypotheses meet in one task: they are a few texts of one stretch of speech.
     """
     kind = df.schema[segment].dataType.simpleString()
@@ -73,6 +73,10 @@ def confusion_network(df: DataFrame, segment: str, candidate: str, text: str) ->
         return out
 
     cast = df.select(segment, candidate, text).groupBy(segment).applyInPandas(run, f"{segment} {kind}, position long, insertion long, candidate {df.schema[candidate].dataType.simpleString()}, token string")
-    won = votes(cast.withColumn("weight", F.lit(1.0)), [segment, "position", "insertion"], "token", "weight")
+    if weight is None:
+        cast = cast.withColumn("weight", F.lit(1.0))
+    else:
+        cast = cast.join(df.groupBy(segment, candidate).agg(F.coalesce(F.max(weight), F.lit(0.0)).alias("weight")), [segment, candidate])
+    won = votes(cast, [segment, "position", "insertion"], "token", "weight")
     state = F.when(F.col("support") < FALLBACK, "review").when(F.col("support") < DOUBT, "doubt").otherwise("certain")
     return won.withColumn("support", F.round("support", 6)).withColumn("state", state)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from chronoloom.functions import normal, scores
 from chronoloom.functions import text as texts
-from chronoloom.operators import evaluation, intervals, marks, stitching
+from chronoloom.operators import evaluation, intervals, marks, repetition, stitching
 from chronoloom.plans.interval_queries import ISLANDS, SPANS, spans
 from chronoloom.plans.metric_queries import capital_scores, entity_recall, pairs, safety_rates
 from chronoloom.plans.registry import ORACLE_SQL, query, table
@@ -187,3 +187,18 @@ def cased_error_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     both = pairs(spark, sf_dir).select("conv_id", "turn", texts.words(F.col("ref")).alias("a"), texts.words(F.col("hyp")).alias("b"))
     measured = both.select("conv_id", "turn", F.size("a").alias("reference"), F.size("b").alias("hypothesis"), evaluation.token_distance(F.col("a"), F.col("b")).alias("distance"))
     return measured.withColumn("rate", F.round(scores.normalised_distance(F.col("distance"), F.col("reference"), F.col("hypothesis")), 6))
+
+
+@query(
+    r"""WITH t AS (SELECT conv_id, turn, list_filter(regexp_split_to_array(text, '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w FROM conversations WHERE text IS NOT NULL),
+    g AS (SELECT conv_id, turn, len(w) AS n, k, array_to_string(w[i:i + k - 1], ' ') AS g FROM t, range(3, 11) s(k), range(1, len(w) - k + 2) r(i)), c AS (SELECT conv_id, turn, n, k, g, count(*) AS times FROM g GROUP BY ALL),
+    s AS (SELECT conv_id, turn, n, k, max(times) AS most, sum(times) FILTER (WHERE times >= 2) AS repeated FROM c GROUP BY ALL)
+    SELECT conv_id, turn, max(most) AS most, round(max(coalesce(repeated, 0) / (n - k + 1)::DOUBLE), 6) AS repeated_share FROM s GROUP BY conv_id, turn"""
+)
+def fragment_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fragments of three to ten tokens of a turn: how often the most frequent occurs, and the largest share of fragments of a length that occur again."""
+    turns = table(spark, sf_dir, "conversations").filter("text is not null").select("conv_id", "turn", "text")
+    sizes = F.explode(F.array(*(F.struct(F.lit(k).alias("k"), repetition.ngram_repeats(F.col("text"), k, 2).alias("r")) for k in range(3, 11)))).alias("x")
+    told = turns.select("conv_id", "turn", sizes).filter("x.r is not null")
+    share = F.col("x.r.repeated") / (F.col("x.r.words") - F.col("x.k") + 1)
+    return told.groupBy("conv_id", "turn").agg(F.max("x.r.most").alias("most"), F.round(F.max(share), 6).alias("repeated_share"))
