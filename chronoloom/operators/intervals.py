@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chronoloom.functions.timeline import overlap
+from chronoloom.operators import neighbours
 
 #: Width of the timeline's slices and of join buckets, in units of the timeline.
 SLICE = 86_400
@@ -161,3 +162,28 @@ def bounded_windows(totals: DataFrame, *, width: int, shared: int, least: int, t
     end = F.least(F.col("ordinal") * step + width, F.col(total))
     start = F.col("ordinal") * step
     return numbered.withColumn("end", end).withColumn("start", F.when(F.col("end") - start < least, F.greatest(F.lit(0).cast("long"), F.col("end") - least)).otherwise(start))
+
+
+def nearest(asked: DataFrame, found: DataFrame, keys: list[str], name: str, *, slice_width: int = SLICE) -> DataFrame:
+    """(name, distance, nearest): how far the nearest span of `found` with another name is from each asked one, and how many are that near; without any, none.
+
+    Both: (keys, name, start, end). Spans that overlap or touch are at 0. Overlaps meet in time buckets; the last end before and the first
+    start after are looked up on one timeline of each key, cut into slices.
+    """
+    spans = found.filter("end > start")
+    both = overlap_join(asked.select(*keys, name, "start", "end"), spans.select(*keys, name, "start", "end"), keys)
+    over = both.filter(F.col(f"l_{name}") != F.col(f"r_{name}")).groupBy(F.col(f"l_{name}").alias(name)).agg(F.count("*").alias("over__"))
+
+    def beside(edge: str, own: str, sign: int) -> DataFrame:
+        """(name, gap, count) of the closest edge on one side."""
+        edges = spans.groupBy(*keys, (sign * F.col(edge)).alias("at__")).agg(F.count("*").alias("count__"))
+        marks = edges.select(*keys, "at__", F.lit(0).alias("kind__"), F.lit(None).cast(asked.schema[name].dataType).alias(name), F.struct("at__", "count__").alias("edge__"))
+        questions = asked.select(*keys, (sign * F.col(own)).alias("at__"), F.lit(1).alias("kind__"), name, F.lit(None).cast(marks.schema["edge__"].dataType).alias("edge__"))
+        seen = neighbours.with_latest(marks.unionByName(questions), keys, ["at__", "kind__", name], "edge__", F.floor(F.col("at__") / slice_width), "latest__")
+        return seen.filter("kind__ = 1").select(name, (F.col("at__") - F.col("latest__.at__")).alias(f"{edge}_gap__"), F.col("latest__.count__").alias(f"{edge}_count__"))
+
+    told = asked.select(name).join(over, name, "left").join(beside("end", "start", 1), name).join(beside("start", "end", -1), name)
+    far = F.when(F.col("over__") > 0, 0).otherwise(F.least("end_gap__", "start_gap__"))
+    at = lambda edge: F.when(F.col(f"{edge}_gap__") == F.col("distance"), F.col(f"{edge}_count__")).otherwise(0)
+    count = F.coalesce("over__", F.lit(0)) + at("end") + at("start")
+    return told.withColumn("distance", far.cast("long")).filter("distance is not null").select(name, "distance", count.alias("nearest"))

@@ -278,9 +278,4 @@ def sample_clock(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def nearest_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = spans(spark, sf_dir).filter("end > start")
-    asked = found.filter("event_id % 50 = 0").select("user_id", F.col("event_id").alias("asked"), F.col("start").alias("qs"), F.col("end").alias("qe"))
-    distance = F.greatest(F.lit(0).cast("long"), F.greatest("qs", "start") - F.least("qe", "end"))
-    pairs = asked.join(found, "user_id").filter("asked != event_id").select(F.col("asked").alias("event_id"), distance.alias("distance"))
-    per = pairs.groupBy("event_id", "distance").agg(F.count("*").alias("n"))
-    best = per.groupBy("event_id").agg(F.min(F.struct("distance", "n")).alias("b"))
-    return best.select("event_id", "b.distance", F.col("b.n").alias("nearest"))
+    return intervals.nearest(found.filter("event_id % 50 = 0").select("user_id", "event_id", "start", "end"), found, ["user_id"], "event_id")
