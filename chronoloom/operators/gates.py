@@ -137,8 +137,3 @@ def alignment_reasons(seconds: Column, safe_seconds: Column, coverage: Column, v
 def reliability(error_rate: Column) -> Column:
     """A model's reliability from its error rate, within 0 and 1."""
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - error_rate))
-
-
-def vote_weight(reliable: Column, confidence: Column, coverage: Column) -> Column:
-    """Weight of a candidate's vote; an unknown confidence counts as even."""
-    return reliable * F.coalesce(confidence, F.lit(0.5)) * (0.5 + 0.5 * coverage)

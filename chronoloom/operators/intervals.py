@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from chronoloom.functions.timeline import overlap
 from chronoloom.operators import neighbours
+from chronoloom.operators.versions import merge_adjacent
 
 #: Width of the timeline's slices and of join buckets, in units of the timeline.
 SLICE = 86_400
@@ -82,12 +83,17 @@ def subtract(left: DataFrame, holes: DataFrame, keys: list[str]) -> DataFrame:
     return whole.unionByName(kept)
 
 
+def atomic_spans(spans: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, start, end) between neighbouring boundaries of a key's spans, found by slices of the timeline."""
+    cuts = spans.select(*keys, F.explode(F.array("start", "end")).alias("at")).distinct()
+    seen = neighbours.with_neighbours(cuts, keys, ["at"], ["at"], F.floor(F.col("at") / SLICE))
+    return seen.select(*keys, F.col("at").alias("start"), F.col("after.at").alias("end")).filter("end is not null")
+
+
 def sweep(df: DataFrame, keys: list[str], label: str) -> DataFrame:
     """Atomic spans between neighbouring boundaries of a key, with the sorted distinct labels active in each (at least one)."""
     spans = df.filter("end > start")
-    cuts = spans.select(*keys, F.explode(F.array("start", "end")).alias("at")).distinct()
-    atoms = cuts.select(*keys, F.col("at").alias("start"), F.lead("at").over(Window.partitionBy(*keys).orderBy("at")).alias("end")).filter("end is not null")
-    met = overlap_join(atoms, spans.select(*keys, "start", "end", label), keys)
+    met = overlap_join(atomic_spans(spans, keys), spans.select(*keys, "start", "end", label), keys)
     return met.groupBy(*keys, F.col("l_start").alias("start"), F.col("l_end").alias("end")).agg(F.array_sort(F.collect_set(f"r_{label}")).alias("labels"))
 
 
@@ -96,16 +102,13 @@ def concurrent(df: DataFrame, keys: list[str], label: str, *, merged: bool = Tru
     atoms = sweep(df, keys, label).filter(F.size("labels") >= 2)
     if not merged:
         return atoms
-    order = Window.partitionBy(*keys).orderBy("start")
-    goes_on = (F.lag("end").over(order) == F.col("start")) & (F.lag("labels").over(order) == F.col("labels"))
-    run = F.sum(F.when(goes_on, 0).otherwise(1)).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    return atoms.withColumn("_run", run).groupBy(*keys, "_run", "labels").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("_run")
+    return merge_adjacent(atoms, keys, "labels", SLICE).select(*keys, "labels", "start", "end")
 
 
 def gaps(df: DataFrame, keys: list[str]) -> DataFrame:
     """Gaps between neighbouring islands of a key: start, end, and the sample in their middle."""
-    order = Window.partitionBy(*keys).orderBy("start")
-    out = merge_spans(df, keys).select(*keys, F.col("end").alias("start"), F.lead("start").over(order).alias("end")).filter("end is not null")
+    islands = neighbours.with_neighbours(merge_spans(df, keys).select(*keys, "start", "end"), keys, ["start"], ["start"], F.floor(F.col("start") / SLICE))
+    out = islands.select(*keys, F.col("end").alias("start"), F.col("after.start").alias("end")).filter("end is not null")
     return out.withColumn("middle", F.col("start") + F.floor((F.col("end") - F.col("start")) / 2).cast("long"))
 
 

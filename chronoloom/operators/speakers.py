@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronoloom.operators.intervals import overlap_join
+from chronoloom.operators.intervals import atomic_spans, overlap_join
 
 
 def diarization_errors(reference: DataFrame, hypothesis: DataFrame, keys: list[str], speaker: str = "speaker") -> DataFrame:
@@ -16,9 +16,7 @@ def diarization_errors(reference: DataFrame, hypothesis: DataFrame, keys: list[s
     """
     r, h = (df.filter("end > start").select(*keys, "start", "end", speaker) for df in (reference, hypothesis))
     both = r.withColumn("_side", F.lit("r")).unionByName(h.withColumn("_side", F.lit("h")))
-    cuts = both.select(*keys, F.explode(F.array("start", "end")).alias("_cut")).distinct()
-    atoms = cuts.select(*keys, F.col("_cut").alias("start"), F.lead("_cut").over(Window.partitionBy(*keys).orderBy("_cut")).alias("end")).filter("end is not null")
-    met = overlap_join(atoms, both, keys)
+    met = overlap_join(atomic_spans(both, keys), both, keys)
     by = met.groupBy(*keys, "l_start", "l_end", f"r_{speaker}").agg(F.bool_or(F.col("r__side") == "r").alias("r"), F.bool_or(F.col("r__side") == "h").alias("h"))
     counts = by.groupBy(*keys, "l_start", "l_end").agg(F.count_if("r").alias("r"), F.count_if("h").alias("h"), F.count_if(F.col("r") & F.col("h")).alias("b"))
     length, zero = F.col("l_end") - F.col("l_start"), F.lit(0).cast("long")

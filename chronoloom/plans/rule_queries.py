@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from chronoloom.functions import text as texts
-from chronoloom.operators import gates, intervals, neighbours, structure
+from chronoloom.operators import evaluation, gates, intervals, neighbours, structure
 from chronoloom.plans.interval_queries import ISLANDS, SPANS, of_type, spans
 from chronoloom.plans.registry import query, table
 from chronoloom.sources import responses
@@ -71,14 +71,14 @@ def alignment_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     """WITH m AS (SELECT source, round(greatest(0, least(1, 1 - avg(1 - quality)))::DOUBLE, 6) AS reliability FROM documents JOIN labels USING (doc_id) GROUP BY source)
-    SELECT doc_id, reliability, round(reliability * coalesce(CASE WHEN doc_id % 3 > 0 THEN (doc_id % 20) / 20.0::DOUBLE END, 0.5) * (0.5 + 0.5 * ((doc_id % 100) / 100.0::DOUBLE)), 6) AS weight FROM documents JOIN m USING (source)"""
+    SELECT doc_id, reliability, round(reliability * coalesce(CASE WHEN doc_id % 3 > 0 THEN (doc_id % 20) / 20.0::DOUBLE END, 0.5) * (0.5 + 0.5 * ((doc_id % 100) / 100.0::DOUBLE)) * CASE WHEN doc_id % 5 = 0 THEN 1.15 ELSE 1 END * CASE WHEN doc_id % 11 = 0 THEN 0 ELSE 1 END, 6)::DOUBLE AS weight FROM documents JOIN m USING (source)"""
 )
 def vote_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A source's reliability from its labels, and each document's weight in a vote."""
+    """A source's reliability from its labels, and each document's weight in a vote; a fifth count as glossary terms, an eleventh as illegal."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "source")
     models = docs.join(table(spark, sf_dir, "labels"), "doc_id").groupBy("source").agg(F.round(gates.reliability(F.avg(1 - F.col("quality"))), 6).alias("reliability"))
     confidence = F.when(F.col("doc_id") % 3 > 0, (F.col("doc_id") % 20) / F.lit(20.0))
-    weight = gates.vote_weight(F.col("reliability"), confidence, (F.col("doc_id") % 100) / F.lit(100.0))
+    weight = evaluation.vote_weight(F.col("reliability"), confidence, (F.col("doc_id") % 100) / F.lit(100.0), F.col("doc_id") % 5 == 0, F.col("doc_id") % 11 != 0)
     return docs.join(models, "source").select("doc_id", "reliability", F.round(weight, 6).alias("weight"))
 
 

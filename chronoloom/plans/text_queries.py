@@ -156,10 +156,11 @@ def exports(spark: SparkSession, sf_dir: str) -> DataFrame:
 def transcript_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A conversation's turns of one role as competing hypotheses of one text: columns, votes by reliability and confidence, support."""
     from chronoloom.operators.consensus import confusion_network
-    from chronoloom.operators.gates import reliability, vote_weight
+    from chronoloom.operators.evaluation import vote_weight
+    from chronoloom.operators.gates import reliability
 
     confidence = F.when(F.col("turn") % 3 > 0, (F.col("turn") % 10 + 1) / F.lit(10.0))
-    weight = vote_weight(reliability(F.when(F.col("role") == "user", 0.2).otherwise(0.1)), confidence, F.lit(1.0))
+    weight = vote_weight(reliability(F.when(F.col("role") == "user", 0.2).otherwise(0.1)), confidence, F.lit(1.0), F.lit(False), F.lit(True))
     turns = table(spark, sf_dir, "conversations").select(F.concat_ws("/", F.col("conv_id").cast("string"), "role").alias("segment"), F.col("turn").alias("candidate"), "text", weight.alias("weight"))
     return confusion_network(turns.filter("text is not null"), "segment", "candidate", "text", "weight")
 

@@ -7,7 +7,7 @@ from collections import defaultdict
 
 from pyspark.sql import functions as F
 
-from chronoloom.operators import gates, glossary, marks, neighbours, repetition, stitching, structure, versions
+from chronoloom.operators import evaluation, gates, glossary, marks, neighbours, repetition, stitching, structure, versions
 from chronoloom.sources import gold, responses
 from chronoloom.streaming import folds
 
@@ -112,7 +112,7 @@ def test_responses(spark):
 
 def test_gates(spark):
     issues = F.array(F.lit("characters_per_voiced_second_exceeded"), F.lit("repeated_sentence"))
-    row = spark.range(1).select(gates.blocked(issues).alias("a"), gates.blocked(F.slice(issues, 1, 1)).alias("b"), gates.gate_score(F.slice(issues, 2, 1), F.lit(0.5)).alias("c"), gates.vote_weight(F.lit(0.5), F.lit(None).cast("double"), F.lit(1.0)).alias("d")).first()
+    row = spark.range(1).select(gates.blocked(issues).alias("a"), gates.blocked(F.slice(issues, 1, 1)).alias("b"), gates.gate_score(F.slice(issues, 2, 1), F.lit(0.5)).alias("c"), evaluation.vote_weight(F.lit(0.5), F.lit(None).cast("double"), F.lit(1.0), F.lit(False), F.lit(True)).alias("d")).first()
     assert tuple(row) == (False, True, 0.5, 0.25)
     codes = spark.createDataFrame([("English ",), ("日本語",), ("xx",), (None,)], "n string").select(structure.language_code(F.col("n"))).collect()
     assert [r[0] for r in codes] == ["en", "ja", None, None]
