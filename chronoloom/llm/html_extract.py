@@ -29,8 +29,8 @@ CONTENT = {"article", "main"}
 #: Prior of kinds that no labelled page has: tags, and names of elements, that stand for other things than content. Fixed values.
 ASIDE_TAGS = {"head", "nav", "header", "footer", "aside", "form", "menu", "dialog", "fieldset"}
 ASIDE_NAMES = {
-    "ad", "ads", "advert", "adverts", "advertisement", "banner", "breadcrumb", "breadcrumbs", "comment", "comments", "cookie", "cookies", "consent", "disqus", "footer", "header",
-    "masthead", "menu", "modal", "nav", "navbar", "navigation", "newsletter", "notice", "popup", "promo", "related", "respond", "share", "sharing", "sidebar", "social", "sponsor",
+    "ad", "ads", "advert", "adverts", "advertisement", "banner", "breadcrumb", "breadcrumbs", "comment", "comments", "complementary", "contentinfo", "cookie", "cookies", "consent", "disqus", "footer", "header",
+    "masthead", "menu", "modal", "nav", "navbar", "navigation", "newsletter", "notice", "popup", "promo", "related", "replies", "respond", "search", "share", "sharing", "sidebar", "social", "sponsor",
     "sponsored", "subscribe", "toolbar", "widget",
 }
 #: Parts that leave the meaning of a name to its other parts, those that tell of a layout around the content ("has-sidebar"), and tags around a whole page. Fixed values.
@@ -39,12 +39,12 @@ LAYOUT_NAMES, WRAPPERS = {"has", "have", "with", "without", "no", "layout"}, {"h
 #: Elements that hold parts of a page rather than a paragraph. Fixed values.
 CONTAINERS = {"article", "body", "center", "div", "html", "main", "section", "table", "tbody", "td", "tr"}
 #: Weights: of a word of content, bounds of a tag's, of a word beside the content; what outweighs a count of none; words a kind must have to be learned.
-WORD, TAG_BOUNDS, BESIDE, PSEUDO, ENOUGH = 1.0, (-2.0, -0.1), -3.0, 1.0, 10
+WORD, TAG_BOUNDS, BESIDE, PSEUDO, ENOUGH = 1.0, (-1.0, -0.1), -3.0, 1.0, 10
 
 _END = re.compile(r"[>\"']")
 _NAME = re.compile(r"/?([a-zA-Z][^\s/>]*)")
 _NAMES = re.compile(r"(?:^|\s)(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
-_PARTS = re.compile(r"[^a-z0-9]+")
+_PARTS, _CAPITAL = re.compile(r"[^a-z0-9]+"), re.compile(r"(?<=[a-z])(?=[A-Z])")
 _RAW_END = {tag: re.compile(rf"</{tag}(?=[\s/>])", re.I) for tag in RAW}
 
 
@@ -160,7 +160,7 @@ def parse(page: str) -> Tree:
             if value not in VOID:
                 tree.parents.append(stack[-1] if stack else -1)
                 tree.tags.append(value)
-                names = [n for groups in _NAMES.findall(attributes) for v in groups for n in v.lower().split()] if "=" in attributes else []
+                names = [n for groups in _NAMES.findall(attributes) for v in groups for n in _CAPITAL.sub("-", v).lower().split()] if "=" in attributes else []
                 tree.kinds.append([*([value] if value in ASIDE_TAGS else []), *(f".{n}" for n in names)])
                 tree.own.append(0)
                 open_of.setdefault(value, []).append(len(stack))

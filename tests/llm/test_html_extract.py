@@ -94,10 +94,17 @@ def test_the_label_does_not_decide():
     assert he.main_text(f"<article>Short teaser here</article><article>Another one</article><div><p>{WORDS}</p></div>", weights).endswith(WORDS)
 
 
+def test_short_items_of_the_content_stay():
+    page = f'<body><nav><ul><li><a href="/a">Home page</a></li><li><a href="/b">News</a></li></ul></nav><div><h1>Head</h1><p>{WORDS}</p><ul><li>one two</li><li>three four</li></ul></div><footer>All rights</footer></body>'
+    labelled = PAGE.replace("<header>", '<ul class="top"><li><a href="/x">Go</a></li></ul><header>')
+    for weights in ({}, he.learn_weights(he.count_page(labelled))):
+        assert he.main_text(page, weights) == f"Head\n{WORDS}\none two\nthree four"
+
+
 def test_names_that_only_look_like_asides():
     for inner in ('<h1 class="entry-header">A title</h1>', '<header><h1>A title</h1></header>', '<div class="social-science"><h1>A title</h1></div>', "<math><mi>A</mi> <mi>title</mi></math>"):
         assert he.main_text(f"<body><main>{inner}<p>{WORDS}</p></main></body>", {}).startswith("A title")
-    for name in ("sidebar", "left-sidebar", "comment-list", "cookie-notice", "site-header", "ad-box"):
+    for name in ("sidebar", "left-sidebar", "leftSidebar", "comment-list", "cookie-notice", "site-header", "ad-box"):
         assert he.main_text(f'<body><div class="{name}"><p>Some other words that are not content</p></div><div><h1>T</h1><p>{WORDS}</p></div></body>', {}) == f"T\n{WORDS}"
 
 
