@@ -13,19 +13,16 @@ from pyspark.sql import functions as F
 SPACE = r"(?U)\s"
 
 
-@F.arrow_udf("string")
 def _compatible(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
     for texts in batches:
         yield pa.array([None if x is None else unicodedata.normalize("NFKC", x).casefold() for x in texts.to_pylist()], pa.string())
 
 
-@F.arrow_udf("string")
 def _normalised(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
     for texts in batches:
         yield pa.array([None if x is None else unicodedata.normalize("NFKC", x) for x in texts.to_pylist()], pa.string())
 
 
-@F.arrow_udf("string")
 def _caseless(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
     for texts in batches:
         yield pa.array([None if x is None else x.casefold() for x in texts.to_pylist()], pa.string())
@@ -33,17 +30,17 @@ def _caseless(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
 
 def compatible(text: Column) -> Column:
     """NFKC and case folding, which Spark has no function for."""
-    return _compatible(text)
+    return F.arrow_udf(_compatible, "string")(text)
 
 
 def normalised(text: Column) -> Column:
     """NFKC alone."""
-    return _normalised(text)
+    return F.arrow_udf(_normalised, "string")(text)
 
 
 def caseless(text: Column) -> Column:
     """Case folding alone."""
-    return _caseless(text)
+    return F.arrow_udf(_caseless, "string")(text)
 
 
 def unspaced(text: Column) -> Column:
