@@ -60,7 +60,7 @@ def alphanumeric(folded: Column) -> Column:
 
 def comparable(text: Column) -> Column:
     """Case-folded, without what isn't part of a word."""
-    return F.regexp_replace(_caseless(text), r"[^\p{L}\p{M}\p{N}_]", "")
+    return F.regexp_replace(caseless(text), r"[^\p{L}\p{M}\p{N}_]", "")
 
 
 def invalid_characters(text: Column) -> Column:

@@ -2,8 +2,11 @@
 
 import random
 import re
+import subprocess
+import sys
 import zipfile
 from collections import defaultdict
+from pathlib import Path
 
 from pyspark.sql import functions as F
 
@@ -125,3 +128,9 @@ def test_slides(spark, tmp_path):
     (tmp_path / "b.pptx").write_bytes(b"no archive")
     got = {r["path"].rsplit("/", 1)[1]: (r["text"], r["fault"]) for r in gold.read_slides(spark, str(tmp_path / "*.pptx")).collect()}
     assert got["a.pptx"] == ("First\n& more\nTenth\nSecond", None) and got["b.pptx"][0] == "" and re.match("unreadable", got["b.pptx"][1])
+
+
+def test_the_entry_imports_without_a_session():
+    code = "import __spark_entry__ as e; assert set(e.oracle_sql()) <= set(e.queries()); print(len(e.queries()))"
+    done = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, timeout=300, cwd=Path(__file__).resolve().parent.parent)
+    assert done.returncode == 0 and int(done.stdout) > 100, done.stderr
