@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from chronoloom.functions import scores
 from chronoloom.operators import evaluation, intervals, neighbours
 from chronoloom.plans.interval_queries import SPANS, spans
+from chronoloom.plans.metric_queries import DISTANCE, WORD
 from chronoloom.plans.registry import query, table
 
 PENALTIES = {"empty": 1.0, "short": 0.3, "shouting": 0.4, "symbols": 0.5, "no_sentence": 0.15}
@@ -209,7 +210,12 @@ def term_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.withColumn("f1", F.round(scores.f1(p, r), 6))
 
 
-@query()
+@query(
+    rf"""WITH c AS (SELECT conv_id, turn, text AS ref, lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS hyp FROM conversations), u AS (SELECT conv_id, turn, coalesce(regexp_extract_all(ref, '{WORD}'), []) AS a, regexp_extract_all(hyp, '{WORD}') AS b FROM c WHERE hyp IS NOT NULL)"""
+    + DISTANCE
+    + """ SELECT conv_id, turn, len(a) AS reference, len(b) AS hypothesis, distance, round(CASE WHEN len(a) > 0 THEN distance / len(a)::DOUBLE WHEN len(b) > 0 THEN 1 ELSE 0 END, 6) AS wer,
+    round(CASE WHEN greatest(len(a), len(b)) = 0 THEN 0 ELSE distance / greatest(len(a), len(b))::DOUBLE END, 6) AS normalised FROM m"""
+)
 def word_error_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of each turn against those of the next one of its conversation."""
     from chronoloom.functions.text import words

@@ -92,7 +92,7 @@ def speaker_tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stitching.track_speakers(local, "recording").withColumn("score", F.round("score", 6))
 
 
-@query()
+@query("SELECT conv_id, count(*) AS segments, sum(length(text))::BIGINT AS chars FROM (SELECT DISTINCT conv_id, turn, text FROM conversations WHERE text IS NOT NULL) GROUP BY conv_id")
 def window_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Turns as segments of windows that overlap; a turn is in two of them."""
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text").filter("text is not null")

@@ -14,6 +14,11 @@ PAIRS = "WITH p AS (SELECT a.conv_id, a.turn, a.text AS ref, b.text AS hyp FROM
 PRF = "round({tp} / greatest(1, {predicted})::DOUBLE, 6) AS precision, round({tp} / greatest(1, {expected})::DOUBLE, 6) AS recall, round(2 * ({tp} / greatest(1, {predicted})::DOUBLE) * ({tp} / greatest(1, {expected})::DOUBLE) / greatest(1e-12, {tp} / greatest(1, {predicted})::DOUBLE + {tp} / greatest(1, {expected})::DOUBLE), 6) AS f1"
 
 
+#: Words of both texts as single bytes, those that only one has as two more, so that a distance of characters is one of words.
+DISTANCE = r""", v AS (SELECT *, list_distinct(list_intersect(a, b)) AS shared FROM u),
+    m AS (SELECT *, levenshtein(array_to_string([CASE WHEN list_contains(shared, x) THEN chr(2 + list_position(shared, x)::INT) ELSE chr(1) END for x in a], ''), array_to_string([CASE WHEN list_contains(shared, x) THEN chr(2 + list_position(shared, x)::INT) ELSE chr(2) END for x in b], '')) AS distance FROM v)"""
+
+
 def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").filter("text is not null")
     after = turns.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("hyp"))

@@ -9,7 +9,7 @@ from chronoloom.functions import normal, scores
 from chronoloom.functions import text as texts
 from chronoloom.operators import evaluation, intervals, marks, repetition, stitching
 from chronoloom.plans.interval_queries import ISLANDS, SPANS, spans
-from chronoloom.plans.metric_queries import capital_scores, entity_recall, pairs, safety_rates
+from chronoloom.plans.metric_queries import DISTANCE, PAIRS, WORD, capital_scores, entity_recall, pairs, safety_rates
 from chronoloom.plans.registry import ORACLE_SQL, query, table
 
 
@@ -96,7 +96,13 @@ def overlap_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.groupBy("user_id").agg(F.count("*").alias("pairs"), F.sum("shared").alias("shared"), F.count_if((F.col("r_start") >= F.col("l_start")) & (F.col("r_end") <= F.col("l_end"))).alias("contained"))
 
 
-@query()
+@query(
+    r"""WITH t AS (SELECT conv_id, turn, text, regexp_extract_all(text, '[\p{L}\p{N}\p{M}_]+|[^\p{L}\p{N}\p{M}_]+') AS w FROM conversations),
+    f AS (SELECT *, [lower(w[i]) = 'que' AND w[i + 1] = ' ' AND lower(w[i + 2]) = 'la' for i in range(1, len(w) + 1)] AS two FROM t),
+    r AS (SELECT conv_id, turn, text, [CASE WHEN coalesce(two[i], FALSE) THEN 'QUE LA' WHEN i > 1 AND coalesce(two[i - 1], FALSE) OR i > 2 AND coalesce(two[i - 2], FALSE) THEN '' WHEN lower(w[i]) = 'the' THEN 'The' WHEN lower(w[i]) = 'que' THEN 'Que' ELSE w[i] END for i in range(1, len(w) + 1)] AS o,
+        len([x for x in range(1, len(w) + 1) if coalesce(two[x], FALSE) OR lower(w[x]) IN ('the', 'que')]) AS changes FROM f)
+    SELECT conv_id, turn, CASE WHEN text IS NOT NULL THEN md5(array_to_string(o, '')) END AS corrected, coalesce(changes, 0) AS changes FROM r"""
+)
 def corrected_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Turns with the names of nations, and words that stand for them, put as terms."""
     nations = table(spark, sf_dir, "nation").select(F.lower("n_name").alias("alias"), F.initcap("n_name").alias("canonical"))
@@ -181,7 +187,12 @@ def prefix_stalls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return turns.select("conv_id", "turn", normal.novelty_stalled([a, b, c, d]).alias("stalled"))
 
 
-@query()
+@query(
+    PAIRS
+    + rf", u AS (SELECT conv_id, turn, regexp_extract_all(ref, '{WORD}') AS a, regexp_extract_all(hyp, '{WORD}') AS b FROM p)"
+    + DISTANCE
+    + " SELECT conv_id, turn, len(a) AS reference, len(b) AS hypothesis, distance, round(CASE WHEN greatest(len(a), len(b)) = 0 THEN 0 ELSE distance / greatest(len(a), len(b))::DOUBLE END, 6) AS rate FROM m"
+)
 def cased_error_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Word errors where case counts, and sentences without their marks."""
     both = pairs(spark, sf_dir).select("conv_id", "turn", texts.words(F.col("ref")).alias("a"), texts.words(F.col("hyp")).alias("b"))

@@ -174,7 +174,13 @@ def sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.groupBy("doc_id").agg(F.count("*").alias("sentences"), F.max(F.col("s.end") - F.col("s.start")).alias("longest"), F.sum(F.col("s.end") - F.col("s.start")).alias("chars"))
 
 
-@query()
+@query(
+    """WITH t AS (SELECT conv_id, turn, role, coalesce(length(text), 0) AS n, lag(role) OVER w AS before FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
+    h AS (SELECT *, sum(CASE WHEN before IS NULL OR before <> role THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS hard FROM t),
+    s AS (SELECT *, greatest((row_number() OVER w - 1) // 6, coalesce(sum(n) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) // 300) AS soft FROM h WINDOW w AS (PARTITION BY conv_id, hard ORDER BY turn)),
+    p AS (SELECT *, dense_rank() OVER (PARTITION BY conv_id ORDER BY hard, soft) AS paragraph FROM s)
+    SELECT conv_id, paragraph, min(turn) AS first_turn, max(turn) AS last_turn, count(*) AS turns FROM p GROUP BY conv_id, paragraph"""
+)
 def paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Turns of a conversation grouped into paragraphs."""
     from chronoloom.operators.readability import paragraph_groups
