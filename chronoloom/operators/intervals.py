@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from chronoloom.functions.timeline import overlap
 from chronoloom.operators import neighbours
+from chronoloom.operators.lineage import cut
 from chronoloom.operators.versions import merge_adjacent
 
 #: Width of the timeline's slices and of join buckets, in units of the timeline.
@@ -102,7 +103,7 @@ def concurrent(df: DataFrame, keys: list[str], label: str, *, merged: bool = Tru
     atoms = sweep(df, keys, label).filter(F.size("labels") >= 2)
     if not merged:
         return atoms
-    return merge_adjacent(atoms, keys, "labels", SLICE).select(*keys, "labels", "start", "end")
+    return merge_adjacent(cut(atoms), keys, "labels", SLICE).select(*keys, "labels", "start", "end")
 
 
 def gaps(df: DataFrame, keys: list[str]) -> DataFrame:

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from chronoloom.operators.lineage import cut
+
 
 def _same(keys: list[str], left: DataFrame, right: DataFrame) -> Column:
     return reduce(lambda a, b: a & b, (left[k].eqNullSafe(right[f"{k}__of"]) for k in keys))
@@ -35,7 +37,7 @@ def ranked_values(df: DataFrame, keys: list[str], value: str, bins: int = 1024)
     Rows are counted per value first, then ranked within bins of even width; only the bins' sums meet in a
     window over the key.
     """
-    counted = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("n"))
+    counted = cut(df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("n")))  # read several times
     span = counted.groupBy(*keys).agg(F.min(value).alias("low__"), F.max(value).alias("high__"), F.sum("n").alias("total"))
     span = span.select(*(F.col(k).alias(f"{k}__of") for k in keys), "low__", "high__", "total")
     width = (F.col("high__") - F.col("low__")) / bins

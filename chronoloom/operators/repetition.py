@@ -4,12 +4,15 @@ from __future__ import annotations
 
 import re
 import zlib
+from collections import Counter
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+_TOKENS = re.compile(r"[^\x20\x09-\x0D]+")
 _LOOP = re.compile(r"(.{3,10}?)\1{3}", re.S)
 
 
@@ -25,21 +28,19 @@ def tokens(text: Column) -> Column:
 def ngram_repeats(text: Column, size: int, often: int) -> Column:
     """A struct (words, most, repeated): a text's tokens, how often its most frequent run of `size` tokens occurs, and how many of its runs occur `often` times or more; null for a text of fewer tokens.
 
-    Runs are hashed, sorted and counted within the row, so none of them leaves its text.
+    Runs are counted within the row, so none of them leaves its text.
     """
-    grams = lambda w: F.array_sort(F.transform(F.sequence(F.lit(1), F.size(w) - size + 1), lambda i: F.xxhash64(F.array_join(F.slice(w, i, size), " "))))
-    start = F.struct(F.lit(None).cast("long").alias("last"), F.lit(0).alias("run"), F.lit(0).alias("most"), F.lit(0).alias("repeated"))
 
-    def count(s: Column, gram: Column) -> Column:
-        run = F.when(s["last"].eqNullSafe(gram), s["run"] + 1).otherwise(1)
-        added = F.when(run == often, often).when(run > often, 1).otherwise(0)
-        return F.struct(gram.alias("last"), run.alias("run"), F.greatest(s["most"], run).alias("most"), (s["repeated"] + added).alias("repeated"))
+    def count(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            rows = []
+            for value in texts.to_pylist():
+                items = _TOKENS.findall(value or "")
+                times = Counter(zip(*(items[i:] for i in range(size)), strict=False)).values() if len(items) >= size else None
+                rows.append(None if times is None else {"words": len(items), "most": max(times), "repeated": sum(n for n in times if n >= often)})
+            yield pa.array(rows, pa.struct([(n, pa.int64()) for n in ("words", "most", "repeated")]))
 
-    def tell(items: Column) -> Column:
-        end = lambda s: F.struct(F.size(items).cast("long").alias("words"), s["most"].cast("long").alias("most"), s["repeated"].cast("long").alias("repeated"))
-        return F.when(F.size(items) >= size, F.aggregate(grams(items), start, count, end))
-
-    return computed_once(tokens(text), tell)
+    return F.arrow_udf(count, "struct<words:bigint,most:bigint,repeated:bigint>")(text)
 
 
 def has_token_loop(items: list[str], widest: int = 12, times: int = 4) -> bool:

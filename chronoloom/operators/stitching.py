@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from chronoloom.operators import neighbours
+from chronoloom.operators.lineage import cut
 
 #: Similarity of text and share of time from which segments of neighbouring windows are one.
 SAME_TEXT, SAME_TIME = 0.88, 0.15
@@ -142,12 +143,12 @@ def routed(df: DataFrame, key: str, *, needed: int = 2, sure: float = 0.6, slice
     is_sure = F.col("confidence") >= sure
     seen = neighbours.with_neighbours(own.filter(known), [key], order, ["label", "confidence"], part)
     goes_on = is_sure & F.coalesce((F.col("before.confidence") >= sure) & (F.col("before.label") == F.col("label")), F.lit(False))
-    marked = seen.select(key, *order, (~goes_on).cast("long").alias("new"), is_sure.cast("long").alias("sure"))
+    marked = cut(seen.select(key, *order, (~goes_on).cast("long").alias("new"), is_sure.cast("long").alias("sure")))
     marked = neighbours.with_running_sum(neighbours.with_running_sum(marked, [key], order, "new", part, "streak"), [key], order, "sure", part, "sures")
     place = F.row_number().over(Window.partitionBy(key, "streak").orderBy(*order))
     decides = (F.col("sure") == 1) & ((F.col("place") >= needed) | (F.col("sures") == 1))
     decided = marked.withColumn("place", place).select(key, *order, F.when(decides, F.col("label")).alias("decided"))
-    whole = decided.unionByName(own.filter(~known).withColumn("decided", F.lit(None).cast("string")))
+    whole = cut(decided).unionByName(own.filter(~known).withColumn("decided", F.lit(None).cast("string")))
     return neighbours.with_latest(whole, [key], order, "decided", part, "route").select(key, *order, F.coalesce("route", F.lit("")).alias("route"))
 
 

@@ -6,6 +6,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from chronoloom.operators.lineage import cut
 from chronoloom.operators.neighbours import with_neighbours, with_running_sum
 
 
@@ -74,6 +75,6 @@ def merge_adjacent(spans: DataFrame, keys: list[str], label: str, slice_width: i
     part = F.floor(F.col("start") / slice_width)
     seen = with_neighbours(spans.select(*keys, label, "start", "end"), keys, ["start", "end"], ["start", "end", label], part)
     new = ~F.coalesce((F.col("before.end") == F.col("start")) & F.col(f"before.{label}").eqNullSafe(F.col(label)), F.lit(False))
-    marked = seen.select(*keys, label, "start", "end", new.cast("long").alias("new__"))
+    marked = cut(seen.select(*keys, label, "start", "end", new.cast("long").alias("new__")))  # read twice
     numbered = with_running_sum(marked, keys, ["start", "end"], "new__", part, "run__")
     return numbered.groupBy(*keys, "run__").agg(F.first(label).alias(label), F.min("start").alias("start"), F.max("end").alias("end"), F.count("*").alias("parts")).drop("run__")

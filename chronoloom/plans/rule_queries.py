@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from chronoloom.functions import text as texts
-from chronoloom.operators import evaluation, gates, intervals, neighbours, structure
+from chronoloom.operators import evaluation, gates, intervals, lineage, neighbours, structure
 from chronoloom.plans.interval_queries import ISLANDS, SPANS, of_type, spans
 from chronoloom.plans.registry import query, table
 from chronoloom.sources import responses
@@ -172,7 +172,7 @@ def label_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = table(spark, sf_dir, "events").select("user_id", "event_id", "event_type", "value")
     part = F.floor(F.col("event_id") / 5000)
     seen = neighbours.with_neighbours(events, ["user_id"], ["event_id"], ["event_type"], part)
-    marked = seen.withColumn("new", (~F.coalesce(F.col("before.event_type") == F.col("event_type"), F.lit(False))).cast("long")).drop("before", "after")
+    marked = lineage.cut(seen.withColumn("new", (~F.coalesce(F.col("before.event_type") == F.col("event_type"), F.lit(False))).cast("long")).drop("before", "after"))
     runs = neighbours.with_running_sum(marked, ["user_id"], ["event_id"], "new", part, "run")
     reliable = F.avg(F.when(F.col("value") >= 10, F.col("value")))
     return runs.groupBy("user_id", "run").agg(F.min("event_id").alias("first_event"), F.first("event_type").alias("label"), F.round(F.coalesce(reliable, F.lit(0.0)), 6).alias("confidence"), F.count("*").alias("windows"))
