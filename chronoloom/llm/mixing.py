@@ -63,13 +63,15 @@ def _drawn(hashed: Column, draw: Column, rate: Column) -> Column:
 def nearest_draws(sized: DataFrame, targets: DataFrame) -> DataFrame:
     """targets (source, source_size, target, rate) with `draw`: of the DRAWS draws the one whose words are nearest to the target, the first of equal ones.
 
-    sized: (source, size, hashed). One aggregate takes the words of all draws.
+    sized: (source, size, hashed). One aggregate takes the words of all draws; each task sums a source's draws before they shuffle.
     """
     rated = sized.join(if_small(targets.select(F.col("source").alias("of"), "rate")), F.col("source").eqNullSafe(F.col("of")))
-    extra = [F.sum(F.when(_drawn(F.col("hashed"), F.lit(j), F.col("rate")), F.col("size")).otherwise(0)) for j in range(DRAWS)]
-    sums = rated.groupBy(F.col("source").alias("of")).agg(F.array(*extra).alias("extra"))
-    near = F.array_min(F.transform("extra", lambda x, j: F.struct(F.abs((F.floor("rate") * F.col("source_size") + x).cast("double") - F.col("target")).alias("off"), j.alias("draw"))))
-    return targets.join(sums, F.col("source").eqNullSafe(F.col("of"))).withColumn("draw", near["draw"]).drop("of", "extra")
+    each = rated.select("source", "size", "hashed", "rate", F.explode(F.sequence(F.lit(0), F.lit(DRAWS - 1))).alias("draw"))
+    extra = F.sum(F.when(_drawn(F.col("hashed"), F.col("draw"), F.col("rate")), F.col("size")).otherwise(0))
+    sums = each.groupBy(F.col("source").alias("of"), "draw").agg(extra.alias("extra"))
+    off = F.abs((F.floor("rate") * F.col("source_size") + F.col("extra")).cast("double") - F.col("target"))
+    best = targets.join(sums, F.col("source").eqNullSafe(F.col("of"))).groupBy("source", "source_size", "target", "rate")
+    return best.agg(F.min_by("draw", F.struct(off.alias("off"), "draw")).alias("draw"))
 
 
 def plan_mixture(
