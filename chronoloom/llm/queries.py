@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronoloom.llm import byte_bpe, common, dart_minhash, exact_dedup, html_extract, importance, language_id, mixing, shards, transport_stream, url_rules
+from chronoloom.llm import byte_bpe, common, dart_minhash, exact_dedup, html_extract, importance, language_id, mixing, shards, spelling, transport_stream, url_rules
 
 #: The rules that every URL is judged by first. Fixed values.
 HOST_RULES = [
@@ -90,8 +90,13 @@ def op10_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.judge_urls(pages, HOST_RULES, mined).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(common.read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_mixing, op2_media, op3_importance, op4_language, op5_shards, op6_exact_dedup, op7_dart_minhash, op8_html, op9_byte_bpe, op10_url_rules)
+    f.__name__: f
+    for f in (op1_mixing, op2_media, op3_importance, op4_language, op5_shards, op6_exact_dedup, op7_dart_minhash, op8_html, op9_byte_bpe, op10_url_rules, op11_spelling)
 }
 
 ORACLE_SQL = {
@@ -113,4 +118,22 @@ ORACLE_SQL = {
         WITH h AS (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]+', ' ', 'g')) AS text_sha256 FROM documents)
         SELECT doc_id, first_value(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION BY text_sha256) AS group_size, row_number() OVER w = 1 AS kept, text_sha256
         FROM h WINDOW w AS (PARTITION BY text_sha256 ORDER BY doc_id NULLS LAST)""",
+    "op11_spelling": """
+        WITH bits AS (SELECT i, list_reduce([i] || list_transform(range(8), lambda k: 0), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END) AS c FROM range(256) r(i)),
+        codes AS (SELECT list(c ORDER BY i) AS t FROM bits),
+        runs AS (SELECT coalesce(doc_id::VARCHAR, '') AS k, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-zÀ-ÿ]+')) AS run FROM documents),
+        own AS (SELECT k, run, count(*) AS n FROM runs WHERE length(run) >= 5 GROUP BY ALL),
+        coded AS (SELECT run, n, hex(encode(k || ':' || run)) AS x FROM own),
+        hashed AS (SELECT run, n, xor(list_reduce([4294967295] || list_transform(range(length(x) // 2), lambda i: ('0x' || x[2 * i + 1 : 2 * i + 2])::BIGINT), lambda c, b: xor(c // 256, t[xor(c % 256, b) + 1])), 4294967295) AS h FROM coded, codes),
+        cut AS (SELECT CASE WHEN h % 97 = 0 THEN run[: h % length(run)] || run[h % length(run) + 2 :] ELSE run END AS word, n FROM hashed),
+        v AS (SELECT word, sum(n)::BIGINT AS n FROM cut WHERE length(word) >= 5 GROUP BY word HAVING sum(n) >= 3),
+        holes AS (SELECT DISTINCT word, n, i, word[: i - 1] || word[i + 1 :] AS short FROM v, unnest(range(1, length(word) + 1)) p(i)),
+        pairs AS (SELECT a.word, b.word AS near, b.n AS near_n FROM holes a JOIN holes b ON a.short = b.short AND a.i = b.i AND a.word != b.word
+            UNION SELECT a.word, b.word, b.n FROM holes a JOIN v b ON a.short = b.word
+            UNION SELECT b.word, a.word, a.n FROM holes a JOIN v b ON a.short = b.word),
+        best AS (SELECT word, count(*) AS n_near, max(near_n) AS top FROM pairs GROUP BY word),
+        first AS (SELECT word, min(near) AS near FROM pairs JOIN best USING (word) WHERE near_n = top GROUP BY word),
+        told AS (SELECT v.word, CASE WHEN top >= 2 * n THEN near END AS form, n, coalesce(n_near, 0)::BIGINT AS n_near, CASE WHEN top >= 2 * n THEN top END AS form_n FROM v LEFT JOIN best USING (word) LEFT JOIN first USING (word)),
+        walk AS (WITH RECURSIVE w AS (SELECT word, form AS root, 1 AS step FROM told WHERE form IS NOT NULL UNION ALL SELECT w.word, t.form, step + 1 FROM w JOIN told t ON w.root = t.word WHERE t.form IS NOT NULL) SELECT word, arg_max(root, step) AS root FROM w GROUP BY word)
+        SELECT word, form, coalesce(root, word) AS root, n, n_near, form_n FROM told LEFT JOIN walk USING (word)""",
 }
