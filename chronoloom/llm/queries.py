@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronoloom.llm import byte_bpe, common, dart_minhash, exact_dedup, html_extract, importance, language_id, mixing, shards, spelling, transport_stream, url_rules
+from chronoloom.llm import byte_bpe, common, dart_minhash, exact_dedup, hard_negatives, html_extract, importance, language_id, mixing, shards, spelling, transport_stream, url_rules
 
 #: The rules that every URL is judged by first. Fixed values.
 HOST_RULES = [
@@ -94,9 +94,16 @@ def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.spelling_variants(common.read_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, vector = common.read_table(spark, sf_dir, "embeddings"), F.col("embedding")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    whole = rows.filter(hard_negatives.usable(vector)).select("vec_id", label.alias("label"), hard_negatives.floored(vector).alias("embedding"))
+    return hard_negatives.hard_negatives(whole, F.col("vec_id") % 100 == 0)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_mixing, op2_media, op3_importance, op4_language, op5_shards, op6_exact_dedup, op7_dart_minhash, op8_html, op9_byte_bpe, op10_url_rules, op11_spelling)
+    for f in (op1_mixing, op2_media, op3_importance, op4_language, op5_shards, op6_exact_dedup, op7_dart_minhash, op8_html, op9_byte_bpe, op10_url_rules, op11_spelling, op13_hard_negatives)
 }
 
 ORACLE_SQL = {
@@ -136,4 +143,11 @@ ORACLE_SQL = {
         told AS (SELECT v.word, CASE WHEN top >= 2 * n THEN near END AS form, n, coalesce(n_near, 0)::BIGINT AS n_near, CASE WHEN top >= 2 * n THEN top END AS form_n FROM v LEFT JOIN best USING (word) LEFT JOIN first USING (word)),
         walk AS (WITH RECURSIVE w AS (SELECT word, form AS root, 1 AS step FROM told WHERE form IS NOT NULL UNION ALL SELECT w.word, t.form, step + 1 FROM w JOIN told t ON w.root = t.word WHERE t.form IS NOT NULL) SELECT word, arg_max(root, step) AS root FROM w GROUP BY word)
         SELECT word, form, coalesce(root, word) AS root, n, n_near, form_n FROM told LEFT JOIN walk USING (word)""",
+    "op13_hard_negatives": """
+        WITH e AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
+            WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        s AS (SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same, list_dot_product(a.v, b.v)::BIGINT AS score FROM e a JOIN e b ON a.vec_id % 100 = 0 AND a.vec_id != b.vec_id),
+        p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+        SELECT anchor_id, positive_id, row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id AS negative_id, positive_score, score AS negative_score
+        FROM p JOIN s USING (anchor_id) WHERE NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score QUALIFY rank <= 10""",
 }
