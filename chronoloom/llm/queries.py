@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronoloom.llm import byte_bpe, common, dart_minhash, exact_dedup, hard_negatives, html_extract, importance, language_id, mixing, shards, spelling, transport_stream, url_rules
+from chronoloom.llm import byte_bpe, common, dart_minhash, exact_dedup, hard_negatives, html_extract, importance, language_id, mixing, shards, spelling, toxicity, transport_stream, url_rules
 
 #: The rules that every URL is judged by first. Fixed values.
 HOST_RULES = [
@@ -94,6 +94,12 @@ def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.spelling_variants(common.read_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op12_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = toxicity.with_toxicity(docs, toxicity.fit_toxicity(docs, common.read_table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", language_id.held_out().alias("held_out"), "score", "predicted")
+
+
 def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, vector = common.read_table(spark, sf_dir, "embeddings"), F.col("embedding")
     label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
@@ -103,7 +109,7 @@ def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_mixing, op2_media, op3_importance, op4_language, op5_shards, op6_exact_dedup, op7_dart_minhash, op8_html, op9_byte_bpe, op10_url_rules, op11_spelling, op13_hard_negatives)
+    for f in (op1_mixing, op2_media, op3_importance, op4_language, op5_shards, op6_exact_dedup, op7_dart_minhash, op8_html, op9_byte_bpe, op10_url_rules, op11_spelling, op12_toxicity, op13_hard_negatives)
 }
 
 ORACLE_SQL = {
