@@ -1,7 +1,7 @@
 """Algebra of half-open spans (start, end) per key on an integer timeline.
 
-Merging works in two steps, within slices of the timeline and then over their few islands, so a key that
-holds a large share of all spans is spread over many tasks. Range joins meet in time buckets.
+Merging works within slices of the timeline, across which only their largest ends and counts of islands are carried, so a key
+that holds a large share of all spans is spread over many tasks. Range joins meet in time buckets.
 """
 
 from __future__ import annotations
@@ -16,6 +16,8 @@ from chronoloom.operators.versions import merge_adjacent
 
 #: Width of the timeline's slices and of join buckets, in units of the timeline.
 SLICE = 86_400
+#: Most rows of a key that a window over the whole key may get.
+WINDOW = 50_000
 
 
 def _islands(df: DataFrame, keys: list[str], extra: list[str], gap: Column, score: str | None) -> DataFrame:
@@ -27,15 +29,28 @@ def _islands(df: DataFrame, keys: list[str], extra: list[str], gap: Column, scor
     return numbered.groupBy(*keys, *extra, "_island").agg(F.min("start").alias("start"), F.max("end").alias("end"), *best).drop("_island")
 
 
-def merge_spans(df: DataFrame, keys: list[str], *, gap: int = 0, score: str | None = None, slice_width: int = SLICE) -> DataFrame:
+def merge_spans(df: DataFrame, keys: list[str], *, gap: int = 0, score: str | None = None, slice_width: int = SLICE, window_rows: int = WINDOW) -> DataFrame:
     """Islands of spans that touch or lie at most `gap` apart; with `score`, its largest value in each.
 
-    Empty spans (end <= start) are left out.
+    Empty spans (end <= start) are left out. Islands are found within slices first. If a count shows that no key has over window_rows of these,
+    a window over the key joins them; else only the slices' largest ends and last beginnings are carried on, and no task gets a whole key.
     """
     cols = [*keys, "start", "end", *([score] if score else [])]
-    spans = df.filter("end > start").select(*cols).withColumn("_slice", F.floor(F.col("start") / slice_width))
-    first = _islands(spans, keys, ["_slice"], F.lit(gap), score).drop("_slice")
-    return _islands(first, keys, [], F.lit(gap), score)
+    spans = df.filter("end > start").select(*cols).withColumn("slice__", F.floor(F.col("start") / slice_width))
+    best = [F.max(score).alias(score)] if score else []
+    sliced = [*keys, "slice__"]
+    first = cut(_islands(spans, keys, ["slice__"], F.lit(gap), score))
+    if (first.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0) <= window_rows:
+        return _islands(first.drop("slice__"), keys, [], F.lit(gap), score)
+    # what earlier slices reach takes in the islands that begin there; they belong to the island that began last before their slice
+    reached = neighbours.carried(first.groupBy(*sliced).agg(F.max("end").alias("to__")), keys, "to__", F.max, F.greatest).select(*(F.col(k).alias(f"{k}__of") for k in sliced), "earlier__")
+    taken = F.col("start") <= F.col("earlier__") + gap
+    marked = cut(first.join(reached, neighbours.same(sliced, first, reached), "left").select(*first.columns, F.when(F.coalesce(taken, F.lit(False)), None).otherwise(F.col("start")).alias("from__")))
+    own = marked.filter("from__ is not null").select(*cols, "from__")
+    begun = neighbours.carried(marked.groupBy(*sliced).agg(F.max("from__").alias("begun__")), keys, "begun__", F.max, F.greatest).select(*(F.col(k).alias(f"{k}__of") for k in sliced), "earlier__")
+    rest = marked.filter("from__ is null")
+    later = rest.join(begun, neighbours.same(sliced, rest, begun)).select(*cols, F.col("earlier__").alias("from__"))
+    return own.unionByName(later).groupBy(*keys, "from__").agg(F.min("start").alias("start"), F.max("end").alias("end"), *best).drop("from__")
 
 
 def union_length(df: DataFrame, keys: list[str], name: str = "covered") -> DataFrame:
