@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -16,28 +17,45 @@ _TOKEN = re.compile(r"[\w'’]+|[^\w\s]")
 DOUBT, FALLBACK = 0.67, 0.45
 
 
+def _costs(before: np.ndarray, first: int, a: np.ndarray, b: np.ndarray) -> Iterator[np.ndarray]:
+    """The rows of edit costs after `before`, one for each token of a; first: that token's place in the whole text, from 1."""
+    step = np.arange(len(b) + 1, dtype=np.int32)
+    for i, token in enumerate(a, first):
+        best = np.minimum(before[1:] + 1, before[:-1] + (b != token))
+        before = np.minimum.accumulate(np.concatenate((np.array([i], np.int32), best)) - step) + step
+        yield before
+
+
 def align(anchor: list[str], other: list[str]) -> list[tuple[int | None, int | None]]:
-    """Global alignment by edit distance; of equal paths a pair goes before a deletion before an insertion."""
+    """Global alignment by edit distance; of equal paths a pair goes before a deletion before an insertion.
+
+    Every so many rows of costs one is kept, and the rows between two of them are made again when the way back comes through, so memory
+    is some 2 sqrt(n) rows: 25 MB for two texts of 20,000 tokens.
+    """
     n, m = len(anchor), len(other)
     ids = {t: i for i, t in enumerate(dict.fromkeys([*anchor, *other]))}
-    a, b = np.array([ids[t] for t in anchor], int), np.array([ids[t] for t in other], int)
-    cost = np.zeros((n + 1, m + 1), np.int32)
-    cost[:, 0], cost[0] = np.arange(n + 1), np.arange(m + 1)
-    step = np.arange(m + 1)
-    for i in range(1, n + 1):
-        best = np.minimum(cost[i - 1, 1:] + 1, cost[i - 1, :-1] + (b != a[i - 1]))
-        cost[i] = np.minimum.accumulate(np.concatenate(([i], best)) - step) + step
+    a, b = np.array([ids[t] for t in anchor], np.int32), np.array([ids[t] for t in other], np.int32)
+    stride = max(1, int(n**0.5))
+    row = np.arange(m + 1, dtype=np.int32)
+    kept = [row]
+    for i, row in enumerate(_costs(row, 1, a, b), 1):
+        if i % stride == 0:
+            kept.append(row)
     path, i, j = [], n, m
     while i or j:
-        if i and j and cost[i, j] == cost[i - 1, j - 1] + (a[i - 1] != b[j - 1]):
-            i, j = i - 1, j - 1
-            path.append((i, j))
-        elif i and cost[i, j] == cost[i - 1, j] + 1:
-            i -= 1
-            path.append((i, None))
-        else:
-            j -= 1
-            path.append((None, j))
+        base = max(0, (i - 1) // stride) * stride
+        block = [kept[base // stride], *_costs(kept[base // stride], base + 1, a[base:i], b)]
+        while (i > base or (i == base == 0)) and (i or j):
+            here = block[i - base]
+            if i and j and here[j] == block[i - base - 1][j - 1] + (a[i - 1] != b[j - 1]):
+                i, j = i - 1, j - 1
+                path.append((i, j))
+            elif i and here[j] == block[i - base - 1][j] + 1:
+                i -= 1
+                path.append((i, None))
+            else:
+                j -= 1
+                path.append((None, j))
     return path[::-1]
 
 

@@ -1,12 +1,8 @@
-"""Marks and terms put into texts."""
+"""Marks put into texts."""
 
 from __future__ import annotations
 
-import re
-from collections.abc import Iterator
-
-import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from chronoloom.operators.repetition import computed_once
@@ -35,22 +31,3 @@ def with_marks(text: Column, mark: Column) -> Column:
         return F.concat(F.array_join(F.zip_with(parts, due, lambda p, m: F.concat(p, F.coalesce(m, F.lit("")))), ""), tail)
 
     return F.when(F.size(units) == 0, text).otherwise(computed_once(units, put))
-
-
-def correct_terms(df: DataFrame, terms: DataFrame, *, text: str, name: str = "corrected") -> DataFrame:
-    """df with the text in which aliases are put as their terms, and how many were: (name, name_count).
-
-    terms: (alias, canonical), a course's list that every task gets, so of bounded length. Matches are whole words in any case, the leftmost first, of those the longest;
-    they don't overlap. An alias of two terms gives the first by code point. A null text stays null.
-    """
-    known = dict(sorted(((r["alias"].casefold(), r["canonical"]) for r in terms.select("alias", "canonical").filter("alias != ''").collect()), reverse=True))
-    pattern = "|".join(re.escape(a) for a in sorted(known, key=lambda a: (-len(a), a)))
-
-    @F.arrow_udf("struct<text:string,count:bigint>")
-    def correct(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        found = re.compile(rf"(?<!\w)(?:{pattern})(?!\w)", re.I) if pattern else None
-        for texts in batches:
-            rows = [(x, 0) if x is None or found is None else found.subn(lambda m: known.get(m[0].casefold(), m[0]), x) for x in texts.to_pylist()]
-            yield pa.StructArray.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int64())], ["text", "count"])
-
-    return df.withColumn("c__", correct(F.col(text))).select(*df.columns, F.col("c__.text").alias(name), F.col("c__.count").alias(f"{name}_count"))

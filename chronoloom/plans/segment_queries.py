@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from chronoloom.functions import normal, scores
 from chronoloom.functions import text as texts
-from chronoloom.operators import evaluation, intervals, marks, repetition, stitching
+from chronoloom.operators import evaluation, intervals, marks, repetition, stitching, terminology
 from chronoloom.plans.interval_queries import ISLANDS, SPANS, spans
 from chronoloom.plans.metric_queries import DISTANCE, PAIRS, WORD, capital_scores, entity_recall, pairs, safety_rates
 from chronoloom.plans.registry import ORACLE_SQL, query, table
@@ -107,9 +107,31 @@ def corrected_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Turns with the names of nations, and words that stand for them, put as terms."""
     nations = table(spark, sf_dir, "nation").select(F.lower("n_name").alias("alias"), F.initcap("n_name").alias("canonical"))
     few = spark.createDataFrame([("the", "The"), ("que la", "QUE LA"), ("que", "Que")], "alias string, canonical string")
-    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
-    told = marks.correct_terms(turns, nations.unionByName(few), text="text")
-    return told.select("conv_id", "turn", F.md5("corrected").alias("corrected"), F.col("corrected_count").alias("changes"))
+    lists = nations.unionByName(few).select(F.lit(1).alias("rank"), "canonical", F.array("alias").alias("aliases"), F.lit(None).cast("string").alias("language"), F.lit("course").alias("source"))
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text", F.lit("en").alias("language"))
+    told = terminology.corrected(turns, lists, ["conv_id", "turn"])
+    return told.select("conv_id", "turn", F.md5("corrected").alias("corrected"), F.size("diffs").cast("long").alias("changes"))
+
+
+@query(
+    r"""WITH w AS (SELECT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS w FROM benchmark), c AS (SELECT w, count(*) AS n FROM w WHERE length(w) >= 4 GROUP BY w),
+    ok AS (SELECT w, CASE WHEN length(w) % 3 = 0 THEN 'en' END AS language FROM c WHERE (length(w) % 2 = 0 OR n % 5 / 4.0::DOUBLE >= 0.75) AND (n >= 2 OR length(w) > 5)),
+    t AS (SELECT doc_id, text, lang, regexp_extract_all(text, '[\p{L}\p{N}_]+|[^\p{L}\p{N}_]+') AS p FROM documents),
+    k AS (SELECT DISTINCT doc_id, lang, lower(x) AS x FROM (SELECT doc_id, lang, unnest(p) AS x FROM t) JOIN ok ON ok.w = lower(x) AND (ok.language IS NULL OR ok.language = lang)), m AS (SELECT doc_id, list(x) AS known FROM k GROUP BY doc_id)
+    SELECT t.doc_id, CASE WHEN text IS NOT NULL THEN md5(array_to_string(CASE WHEN known IS NULL THEN p ELSE [CASE WHEN list_contains(known, lower(x)) THEN upper(x) ELSE x END for x in p] END, '')) END AS corrected,
+    coalesce(len([x for x in p if list_contains(known, lower(x))]), 0) AS changes FROM t LEFT JOIN m USING (doc_id)"""
+)
+def term_corrections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with the benchmark's words put as terms in capitals, those that evidence supports: long enough words are heard by their reading, others emitted twice."""
+    words = table(spark, sf_dir, "benchmark").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))).alias("w")).filter(F.length("w") >= 4)
+    counted = words.groupBy("w").agg(F.count("*").alias("n"))
+    size, none = F.length("w"), F.lit(None).cast("string")
+    terms = counted.select(F.upper("w").alias("canonical"), F.lit(1).alias("rank"), F.col("w").alias("reading"), F.array("w").alias("aliases"), F.when(size % 3 == 0, "en").alias("language"), (F.col("n") % 5 / 4.0).alias("weight"), (size % 2 == 0).alias("confirmed"), none.alias("source"))
+    heard = F.when(size > 5, F.concat(F.lit("x"), F.substring("w", 2, 1000)))  # one letter of six or more is amiss
+    evidence = counted.select(F.upper("w").alias("canonical"), F.when(F.col("n") >= 2, F.array("w")).alias("emitted"), heard.alias("observed"), F.lit(0.9).alias("support"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.col("lang").alias("language"))
+    told = terminology.corrected(docs, terminology.supported(terms, evidence), ["doc_id"])
+    return told.select("doc_id", F.md5("corrected").alias("corrected"), F.size("diffs").cast("long").alias("changes"))
 
 
 @query(

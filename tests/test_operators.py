@@ -145,6 +145,18 @@ def test_sentences_keep_abbreviations():
     assert [value[a:b].strip() for a, b in readability.sentence_cuts(value)] == ["Dr. Smith paid 3.5 dollars.", "He left!", "Really?"]
 
 
+@pytest.mark.parametrize(
+    "value,pieces",
+    [
+        ("Take item x. Next one.", ["Take item x.", "Next one."]), ("the U.S. It sold.", ["the U.S. It sold."]), ("By J. Smith. And J. said", ["By J. Smith.", "And J.", "said"]), ("at 3 p.m. we left", ["at 3 p.m. we left"]),
+        ("v1.2 and a.b, x.Y.", ["v1.2 and a.b, x.Y."]), ('He said "no!" Then?! Yes', ['He said "no!"', "Then?!", "Yes"]), ("はい。いいえ！」次", ["はい。", "いいえ！」", "次"]), ("a\n \nb\nc", ["a", "b\nc"]), (" . x", [".", "x"]), ("Fig. 3 vs. no. 4... End", ["Fig. 3 vs. no. 4...", "End"]),
+    ],
+)
+def test_sentence_rules(value, pieces):
+    cuts = readability.sentence_cuts(value)
+    assert [value[a:b].strip() for a, b in cuts] == pieces and "".join(value[a:b] for a, b in cuts) == value
+
+
 def test_subtitles_cover_all_words():
     words = ("word " * 40 + "costs 12 dollars. Next").split()
     cues = subtitles.cut_cues(words)

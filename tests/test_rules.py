@@ -68,15 +68,6 @@ def test_adjacent_spans(spark):
     assert [(r["l"], r["start"], r["end"], r["parts"]) for r in got] == [("a", 0, 2, 2), ("b", 2, 3, 1), ("b", 4, 7, 3), ("a", 100, 101, 1)]
 
 
-def test_term_correction(spark):
-    terms = spark.createDataFrame([("neural net", "NN"), ("net", "Net"), ("Net", "ZNet"), ("c++", "C++"), ("", "x")], "alias string, canonical string")
-    rows = [(1, "A neural NET, a net; nets. c++ C++x"), (2, None), (3, ""), (4, "netnet net-net")]
-    got = {r["i"]: (r["corrected"], r["corrected_count"]) for r in marks.correct_terms(spark.createDataFrame(rows, "i long, t string"), terms, text="t").collect()}
-    assert got == {1: ("A NN, a Net; nets. C++ C++x", 3), 2: (None, 0), 3: ("", 0), 4: ("netnet Net-Net", 2)}
-    none = marks.correct_terms(spark.createDataFrame(rows, "i long, t string"), terms.limit(0), text="t")
-    assert {r["corrected"] for r in none.collect()} == {r[1] for r in rows}
-
-
 def test_marks(spark):
     due = F.array(*(F.lit(x) for x in (None, ",", None, ".", "?")))
     texts = ["abcde", "ab, cde", "a b  c", "", "!?", "…abcdefg"]
