@@ -1,6 +1,6 @@
 """Registered queries by family; importing this package fills the registry."""
 
-from chronoloom.plans import evaluation_queries, grouped_queries, interval_queries, metric_queries, projection_queries, record_queries, relational_queries, rule_queries, segment_queries, text_queries
+from chronoloom.plans import evaluation_queries, grouped_queries, interval_queries, metric_queries, phrase_queries, projection_queries, record_queries, relational_queries, rule_queries, segment_queries, text_queries
 from chronoloom.plans.registry import ORACLE_SQL, QUERIES
 
-__all__ = ["ORACLE_SQL", "QUERIES", "evaluation_queries", "grouped_queries", "interval_queries", "metric_queries", "projection_queries", "record_queries", "relational_queries", "rule_queries", "segment_queries", "text_queries"]
+__all__ = ["ORACLE_SQL", "QUERIES", "evaluation_queries", "grouped_queries", "interval_queries", "metric_queries", "phrase_queries", "projection_queries", "record_queries", "relational_queries", "rule_queries", "segment_queries", "text_queries"]
