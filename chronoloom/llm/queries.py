@@ -77,16 +77,15 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.token_digests(docs).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
-def labelled_urls(pages: DataFrame, labels: DataFrame) -> DataFrame:
-    """(url, bad): a page has the label of the document whose id ends its path; bad means low quality or toxic."""
-    number = F.regexp_extract(url_rules.url_path(), r"/(\d{1,18})(?:\.html)?/?$", 1)
-    told = labels.filter("doc_id is not null").groupBy("doc_id").agg(F.max((F.col("quality") == 0) | (F.col("toxic") == 1)).alias("bad"))
-    return pages.select("url", F.when(number != "", number.cast("long")).alias("doc_id")).join(told, "doc_id").select("url", "bad")
+def labelled_urls(pages: DataFrame) -> DataFrame:
+    """(url, bad): the pages on which a host rule decides; what it blocks is bad. The rules mined from them judge the others."""
+    _, verdict = url_rules.match_rule(HOST_RULES, url_rules.url_host(), url_rules.url_path())
+    return pages.select("url", (verdict == "block").alias("bad")).filter("bad is not null")
 
 
 def op10_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages, labels = common.read_table(spark, sf_dir, "pages").select("page_id", "url"), common.read_table(spark, sf_dir, "labels")
-    mined = url_rules.mine_rules(labelled_urls(pages, labels))
+    pages = common.read_table(spark, sf_dir, "pages").select("page_id", "url")
+    mined = url_rules.mine_rules(labelled_urls(pages))
     return url_rules.judge_urls(pages, HOST_RULES, mined).select("page_id", "host", "path", "rule", "verdict")
 
 

@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import math
 import string
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from itertools import combinations
 
+import pyarrow as pa
 from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -14,8 +17,8 @@ from chronoloom.llm.common import cut_lineage, if_small, unused
 
 #: Pruning of mined rules: least number and share of labelled URLs that are bad and have a combination, share of bad ones among those that have it, how much more than overall.
 LEAST, SUPPORT, CONFIDENCE, LIFT = 20, 0.002, 0.6, 1.5
-#: Most tokens of a combination, and of a URL, its most telling ones, that combinations are made of.
-LONGEST, TELLING = 4, 10
+#: Most tokens of a combination, and of a set that FP-growth gets; a URL with more tokens gives several sets.
+LONGEST, MOST = 4, 12
 #: What a table of rules has.
 RULES = "tokens array<string>, anchor string, confidence double, support double"
 
@@ -69,15 +72,32 @@ def _matches(sets: DataFrame, rules: DataFrame) -> DataFrame:
     return found.filter(F.size(F.array_except("rule", "tokens")) == 0).drop("anchor")
 
 
+def token_sets(longest: int, most: int = MOST) -> Callable[[Column], Column]:
+    """Of an array of distinct tokens sets of at most about `most`, such that any `longest` tokens are together in one."""
+
+    @F.arrow_udf("array<array<string>>")
+    def cut(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        size = max(1, most // longest)
+        for batch in batches:
+            out = []
+            for tokens in batch.to_pylist():
+                groups = [tokens[i : i + size] for i in range(0, len(tokens), size)]
+                out.append([[t for g in some for t in g] for some in combinations(groups, min(longest, len(groups)))] if len(tokens) > most else [tokens])
+            yield pa.array(out, pa.list_(pa.list_(pa.string())))
+
+    return cut
+
+
 def mine_rules(
-    labelled: DataFrame, *, least: int = LEAST, support: float = SUPPORT, confidence: float = CONFIDENCE, lift: float = LIFT, longest: int = LONGEST, telling: int = TELLING, url: str = "url", bad: str = "bad"
+    labelled: DataFrame, *, least: int = LEAST, support: float = SUPPORT, confidence: float = CONFIDENCE, lift: float = LIFT, longest: int = LONGEST, url: str = "url", bad: str = "bad"
 ) -> DataFrame:
     """(tokens, anchor, confidence, support): token combinations of labelled URLs that foretell a bad one.
 
     labelled: (url, bad); rows with a null in either are left out, rows that repeat count each. FP-growth finds the combinations of up
-    to `longest` tokens in the bad URLs that `least` of them and a share of `support` of all labelled URLs have. Of a long URL they are made of
-    its `telling` most telling tokens, so that a URL gives 2^telling combinations at most, however long it is. All labelled URLs that
-    have a combination are then counted exactly, and it is a rule if it reaches confidence and lift and none of its parts is as sure.
+    to `longest` tokens in the bad URLs that `least` of them and a share of `support` of all labelled URLs have. A URL of over MOST tokens is
+    given as several sets that together hold each of its combinations, as the number of those of any length would double with each token; it
+    may then count more than once there. All labelled URLs that have a combination are counted exactly afterwards, and it is a rule if it
+    reaches confidence and lift and none of its parts is as sure. No token is left out.
     anchor is a rule's rarest token, under which the index files it. Nothing labelled bad gives no rules.
     """
     spark = labelled.sparkSession
@@ -89,10 +109,10 @@ def mine_rules(
     rare = max(least, math.ceil(support * total - 1e-9))
     single = sets.select(F.explode("tokens").alias("token"), "n", "bad").groupBy("token").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad")).filter(F.col("bad") >= rare)
     single = if_small(cut_lineage(single))
-    sure = single.select("token", (-F.col("bad") / F.col("n")).alias("sure"))
-    held = sets.filter("bad > 0").select("tokens", F.col("bad").alias("times"), F.explode("tokens").alias("token")).join(sure, "token")
-    told = held.groupBy("tokens", "times").agg(F.slice(F.array_sort(F.collect_list(F.struct("sure", "token"))), 1, telling).alias("best"))
-    items = cut_lineage(told.select(F.transform("best", lambda t: t["token"]).alias("items"), F.explode(F.sequence(F.lit(1).cast("long"), F.col("times")))).select("items"))
+    held = sets.filter("bad > 0").select("tokens", F.col("bad").alias("times"), F.explode("tokens").alias("token")).join(single.select("token"), "token")
+    told = held.groupBy("tokens", "times").agg(F.array_sort(F.collect_list("token")).alias("all"))
+    each = told.select(F.explode(token_sets(longest)(F.col("all"))).alias("items"), "times")
+    items = cut_lineage(each.select("items", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times")))).select("items"))
     count = items.count()
     if not count:
         return spark.createDataFrame([], RULES)

@@ -38,8 +38,8 @@ def test_mined_rules(spark):
 
 def test_matching_equals_a_plain_loop(spark):
     folder = "/root/testdata/sf0.01"
-    pages, labels = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("pages", "labels"))
-    mined = ur.mine_rules(queries.labelled_urls(pages, labels), least=2, support=0.01, confidence=0.4, lift=1.0)
+    pages = spark.read.parquet(f"{folder}/pages.parquet")
+    mined = ur.mine_rules(queries.labelled_urls(pages), least=2, support=0.01, confidence=0.4, lift=1.0)
     rules = [(set(r["tokens"]), r["confidence"]) for r in mined.collect()]
     tokens = {r["page_id"]: set(r["t"]) for r in pages.select("page_id", ur.url_tokens().alias("t")).collect()}
     for r in ur.judge_urls(pages, queries.HOST_RULES, mined).collect():
@@ -90,3 +90,45 @@ def test_nothing_labelled(spark):
     none = spark.createDataFrame([], "url string, bad boolean")
     mined = ur.mine_rules(none)
     assert mined.count() == 0 and judge(spark, [], mined) == []
+
+
+def test_long_urls_keep_all_tokens(spark):
+    """A pair that twelve surer tokens stand beside is found."""
+    sure = "/".join(f"t{i}" for i in range(12))
+    rows = [(f"http://x.net/aa/bb/{sure}/{i}", True) for i in range(40)] + [(f"http://x.net/{w}/{i}", False) for i in range(40) for w in ("aa", "bb")]
+    mined = {tuple(r["tokens"]): r for r in ur.mine_rules(spark.createDataFrame(rows, "url string, bad boolean")).collect()}
+    assert mined["p:aa", "p:bb"]["confidence"] == 1.0 and abs(mined["p:aa", "p:bb"]["support"] - 1 / 3) < 1e-9
+
+
+def test_sets_hold_all_combinations(spark):
+    for n in (0, 3, 12, 13, 20):
+        tokens = [f"{i:02}" for i in range(n)]
+        sets = spark.createDataFrame([(tokens,)], "t array<string>").select(ur.token_sets(4)("t").alias("s")).first()["s"]
+        assert all(len(s) <= ur.MOST for s in sets)
+        assert {c for s in sets for c in combinations(sorted(s), 4)} == set(combinations(tokens, 4))
+
+
+def test_query_equals_counting_all_combinations(spark):
+    folder = "/root/testdata/sf0.1"
+    pages = spark.read.parquet(f"{folder}/pages.parquet")
+    rows = pages.select("page_id", "url", ur.url_tokens().alias("t"), ur.url_host().alias("h"), ur.url_path().alias("p")).collect()
+
+    def given(host, path):
+        fits = [r for r in queries.HOST_RULES if (host == r.host or host.endswith("." + r.host)) and path.startswith(r.path)]
+        return max(fits, key=lambda r: len(r.rule), default=None)
+
+    told = [(frozenset(r["t"]), given(r["h"], r["p"]).verdict == "block") for r in rows if given(r["h"], r["p"])]
+    total, share = len(told), sum(b for _, b in told) / len(told)
+    n, hits = Counter(), Counter()
+    for tokens, bad in told:
+        for k in range(1, ur.LONGEST + 1):
+            for c in combinations(sorted(tokens), k):
+                n[c] += 1
+                hits[c] += bad
+    good = {c: hits[c] / n[c] for c in n if hits[c] >= max(ur.LEAST, ur.SUPPORT * total) and hits[c] / n[c] >= max(ur.CONFIDENCE, ur.LIFT * share)}
+    rules = [set(c) for c, sure in good.items() if not any(good.get(p, -1) >= sure for k in range(1, len(c)) for p in combinations(c, k))]
+    assert rules
+    want = {r["page_id"]: given(r["h"], r["p"]).verdict if given(r["h"], r["p"]) else "block" if any(x <= set(r["t"]) for x in rules) else "allow" for r in rows}
+    got = {r["page_id"]: r["verdict"] for r in queries.op10_url_rules(spark, folder).collect()}
+    assert got == want
+    assert any(want[r["page_id"]] == "block" for r in rows if not given(r["h"], r["p"]))
