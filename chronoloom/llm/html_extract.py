@@ -29,12 +29,15 @@ CONTENT = {"article", "main"}
 #: Prior of kinds that no labelled page has: tags, and names of elements, that stand for other things than content. Fixed values.
 ASIDE_TAGS = {"head", "nav", "header", "footer", "aside", "form", "menu", "dialog", "fieldset"}
 ASIDE_NAMES = {
-    "ad", "ads", "advert", "adverts", "advertisement", "banner", "breadcrumb", "breadcrumbs", "comment", "comments", "complementary", "contentinfo", "cookie", "cookies", "consent", "disqus", "footer", "header",
-    "masthead", "menu", "modal", "nav", "navbar", "navigation", "newsletter", "notice", "popup", "promo", "related", "replies", "respond", "search", "share", "sharing", "sidebar", "social", "sponsor",
-    "sponsored", "subscribe", "toolbar", "widget",
+    "ad", "ads", "advert", "adverts", "advertisement", "banner", "breadcrumb", "breadcrumbs", "comment", "comments", "complementary", "contentinfo", "cookie", "cookies", "consent", "copyright", "dfp", "disclaimer", "disqus",
+    "feedback", "footer", "gdpr", "header", "legal", "masthead", "menu", "modal", "nav", "navbar", "navigation", "newsletter", "notice", "paywall", "popup", "promo", "recommended", "related", "replies", "respond", "search",
+    "share", "sharing", "sidebar", "social", "sponsor", "sponsored", "subscribe", "teaser", "teasers", "toolbar", "trending", "widget",
 }
+#: Names of readers' comments, which hold no article, however long they are; names that are also words of prose, which a paragraph or heading without links may have. Fixed values.
+READERS, PROSE = {"comment", "comments", "disqus", "feedback", "replies", "respond"}, {"banner", "header", "menu", "related", "search", "share", "sharing", "social"}
+PARAGRAPHS = {"blockquote", "caption", "dd", "dt", "figcaption", "h1", "h2", "h3", "h4", "h5", "h6", "li", "p", "pre", "td", "th"}
 #: Parts that leave the meaning of a name to its other parts, those that tell of a layout around the content ("has-sidebar"), and tags around a whole page. Fixed values.
-NEUTRAL_NAMES = {"area", "bar", "block", "box", "buttons", "container", "form", "inner", "item", "left", "link", "links", "list", "posts", "right", "section", "signup", "site", "top", "wrap", "wrapper"}
+NEUTRAL_NAMES = {"area", "bar", "block", "box", "buttons", "container", "form", "inner", "item", "left", "link", "links", "list", "posts", "reader", "right", "section", "signup", "site", "slot", "strip", "top", "wrap", "wrapper"}
 LAYOUT_NAMES, WRAPPERS = {"has", "have", "with", "without", "no", "layout"}, {"html", "body"}
 #: Elements that hold parts of a page rather than a paragraph. Fixed values.
 CONTAINERS = {"article", "body", "center", "div", "html", "main", "section", "table", "tbody", "td", "tr"}
@@ -127,8 +130,9 @@ class Tree:
     """The tokens of a page, (what, value, number of the element that they lie in), and its elements in page order.
 
     kinds: what an element may be known by: its tag if it sections the page, and its names. own: words of its own text,
-    words: all inside it. A parent comes before its children. Elements that wrap the page's title and most of its words have no names, as
-    they lie around the content, nor are such forms any; no kinds has a header that holds the title and no list or form.
+    words: all inside it. A parent comes before its children. Elements that wrap the page's title and most of its words have no names but those of
+    comments, as they lie around the content, nor are such forms any; no kinds has a header that holds the title, or stands between other words of its
+    parent and holds a heading, and no list or form. A paragraph or heading without links has no name that is a word of prose too.
     """
 
     tokens: list[tuple[str, str, int]] = field(default_factory=list)
@@ -142,7 +146,7 @@ class Tree:
 def parse(page: str) -> Tree:
     """The tree of a page, in time linear in its length."""
     tree, stack, open_of = Tree(), [], {}
-    title, busy = None, set()
+    title, busy, links, headings = None, set(), set(), set()
 
     def close_down_to(depth: int) -> None:
         while len(stack) > depth:
@@ -157,6 +161,10 @@ def parse(page: str) -> Tree:
                 title = number
             if value in ("ul", "ol", "nav", "form", "menu"):
                 busy.add(number)
+            elif value == "a":
+                links.add(number)
+            elif len(value) == 2 and value[0] == "h" and value[1] in "123456":
+                headings.add(number)
             if value not in VOID:
                 tree.parents.append(stack[-1] if stack else -1)
                 tree.tags.append(value)
@@ -172,23 +180,28 @@ def parse(page: str) -> Tree:
             tree.own[stack[-1]] += word_count(value)
         tree.tokens.append((what, value, stack[-1] if stack else -1))
     loose = sum(word_count(value) for what, value, e in tree.tokens if what == "text" and e < 0)
-    lists, tree.words = [False] * len(tree.tags), list(tree.own)
+    tree.words = list(tree.own)
+    lists, linked, headed = ([e in found for e in range(len(tree.tags))] for found in (busy, links, headings))
     for e in range(len(tree.tags) - 1, -1, -1):
-        lists[e] |= e in busy
         if tree.parents[e] >= 0:
             tree.words[tree.parents[e]] += tree.words[e]
-            lists[tree.parents[e]] |= lists[e]
+            for flags in (lists, linked, headed):
+                flags[tree.parents[e]] |= flags[e]
     total = loose + sum(n for n, p in zip(tree.words, tree.parents, strict=True) if p < 0)
     above, e = set(), -1 if title is None else title
     while e >= 0:
         above.add(e)
         e = tree.parents[e]
     for e, tag in enumerate(tree.tags):
-        heads = e in above and not lists[e] and (tag == "header" or any(k.endswith("header") for k in tree.kinds[e]))
+        parent = tree.parents[e]
+        among = headed[e] and not linked[e] and parent >= 0 and tree.tags[parent] not in WRAPPERS and tree.words[parent] > 2 * tree.words[e]
+        heads = (e in above or among) and not lists[e] and (tag == "header" or any(k.endswith("header") for k in tree.kinds[e]))
         if heads:
             tree.kinds[e] = []
         elif tag in WRAPPERS or 2 * tree.words[e] > total and (title is None or e in above):
-            tree.kinds[e] = [k for k in tree.kinds[e] if k[0] != "." and k != "form"]
+            tree.kinds[e] = [k for k in tree.kinds[e] if k[0] == "." and tag not in WRAPPERS and READERS & set(_PARTS.split(k)) or k[0] != "." and k != "form"]
+        elif tag in PARAGRAPHS and not linked[e]:
+            tree.kinds[e] = [k for k in tree.kinds[e] if k[1:] not in PROSE]
     return tree
 
 

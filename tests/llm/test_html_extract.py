@@ -116,3 +116,23 @@ def test_broken_pages_take_linear_time(part):
         he.parse(whole)
         assert time.perf_counter() - begun < 6  # a second on an idle machine
     assert he.main_text(f"{page[: 5000 * len(part)]}", {}) is not None
+
+
+def test_comments_with_most_words_are_no_content():
+    for name in ('class="comment-list"', "id=comments", "class=reader-feedback"):
+        page = f'<body><div class="story"><p>{WORDS}</p></div><div {name}><div class="comments-page comments">{"<p>I like this story a lot.</p>" * 60}</div></div></body>'
+        assert he.main_text(page, {}) == WORDS
+
+
+def test_other_things_around_the_content():
+    for box in ("<section id=reader-feedback><p>Very good text, thank you so much for it.</p></section>", '<div class="legal-strip"><p>All content is owned by us and nobody else.</p></div>', '<div class="dfp-slot"><p>Buy our fine new product today.</p></div>'):
+        assert he.main_text(f"<body>{box}<div><h1>T</h1><p>{WORDS}</p></div>{box}</body>", {}) == f"T\n{WORDS}"
+    teasers = "".join(f'<article class="teaser"><h2><a href="/{i}">Other story {i}</a></h2><p>What it tells in short.</p></article>' for i in range(3))
+    assert he.main_text(f"<body>{teasers}<div><h1>T</h1><p>{WORDS}</p></div>{teasers}</body>", {}) == f"T\n{WORDS}"
+
+
+def test_names_of_paragraphs_and_headings():
+    page = f"<body><div><h1>T</h1><p class='share'>the share of GDP rose</p><p>{WORDS}</p><div class='section-header'><h2>Next part</h2></div><p>{WORDS}</p></div></body>"
+    assert he.main_text(page, {}) == f"T\nthe share of GDP rose\n{WORDS}\nNext part\n{WORDS}"
+    page = f"<body><div class='site-header'><h2>The Site</h2></div><div><h1>T</h1><p class='share'><a href=/x>Tell friends</a></p><p>{WORDS}</p></div></body>"
+    assert he.main_text(page, {}) == f"T\n{WORDS}"
