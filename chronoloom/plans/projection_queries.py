@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronoloom.operators import projection
+from chronoloom.operators import projection, punctuation
 from chronoloom.plans.registry import query, table
 
 _L, _M = r"[^\p{P}\p{Z}\s]", r"[\p{P}\p{Z}\s]"
@@ -82,3 +82,23 @@ def surfaced_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = told.withColumn("tokens", projection.subdivided(F.col("tokens"), F.when(F.col("turn") % 2 == 0, "en").otherwise("zh"))).filter(F.size("tokens") > 0)
     line = F.array_join(F.transform(F.array_sort(F.transform("tokens", lambda t: F.struct(t["start"], t["end"], t["text"]))), lambda t: F.concat_ws("|", t["text"], t["start"].cast("string"), t["end"].cast("string"))), ";")
     return cut.select("conv_id", "turn", F.size("tokens").cast("long").alias("tokens"), F.md5(line).alias("digest"))
+
+
+def punctuation_cases(turns: DataFrame) -> DataFrame:
+    """(conv_id, turn, text, proposal, spoken, labels): a turn as one line without some marks, with wide ones in its proposal, and boundaries after every so many letters."""
+    line = F.regexp_replace(F.col("text"), r"[\r\n]", " ")
+    bare = F.when(F.col("turn") % 3 == 0, F.translate(line, ",.", "，。")).otherwise(F.regexp_replace(line, r"\p{P}", ""))
+    proposal = F.when(F.col("turn") % 4 > 0, F.translate(F.when(F.col("turn") % 4 == 3, F.regexp_replace(line, "e", "")).otherwise(line), ",.!?", "、。！？"))
+    n = F.length(projection.letters(line))
+    every = lambda k: F.filter(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: (i % k == 0) & (i <= n))
+    spoken = F.when(F.col("turn") % 5 > 2, F.transform(every(23), lambda i: F.struct(i.alias("after"), (i * 37 % 900).cast("double").alias("pause"), (i % 46 == 0).alias("changed"), (i % 69 == 0).alias("rising"))))
+    labels = F.transform(every(19), lambda i: F.struct(i.alias("after"), F.when(i % 2 == 0, "、").otherwise("」").alias("mark"), (i % 10 / 10).alias("confidence")))
+    return turns.select("conv_id", "turn", bare.alias("text"), proposal.alias("proposal"), spoken.alias("spoken"), labels.alias("labels"))
+
+
+@query()
+def language_punctuation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns punctuated as Chinese and as Japanese from proposals, pauses and labels."""
+    cases = punctuation_cases(table(spark, sf_dir, "conversations"))
+    told = cases.select("conv_id", "turn", punctuation.chinese(F.col("text"), F.col("proposal"), F.col("spoken")).alias("zh"), punctuation.japanese(F.col("text"), F.col("proposal"), F.col("spoken"), F.col("labels")).alias("ja"))
+    return told.select("conv_id", "turn", F.col("zh.text").alias("chinese"), F.col("zh.source").alias("chinese_source"), F.col("ja.text").alias("japanese"), F.col("ja.source").alias("japanese_source"))
