@@ -16,6 +16,8 @@ from chronoloom.operators.lineage import cut
 SAME_TEXT, SAME_TIME = 0.88, 0.15
 #: Similarity and lead from which a voice is a known speaker, and weights of voice and adjacency.
 KNOWN, LEAD, VOICE, NEXT = 0.72, 0.05, 0.82, 0.10
+#: Width of the timeline's slices.
+SLICE = 86_400
 
 
 def similarity(a: str, b: str) -> float:
@@ -36,7 +38,8 @@ def drop_window_duplicates(df: DataFrame, key: str) -> DataFrame:
     """Segments (key, window, start, end, text, score) without those that a neighbouring window repeats.
 
     In order of start, a segment is compared with the kept ones that still overlap it; of two that are the same, the one with the better
-    (score, text length, earlier window) stays. A recording's segments meet in one task: it is some hours long at most.
+    (score, text length, earlier window) stays. Only segments that overlap, directly or by others between them, are compared, so each such run is
+    a group of its own; a recording is spread over many tasks.
     """
     schema = ", ".join(f"{c} {t}" for c, t in df.select(key, "window", "start", "end", "text", "score").dtypes)
 
@@ -56,7 +59,11 @@ def drop_window_duplicates(df: DataFrame, key: str) -> DataFrame:
                 kept.append(row)
         return pd.DataFrame([tuple(r) for r in kept], columns=[key, "window", "start", "end", "text", "score"])
 
-    return df.select(key, "window", "start", "end", "text", "score").groupBy(key).applyInPandas(run, schema)
+    order, part = ["start", "window", "end", "text", "score"], F.floor(F.col("start") / SLICE)
+    seen = neighbours.with_running_max(df.select(key, "window", "start", "end", "text", "score"), [key], order, "end", part, "reach__", before=True)
+    fresh = cut(seen.withColumn("fresh__", (F.col("reach__").isNull() | (F.col("start") >= F.col("reach__"))).cast("long")))  # read twice
+    runs = neighbours.with_running_sum(fresh, [key], order, "fresh__", part, "run__")
+    return runs.drop("reach__", "fresh__").groupBy(key, "run__").applyInPandas(lambda pdf: run(pdf.drop(columns="run__")), schema)
 
 
 def overlap_links(before: DataFrame, after: DataFrame, keys: list[str], *, alike: float = 0.82, shared: float = 0.15, bucket: int = 86_400) -> DataFrame:

@@ -101,6 +101,19 @@ def window_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stitching.drop_window_duplicates(seen, "conv_id").groupBy("conv_id").agg(F.count("*").alias("segments"), F.sum(F.length("text")).alias("chars"))
 
 
+@query(
+    """SELECT conv_id, sum(CASE WHEN length(text) < 4 THEN 2 ELSE 1 END)::BIGINT AS segments, sum(length(text) + 1 + CASE WHEN length(text) < 4 THEN length(text) ELSE 0 END)::BIGINT AS chars
+    FROM (SELECT DISTINCT conv_id, turn, text FROM conversations WHERE text IS NOT NULL) GROUP BY conv_id"""
+)
+def window_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns in two windows, the second of which heard a letter more: texts of four letters are alike enough to be one, and the longer reading stays."""
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text").filter("text is not null")
+    copies = F.array(F.struct(F.col("turn").alias("window"), F.col("text").alias("said")), F.struct((F.col("turn") + 1).alias("window"), F.concat("text", F.lit("!")).alias("said")))
+    twice = turns.withColumn("copy", F.explode(copies)).select("conv_id", "turn", "copy.window", F.col("copy.said").alias("text"))
+    seen = twice.select("conv_id", "window", (F.col("turn") * 1000).alias("start"), (F.col("turn") * 1000 + 900).alias("end"), "text", F.lit(0.5).alias("score"))
+    return stitching.drop_window_duplicates(seen, "conv_id").groupBy("conv_id").agg(F.count("*").alias("segments"), F.sum(F.length("text")).alias("chars"))
+
+
 @query(
     SPANS
     + """ SELECT user_id, event_id, s, e, max(value) OVER (PARTITION BY user_id ORDER BY s, event_id ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS recent_peak,
