@@ -41,7 +41,7 @@ def export_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     """WITH i AS (SELECT event_type AS run_id, event_id, value, user_id FROM events), k AS (SELECT run_id, row_number() OVER (ORDER BY run_id) AS no FROM (SELECT DISTINCT run_id FROM i))
-    SELECT run_id, CASE WHEN no = 1 THEN 'failed' ELSE 'completed' END AS status, CASE WHEN no = 1 THEN 'out_of_memory' END AS error_code, CASE WHEN no > 1 THEN count(*) END AS items, CASE WHEN no > 1 THEN round(avg(value), 6) END AS value_mean,
+    SELECT run_id, CASE WHEN no = 1 THEN 'failed' ELSE 'completed' END AS status, CASE WHEN no = 1 THEN 'out_of_memory' END AS error_code, CASE WHEN no > 1 THEN count(*) ELSE 0 END AS items, CASE WHEN no > 1 THEN round(avg(value), 6) END AS value_mean,
     CASE WHEN no > 1 THEN round(avg(value * 2) FILTER (WHERE user_id % 2 = 0), 6) END AS even_mean, CASE WHEN no > 1 THEN count(DISTINCT user_id) ELSE 0 END AS models FROM i JOIN k USING (run_id) GROUP BY run_id, no"""
 )
 def persisted_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,4 +60,4 @@ def persisted_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
         store.complete(kind, "v1", {"hardware": "cpu"}, own.select(F.col("event_id").cast("string").alias("item_id"), F.col("user_id").cast("string").alias("model_id"), F.lit("r1").alias("model_revision"), text("event_id").alias("gold"), text("user_id").alias("prediction"), metrics.alias("metrics")))
     models = store.items().groupBy("run_id").agg(F.count_distinct("model_id").alias("models"))
     told = store.runs().join(models, "run_id", "left")
-    return told.select("run_id", "status", "error_code", "items", F.round(F.col("metrics")["value"], 6).alias("value_mean"), F.round(F.col("metrics")["even"], 6).alias("even_mean"), F.coalesce("models", F.lit(0).cast("long")).alias("models"))
+    return told.select("run_id", "status", "error_code", F.coalesce("items", F.lit(0).cast("long")).alias("items"), F.round(F.col("metrics")["value"], 6).alias("value_mean"), F.round(F.col("metrics")["even"], 6).alias("even_mean"), F.coalesce("models", F.lit(0).cast("long")).alias("models"))
