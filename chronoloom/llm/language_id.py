@@ -17,8 +17,6 @@ from chronoloom.llm.text_arrays import chunks, utf8
 
 #: Hash buckets of the byte 1- to 4-grams, and about how many documents of each language are learned from.
 BUCKETS, PER_LANGUAGE = 4096, 800
-#: Most languages that are learned, the most frequent ones; they bound the machines, each of 16 KB, that the driver gets and sends out.
-MOST_LANGUAGES = 64
 #: Penalty of a margin violation, and passes of the solver over the sample.
 PENALTY, PASSES = 1.0, 20
 #: Families of close languages. Fixed values; any other language is a family of its own.
@@ -134,17 +132,17 @@ def held_out(key: str = "doc_id") -> Column:
     return F.crc32(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary")) % 5 == 0
 
 
-def fit_languages(docs: DataFrame, *, per_language: int = PER_LANGUAGE, most_languages: int = MOST_LANGUAGES, key: str = "doc_id", text: str = "text", lang: str = "lang") -> LanguageModel:
+def fit_languages(docs: DataFrame, *, per_language: int = PER_LANGUAGE, key: str = "doc_id", text: str = "text", lang: str = "lang") -> LanguageModel:
     """Learn from about per_language documents of each language, taken by hash from those not held out.
 
     Each machine is trained in a task of its own, which gets the sampled feature vectors of its two classes; a family gives as
-    many documents as a language does. Only counts per language and the machines come to the driver; most_languages bounds
-    both. Rows without a language or a letter are left out; none at all gives an empty model. Rows that repeat are learned each.
+    many documents as a language does. Only counts per language and the machines, of 16 KB each, come to the driver: one for each two families
+    and for each two languages of a family. All languages are learned. Rows without a language or a letter are left out; none at all gives an empty model. Rows that repeat are learned each.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
     known = docs.filter(F.col(lang).isNotNull() & F.col(text).isNotNull() & ~held_out(key)).filter(F.col(text).rlike(r"\p{L}"))
-    counts = known.groupBy(F.col(lang).alias("lang")).count().orderBy(F.desc("count"), "lang").limit(most_languages).collect()
+    counts = known.groupBy(F.col(lang).alias("lang")).count().collect()
     languages = sorted(r["lang"] for r in counts)
     if not languages:
         return LanguageModel((), ())
