@@ -6,7 +6,7 @@ from difflib import SequenceMatcher
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chronoloom.operators import neighbours
@@ -96,6 +96,13 @@ def boundary_overlap(left: list[str], right: list[str]) -> int:
     return next((n for n in range(min(len(left), len(right)), 0, -1) if low[0][-n:] == low[1][:n]), 0)
 
 
+def suffix_overlap(left: Column, right: Column, most: int = 64) -> Column:
+    """Like boundary_overlap, of array columns and up to `most` tokens."""
+    low, high = (F.transform(x, lambda t: F.lower(t)) for x in (left, right))
+    sizes = F.sequence(F.lit(0), F.least(F.size(left), F.size(right), F.lit(most)))
+    return F.array_max(F.filter(sizes, lambda n: F.slice(low, F.size(left) - n + 1, n) == F.slice(high, F.lit(1), n)))
+
+
 def track_speakers(df: DataFrame, key: str) -> DataFrame:
     """(key, window, label, speaker, score): local labels of each window as speakers of the whole recording.
 
