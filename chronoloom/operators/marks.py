@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import regex
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from chronoloom.operators.repetition import computed_once
 
+#: A letter with the marks and blanks that follow it, and a mark.
+UNIT, MARK = regex.compile(r"[^\p{P}\p{Z}\t-\r][\p{P}\p{Z}\t-\r]*"), regex.compile(r"\p{P}")
 #: Pauses in milliseconds from which a comma or a full stop is due. Fixed values.
 COMMA_PAUSE, STOP_PAUSE = 250, 700
 
@@ -31,3 +34,18 @@ def with_marks(text: Column, mark: Column) -> Column:
         return F.concat(F.array_join(F.zip_with(parts, due, lambda p, m: F.concat(p, F.coalesce(m, F.lit("")))), ""), tail)
 
     return F.when(F.size(units) == 0, text).otherwise(computed_once(units, put))
+
+
+def head_and_units(text: str) -> tuple[str, list[str]]:
+    """What stands before the first letter, and each letter with what follows it."""
+    units = UNIT.findall(text)
+    return text[: len(text) - sum(map(len, units))], units
+
+
+def put(text: str, due: dict[int, str]) -> str:
+    """The text with marks put in after so many letters, 0 being before the first; where marks stand already they stay."""
+    head, units = head_and_units(text)
+    out = [head if MARK.search(head) else due.get(0, "") + head]
+    for n, u in enumerate(units, 1):
+        out.append(u if MARK.search(u) else u[0] + due.get(n, "") + u[1:])
+    return "".join(out)

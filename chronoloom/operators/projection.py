@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator, Sequence
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chronoloom.functions import normal
 from chronoloom.operators import neighbours
-from chronoloom.operators.marks import with_marks
+from chronoloom.operators.lineage import cut
+from chronoloom.operators.marks import MARK as MARKS
+from chronoloom.operators.marks import head_and_units, put
 from chronoloom.operators.repetition import computed_once
 
 #: What is neither mark nor blank, and what is.
@@ -33,6 +38,28 @@ def _folded(text: Column) -> Column:
     return F.when(F.length(wide) == F.length(text), wide).otherwise(text)
 
 
+def certain_marks(reading: str, source: str, target: str, owners: Sequence, candidate: object) -> Iterator[tuple[int, str]]:
+    """(place in the target, mark) of a reading's marks whose place is certain, between letters that are the reading's own."""
+    head, units = head_and_units(reading)
+    for at, run in enumerate([head, *(u[1:] for u in units)]):
+        mark = "".join(MARKS.findall(run))
+        if not mark:
+            continue
+        place = at
+        if source != target:
+            left = source[max(0, at - SIDE) : at]
+            anchor = left + source[at : at + SIDE]
+            if len(anchor) < LEAST or source.count(anchor) != 1 or target.count(anchor) != 1:
+                continue
+            found = target.find(anchor)
+            if (not at and found) or (at == len(source) and found + len(anchor) != len(target)):
+                continue
+            place = found + len(left)
+        beside = owners[max(0, place - 1) : place + 1]
+        if len(beside) and all(o == candidate for o in beside):
+            yield place, mark
+
+
 def native_marks(texts: DataFrame, readings: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, restored, sources): the marks of readings put into the texts whose letters were taken from them.
 
@@ -48,36 +75,29 @@ def native_marks(texts: DataFrame, readings: DataFrame, keys: list[str]) -> Data
     s, t, owners = F.col("source__"), F.col("target__"), F.col("owners")
     whole = (F.size(owners) > 0) & (F.col("plain__") == F.col("own__")) & F.forall(owners, lambda o: o == F.col("candidate"))
 
-    def mapped(b: Column) -> Column:
-        at = b["at"]
-        left = F.substring(s, F.greatest(at - SIDE, F.lit(0)) + 1, F.least(at, F.lit(SIDE)))
-        anchor = F.concat(left, F.substring(s, at + 1, F.lit(SIDE)))
-        once = lambda x: F.length(x) - F.length(F.replace(x, anchor, F.lit(""))) == F.length(anchor)
-        found = F.position(anchor, t) - 1
-        ends = ((at > 0) | (found == 0)) & ((at < F.length(s)) | (found + F.length(anchor) == F.length(t)))
-        place = F.when((F.length(anchor) >= LEAST) & once(s) & once(t) & ends, found + F.length(left))
-        return F.struct(F.when(s == t, at).otherwise(place).alias("at"), b["mark"].alias("mark"))
-
-    def beside(b: Column) -> Column:
-        first = F.greatest(b["at"], F.lit(1))
-        own = F.slice(owners, first, F.least(F.size(owners), b["at"] + 1) - first + 1)
-        return b["at"].isNotNull() & F.when(F.size(owners) > 0, F.forall(own, lambda o: o == F.col("candidate"))).otherwise(False)
-
-    adopted = computed_once(F.transform(boundaries(F.col("reading")), mapped), lambda bs: F.filter(bs, beside))
-    told = met.select(*keys, "candidate", "rank", "reading", F.coalesce(whole, F.lit(False)).alias("whole"), F.size(boundaries(F.col("reading"))).alias("all"), adopted.alias("adopted"))
+    @F.pandas_udf("array<struct<at:int,mark:string>>")
+    def adopted(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
+        for columns in batches:
+            yield pd.Series([[{"at": at, "mark": mark} for at, mark in certain_marks(*row)] for row in zip(*columns, strict=True)], dtype=object)
+
+    told = met.select(*keys, "candidate", "rank", F.when(whole, F.col("reading")).alias("reading"), F.coalesce(whole, F.lit(False)).alias("whole"), F.size(boundaries(F.col("reading"))).alias("all"), adopted("reading", s, t, "owners", "candidate").alias("adopted"))
+    told = cut(told)  # read several times
     exact = told.filter("whole").groupBy(*keys).agg(F.min_by(F.struct("reading", "candidate", "all"), F.struct("rank", "candidate")).alias("exact"))
     each = told.select(*keys, "candidate", "rank", F.posexplode("adopted").alias("no", "b")).select(*keys, "candidate", "rank", "no", "b.at", "b.mark")
     first = each.groupBy(*keys, "at").agg(F.min_by("mark", F.struct("rank", "candidate", "no")).alias("mark"))
-    marks = first.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("at", "mark"))).alias("marks"))
+    marks = first.groupBy(*keys).agg(F.collect_list(F.struct("at", "mark")).alias("marks"))
     counts = each.groupBy(*keys, "candidate").agg(F.count("*").alias("boundaries")).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("candidate", "boundaries"))).alias("sources"))
     out = texts.select(*keys, "text").join(exact, keys, "left").join(marks, keys, "left").join(counts, keys, "left")
-    due = F.transform(F.sequence(F.lit(1), F.greatest(F.length("text"), F.lit(1))), lambda i: F.try_element_at("marks", i))
-    head = F.when(~F.regexp_like(F.regexp_extract("text", rf"\A{MARK}*", 0), F.lit(r"\p{P}")), F.try_element_at("marks", F.lit(0)))
-    restored = F.when(F.col("marks").isNull(), F.col("text")).otherwise(F.concat(F.coalesce(head, F.lit("")), with_marks(F.col("text"), due)))
+
+    @F.pandas_udf("string")
+    def restored(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for texts, found in batches:
+            yield pd.Series([t if t is None or m is None else put(t, {int(x["at"]): x["mark"] for x in m}) for t, m in zip(texts, found, strict=True)], dtype=object)
+
     one = F.array(F.struct(F.col("exact.candidate").alias("candidate"), F.col("exact.all").cast("long").alias("boundaries")))
     none = F.array().cast("array<struct<candidate:" + readings.schema["candidate"].dataType.simpleString() + ",boundaries:bigint>>")
     sources = F.when(F.col("exact").isNotNull(), one).otherwise(F.coalesce("sources", none))
-    return out.select(*keys, F.coalesce("exact.reading", restored).alias("restored"), sources.alias("sources"))
+    return out.select(*keys, F.coalesce("exact.reading", restored("text", "marks")).alias("restored"), sources.alias("sources"))
 
 
 def column_spans(columns: DataFrame, keys: list[str], order: str, desired: str, *, start: str = "start", end: str = "end", width: int = 1000) -> DataFrame:
@@ -90,17 +110,19 @@ def column_spans(columns: DataFrame, keys: list[str], order: str, desired: str,
     part = F.floor(F.col(order) / width)
     marked = neighbours.with_running_sum(columns.withColumn("one__", F.lit(1).cast("long")), keys, [order], "one__", part, "no__")
     total = columns.groupBy(*keys).agg(F.count("*").alias("all__")).select(*(F.col(k).alias(f"{k}__of") for k in keys), "all__")
-    known = marked.join(total, neighbours.same(keys, marked, total)).select(*marked.columns, "all__", (F.col("no__") - 1).alias("i__"))
+    # each step reads what is before it twice, so lineage is cut between them
+    known = cut(marked.join(total, neighbours.same(keys, marked, total)).select(*marked.columns, "all__", (F.col("no__") - 1).alias("i__")))
     length = F.col(end) - F.col(start)
     even = F.col(start) + F.floor(length * F.col("no__") / (F.col("all__") + 1))
     inside = F.greatest(F.col(start) + F.col("i__"), F.least(F.coalesce(F.col(desired), even), F.col(end) - (F.col("all__") - F.col("i__"))))
     # c(i) = max(c(i - 1) + 1, inside(i)) is i + the running maximum of inside(i) - i
-    placed = neighbours.with_running_max(known.withColumn("ahead__", inside - F.col("i__")), keys, [order], "ahead__", part, "most__").withColumn("centre__", F.col("most__") + F.col("i__"))
+    placed = cut(neighbours.with_running_max(known.withColumn("ahead__", inside - F.col("i__")), keys, [order], "ahead__", part, "most__").withColumn("centre__", F.col("most__") + F.col("i__")))
     seen = neighbours.with_neighbours(placed, keys, [order], ["centre__"], part)
     middle = F.floor((F.col("before.centre__") + F.col("centre__")) / 2)
     bound = F.when(F.col("i__") == 0, F.col(start)).otherwise(F.least(middle, F.col(end) - (F.col("all__") - F.col("i__"))))
-    cut = neighbours.with_running_max(seen.withColumn("bound__", bound - F.col("i__")).drop("before", "after"), keys, [order], "bound__", part, "reach__").withColumn("from__", F.col("reach__") + F.col("i__"))
-    last = neighbours.with_neighbours(cut, keys, [order], ["from__"], part)
+    bounded = cut(seen.withColumn("bound__", bound - F.col("i__")).drop("before", "after"))
+    begun = cut(neighbours.with_running_max(bounded, keys, [order], "bound__", part, "reach__").withColumn("from__", F.col("reach__") + F.col("i__")))
+    last = neighbours.with_neighbours(begun, keys, [order], ["from__"], part)
     fits = length >= F.col("all__")
     return last.select(*columns.columns, F.when(fits, F.col("from__")).cast("long").alias("column_start"), F.when(fits, F.coalesce("after.from__", F.col(end))).cast("long").alias("column_end"))
 
@@ -135,7 +157,7 @@ def subdivided(tokens: Column, language: Column, *, most: int = 18) -> Column:
     A token shorter than its pieces stays whole.
     """
 
-    def cut(token: Column) -> Column:
+    def pieces_of(token: Column) -> Column:
         words = F.regexp_extract_all(token["text"], F.lit(r"\S+\s*"), F.lit(0))
         characters = F.filter(F.split(token["text"], ""), lambda c: c != "")
         pieces = F.when(language == "en", words).otherwise(characters)
@@ -145,4 +167,4 @@ def subdivided(tokens: Column, language: Column, *, most: int = 18) -> Column:
         parts = F.transform(pieces, lambda p, i: F.struct(p.alias("text"), at(i).alias("start"), at(i + 1).alias("end")))
         return F.when(many & (length >= n), parts).otherwise(F.array(F.struct(token["text"].alias("text"), token["start"].alias("start"), token["end"].alias("end"))))
 
-    return F.flatten(F.transform(tokens, cut))
+    return F.flatten(F.transform(tokens, pieces_of))

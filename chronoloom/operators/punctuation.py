@@ -5,29 +5,16 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-import regex
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from chronoloom.operators.marks import acoustic_mark
+from chronoloom.operators.marks import MARK, acoustic_mark, head_and_units, put as put_marks
 from chronoloom.operators.projection import letters
 
 #: Marks of a Chinese text that has its own, marks that a Japanese text takes over, and pairs that are balanced there. Fixed values.
 CHINESE, JAPANESE, PAIRS = "，。！？、；：", "、。？！", {"「": "」", "（": "）", "(": ")"}
 #: Largest share of changed letters of a Japanese proposal, least confidence of a label, most marks a letter. Fixed values.
 DIVERGED, SURE, DENSE = 0.25, 0.7, 0.35
-#: A letter with what follows it, and a mark.
-UNIT, MARK = regex.compile(r"[^\p{P}\p{Z}\s][\p{P}\p{Z}\s]*"), regex.compile(r"\p{P}")
-
-
-def _put(text: str, due: dict[int, str]) -> str:
-    """The text with marks put in after so many letters, 0 being before the first; where marks stand already they stay."""
-    units = UNIT.findall(text)
-    head = text[: len(text) - sum(map(len, units))]
-    out = [head if MARK.search(head) else due.get(0, "") + head]
-    for n, u in enumerate(units, 1):
-        out.append(u if MARK.search(u) else u[0] + due.get(n, "") + u[1:])
-    return "".join(out)
 
 
 def _balanced(text: str) -> str:
@@ -46,18 +33,18 @@ def _balanced(text: str) -> str:
 
 def _moved(proposal: str, n: int) -> dict[int, str]:
     """A proposal's marks at the same share of the way through n letters; of several for one place the last."""
-    units = UNIT.findall(proposal)
-    runs = [proposal[: len(proposal) - sum(map(len, units))], *(u[1:] for u in units)]
+    head, units = head_and_units(proposal)
+    runs = [head, *(u[1:] for u in units)]
     return {min(n, round(i * n / len(units))): found[-1] for i, run in enumerate(runs) if units and (found := [c for c in run if c in JAPANESE])}
 
 
 def _japanese(text: str, proposal: str | None, heard: dict[int, str], tagged: dict[int, str]) -> tuple[str, str]:
-    n = len(UNIT.findall(text))
+    n = len(head_and_units(text)[1])
     moved = _moved(proposal, n) if proposal else {}
     due = {**heard, **moved} or tagged
-    put = _balanced(_put(text, due))
+    put = _balanced(put_marks(text, due))
     if len(MARK.findall(put)) > DENSE * max(1, n):
-        return _balanced(_put(text, heard)), "acoustic fallback" if heard else "fallback"
+        return _balanced(put_marks(text, heard)), "acoustic fallback" if heard else "fallback"
     parts = {"native": any(c in JAPANESE for c in text), "projection": moved, "acoustic": heard, "tagger": not heard and not moved and tagged}
     return put, "+".join(k for k, v in parts.items() if v) or "fallback"
 
@@ -88,7 +75,7 @@ def chinese(text: Column, proposal: Column, spoken: Column) -> Column:
     @F.pandas_udf("string")
     def put(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         for texts, due in batches:
-            yield pd.Series([None if t is None else _put(t, _entries(d)) for t, d in zip(texts, due, strict=True)], dtype=object)
+            yield pd.Series([None if t is None else put_marks(t, _entries(d)) for t, d in zip(texts, due, strict=True)], dtype=object)
 
     told = F.struct(put(F.when(own | ~fits, text).otherwise(proposal), heard).alias("text"), F.concat(source, F.when(F.size(heard) > 0, "+acoustic").otherwise("")).alias("source"))
     return F.when(_blank(text), F.struct(text.alias("text"), F.lit("empty").alias("source"))).when(text.isNotNull(), told)

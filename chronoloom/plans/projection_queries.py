@@ -40,8 +40,8 @@ def native_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
     changed = turns.select("conv_id", "turn", F.when(F.col("turn") % 3 == 0, bare).otherwise(F.replace(bare, F.lit("on"), F.lit("oon"))).alias("text"))
     size = F.length(projection.letters(F.col("text")))
     mixed = ~((F.col("turn") % 5 == 0) | (size <= 60))
-    owner = F.transform(F.sequence(F.lit(1), F.greatest(size, F.lit(1))), lambda i: F.when(mixed & ((i - 1) % 50 >= 45), 2).otherwise(1))
-    texts = changed.withColumn("owners", F.slice(owner, F.lit(1), size))
+    shared = F.transform(F.sequence(F.lit(0), size - 1), lambda i: F.when(i % 50 >= 45, 2).otherwise(1))  # nothing of the text in the lambda, which runs once a letter
+    texts = changed.withColumn("owners", F.when(mixed, shared).otherwise(F.array_repeat(F.lit(1), size)))
     readings = turns.select("conv_id", "turn", F.explode(F.array(F.struct(F.lit(1).alias("candidate"), F.col("text").alias("reading")), F.struct(F.lit(2).alias("candidate"), F.replace("text", F.lit(","), F.lit(";")).alias("reading")))).alias("r"))
     told = projection.native_marks(texts, readings.select("conv_id", "turn", "r.candidate", F.col("r.candidate").alias("rank"), "r.reading"), ["conv_id", "turn"])
     return told.select("conv_id", "turn", F.md5("restored").alias("restored"), F.aggregate("sources", F.lit(0).cast("long"), lambda a, x: a + x["boundaries"]).alias("boundaries"))
