@@ -3,6 +3,8 @@ import subprocess
 import sys
 from pathlib import Path
 
+from chronoloom.llm import queries
+
 ROOT = Path(__file__).resolve().parents[2]
 SCRIPT = """
 import sys, tempfile
@@ -29,4 +31,4 @@ def test_each_query_runs_alone_in_a_new_session(tmp_path):
     done = subprocess.run([sys.executable, "run.py", str(ROOT)], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=900)
     rows = [line.split() for line in done.stdout.splitlines() if line.startswith("rows of")]
     assert done.returncode == 0, done.stderr[-2000:]
-    assert len(rows) == 10 and all(int(r[3]) > 0 for r in rows)
+    assert len(rows) == len(queries.QUERIES) and all(int(r[3]) > 0 for r in rows)
