@@ -1,8 +1,10 @@
 import math
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -116,3 +118,53 @@ def test_hard_rows(spark, hard, none):
     assert tx.with_toxicity(none, model).count() == 0
     empty = tx.fit_toxicity(none, labels.limit(0))
     assert {r["score"] for r in tx.with_toxicity(hard, empty).collect()} == {0.5}
+
+
+def test_events_that_share_a_slot_are_all_kept(spark):
+    """Words whose events meet in a slot of the table count in full, the rarer ones too."""
+    rng = random.Random(5)
+    words = sorted({"".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=8)) for _ in range(3000)})
+    padded = {w: tx.BEFORE * tx.CONTEXT + w + tx.AFTER for w in words}
+    events = [(w, p[i : i + tx.CONTEXT], p[i + tx.CONTEXT]) for w, p in padded.items() for i in range(len(w) + 1)]
+    slots = tx.mix(tx.event_numbers([c for _, c, _ in events], [x for *_, x in events])) >> np.uint64(64 - 21)
+    by_slot = defaultdict(dict)
+    for (w, c, x), slot in zip(events, slots.tolist(), strict=True):
+        by_slot[slot].setdefault((c, x), w)
+    met = [list(x.values()) for x in by_slot.values() if len(x) > 1][:30]
+    assert len(met) == 30
+    texts = [" ".join(w[0] for w in met), " ".join(w[1] for w in met)]
+    rows = spark.range(60).select(F.col("id").alias("doc_id"), tx.held_out("id").alias("held"), (tx.unit_hash(F.col("id"), "toxicity") >= tx.SHARE).alias("counted")).collect()
+    docs = spark.createDataFrame([(r["doc_id"], texts[r["doc_id"] % 2]) for r in rows], "doc_id long, text string")
+    labels = docs.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("toxic"))
+    model = tx.fit_toxicity(docs, labels)
+    ratios = plain_ratios([(w, r["doc_id"] % 2 == 1) for r in rows if not r["held"] and r["counted"] for w in texts[r["doc_id"] % 2].split()])
+    each = spark.createDataFrame([(w,) for pair in met for w in pair], "text string")
+    for r in tx.with_mean(each, model.table, "mean", "text").collect():
+        assert math.isclose(r["mean"], plain_mean(r["text"], ratios), abs_tol=1e-5), r
+
+
+@pytest.mark.parametrize(("slots", "beside"), [(2, 0), (16, 9), (64, 1 << 20)])
+def test_means_do_not_depend_on_the_room(spark, learned, slots, beside):
+    whole = spark.sparkContext.broadcast(tx.fill_table(learned))
+    table = spark.sparkContext.broadcast(tx.fill_table(learned, slots, beside))
+    rest = tx.left_out(learned, table)
+    assert len(table.value.tags) == slots and len(table.value.beside) <= beside
+    placed = len({*table.value.tags[table.value.tags > 0].tolist(), *table.value.beside.tolist()})
+    assert placed + rest.count() == learned.count() and table.value.whole == (rest.count() == 0) == (beside > 9)
+    texts = [*TOXIC, *PLAIN, *TOXIC, " \n", "blocky blockheads blocky", "x", "head" * 5000, "ein Wort 中文 ÉTÉ", "block " * 3000]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, text string")
+    want = {r["i"]: r["mean"] for r in tx.with_mean(docs, whole, "mean", "text").collect()}
+    rows = tx.with_mean(docs, table, "mean", "text", rest)
+    assert rows.columns == ["i", "text", "mean"] and {r["i"]: r["mean"] for r in rows.collect()} == want and rows.count() == len(texts)
+    if not table.value.whole:
+        with pytest.raises(ValueError, match="rest"):
+            tx.with_mean(docs, table, "mean", "text")
+
+
+def test_scores_do_not_depend_on_the_room(spark, small, hard, none):
+    docs, labels = (spark.read.parquet(f"{small}/{t}.parquet") for t in ("documents", "labels"))
+    one, other = tx.fit_toxicity(docs, labels), tx.fit_toxicity(docs, labels, slots=1 << 10, beside=1 << 9)
+    assert one.rest is None and other.rest.count() > 0 and (one.cut, one.slope) == (other.cut, other.slope)
+    for rows in (docs, hard, none):
+        a, b = (Counter((r["doc_id"], r["text"], r["score"], r["predicted"]) for r in tx.with_toxicity(rows, m).collect()) for m in (one, other))
+        assert a == b and sum(a.values()) == rows.count()
