@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import islice
 
-import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,6 +19,11 @@ WORD, TRUSTED = r"[\p{L}\p{N}_]", 0.75
 READING, SUPPORT = 0.2, 0.8
 #: Most forms that are broadcast; more are joined by a shuffle.
 BROADCAST = 100_000
+#: What is known of an alias, in this order, and what is told of each that was met.
+FORM = ["alias", "low", "anywhere", "rank", "canonical", "term_language", "source"]
+DIFF = {"start": "int", "end": "int", "before": "string", "after": "string", "rule": "string", "source": "string"}
+#: Texts that a task searches at once.
+TEXTS = 200
 
 
 def folded(text: Column) -> Column:
@@ -41,83 +47,93 @@ def supported(terms: DataFrame, evidence: DataFrame) -> DataFrame:
     return met.filter(trusted & (F.coalesce(emitted, F.lit(False)) | F.coalesce(heard, F.lit(False)))).select(*terms.columns)
 
 
-def _places(texts: DataFrame, keys: list[str], column: str, pattern: str, lead: int, size: int) -> DataFrame:
-    """(keys, language, unit, at, before, after): each match of a pattern in a column, its place from 0, the `lead` + 1 letters before it and the `size` + 1 from it on."""
+def candidates(texts: DataFrame, terms: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, forms): the aliases that the texts (keys, plain, text, language) may hold, as they share a unit with the text.
 
-    @F.arrow_udf("array<struct<unit:string,at:int,before:string,after:string>>")
-    def find(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for batch in batches:
-            found = [[(m[0], m.start(), x[max(0, m.start() - lead - 1) : m.start()], x[m.start() : m.start() + size + 1]) for m in re.finditer(pattern, x, re.S)] for x in batch.to_pylist()]
-            starts = pa.array(np.concatenate(([0], np.cumsum([len(x) for x in found], dtype=np.int64))).astype(np.int32))
-            columns = list(zip(*(m for x in found for m in x), strict=True)) or [(), (), (), ()]
-            fields = [pa.array(columns[0], pa.string()), pa.array(columns[1], pa.int32()), pa.array(columns[2], pa.string()), pa.array(columns[3], pa.string())]
-            yield pa.ListArray.from_arrays(starts, pa.StructArray.from_arrays(fields, ["unit", "at", "before", "after"]))
-
-    return texts.select(*keys, "language", F.explode(find(F.col(column))).alias("u")).select(*keys, "language", "u.*")
-
-
-def matches(texts: DataFrame, terms: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, start, end, rank, canonical, alias, term_language, source) of every alias in the texts (keys, text, language), places from 0.
-
-    An alias that begins with an ASCII letter or digit, and any alias in an English text, is met as a whole word in any case; another one as it is written
-    anywhere. A term of another language than the text's isn't met. Matches of one alias don't overlap, the leftmost first. Whole words are
-    found by their first run of letters, others by their first character, so texts meet only aliases that share one with them.
+    Units are the text's distinct runs of letters, for aliases that are met as whole words, or else its distinct characters; an alias is filed under
+    its first one. A term of another language than the text's is none of them. Nothing of a text but its units goes through the join.
     """
-    plain = texts.filter("text != ''").select(*keys, "language", "text", folded(F.col("text")).alias("plain"))
-    forms = terms.select("rank", "canonical", F.col("language").alias("term_language"), "source", F.explode("aliases").alias("alias")).filter("alias != ''").distinct()
-    forms = cut(forms.withColumns({"low": folded(F.col("alias")), "size": F.length("alias")}))
-    run = F.regexp_extract("low", rf"{WORD}+", 0)
-    filed = forms.withColumns({"unit": run, "lead": F.position(run, F.col("low")) - 1, "anywhere": ~F.col("alias").rlike(r"\A[A-Za-z0-9]")})
-    hint = F.broadcast if filed.limit(BROADCAST + 1).count() <= BROADCAST else lambda df: df
-    lead, size, loose = filed.agg(F.coalesce(F.max("lead"), F.lit(0)), F.coalesce(F.max("size"), F.lit(0)), F.count_if("anywhere")).first()
+    forms = terms.filter("canonical is not null").select("rank", "canonical", F.col("language").alias("term_language"), F.col("source").cast("string").alias("source"), F.explode("aliases").alias("alias")).filter("alias != ''").distinct()
+    forms = cut(forms.withColumns({"low": folded(F.col("alias")), "anywhere": ~F.col("alias").rlike(r"\A[A-Za-z0-9]")}))
+    count, loose = forms.agg(F.count("*"), F.count_if("anywhere")).first()
+    hint = F.broadcast if count <= BROADCAST else lambda df: df
     fits = F.col("term_language").isNull() | (F.col("term_language") == F.col("language"))
-    letter = lambda c: F.regexp_like(c, F.lit(WORD))
-    out = ["start", "rank", "canonical", "alias", "term_language", "source", "size"]
-
-    def met(units: DataFrame, files: DataFrame, form: str, whole: bool) -> DataFrame:
-        """The files whose form stands around a unit of theirs; whole: with no letter on either side."""
-        joined = units.join(hint(files), "unit").filter(fits & (F.length("before") >= F.col("lead")))
-        spread = F.concat(F.right("before", F.col("lead")), "after")
-        held = F.substring(spread, F.lit(1), F.col("size")) == F.col(form)
-        if whole:
-            left = F.substring("before", F.length("before") - F.col("lead"), F.when(F.length("before") > F.col("lead"), 1).otherwise(0))
-            held = held & ~letter(left) & ~letter(F.substring(spread, F.col("size") + 1, F.lit(1)))
-        return joined.filter(held).withColumn("start", F.col("at") - F.col("lead")).select(*keys, *out)
-
-    words = met(_places(plain, keys, "plain", r"\w+", lead, size), filed.filter("unit != '' AND NOT anywhere"), "low", True)
-    found = words
+    english, run = F.col("language").eqNullSafe("en"), F.regexp_extract("low", rf"{WORD}+", 0)
+
+    def met(units: Column, first: Column, kinds: Column) -> DataFrame:
+        asked = texts.select(*keys, "language", F.explode(F.array_distinct(units)).alias("unit"))
+        return asked.join(hint(forms.withColumns({"unit": first, "run": run})), "unit").filter(fits & kinds).select(*keys, F.struct(*FORM).alias("form"))
+
+    found = met(F.regexp_extract_all("plain", F.lit(rf"{WORD}+"), F.lit(0)), F.when(run != "", run), ~F.col("anywhere") | english)
     if loose:
-        english = plain.filter("language <=> 'en'")
-        first = filed.filter("anywhere").withColumns({"unit": F.substring("alias", 1, 1), "lead": F.lit(0)})
-        found = words.unionByName(met(_places(english, keys, "plain", r"\w+", lead, size), filed.filter("unit != '' AND anywhere"), "low", True))
-        found = found.unionByName(met(_places(english, keys, "text", ".", 0, size), first.join(filed.filter("unit = ''").select("rank", "alias"), ["rank", "alias"], "left_semi"), "alias", True))
-        found = found.unionByName(met(_places(plain.filter("NOT language <=> 'en'"), keys, "text", ".", 0, size), first, "alias", False))
-    out.remove("start")
-    begin = F.struct(F.lit(0).alias("end"), F.array().cast("array<int>").alias("out"))
-    apart = lambda s, at: F.when(at >= s["end"], F.struct((at + F.col("size")).alias("end"), F.array_append(s["out"], at).alias("out"))).otherwise(s)
-    each = found.groupBy(*keys, *out).agg(F.array_sort(F.collect_set("start")).alias("starts"))
-    told = each.withColumn("start", F.explode(F.aggregate("starts", begin, apart, lambda s: s["out"])))
-    return told.select(*keys, "start", (F.col("start") + F.col("size")).alias("end"), "rank", "canonical", "alias", "term_language", "source")
+        found = found.unionByName(met(F.split("text", ""), F.when(F.col("anywhere"), F.substring("alias", 1, 1)), ~english | (F.col("run") == "")))
+    return found.groupBy(*keys).agg(F.collect_list("form").alias("forms"))
+
+
+def places(plain: str, text: str, english: bool, forms: list[tuple]) -> Iterator[tuple[int, int, tuple]]:
+    """(start, end, form) of every form in a text; places of a form don't overlap, the leftmost first. plain is the folded text, as long as the text."""
+    words: dict[str, list] = {}
+    first: dict[str, list] = {}
+    for form in forms:
+        alias, low, anywhere = form[:3]
+        run = re.search(r"\w+", low)
+        if run and (english or not anywhere):
+            words.setdefault(run[0], []).append((low, run.start(), plain, True, form))
+        else:
+            first.setdefault(alias[0], []).append((alias, 0, text, english, form))
+    reached = dict.fromkeys(forms, 0)
+    letter = re.compile(r"\w").match
+    starts = re.finditer(f"[{''.join(map(re.escape, first))}]", text) if first else ()
+    for files, units in ((words, re.finditer(r"\w+", plain) if words else ()), (first, starts)):
+        for unit in units:
+            for written, lead, inside, whole, form in files.get(unit[0], ()):
+                start = unit.start() - lead
+                end = start + len(written)
+                if start >= reached[form] and inside.startswith(written, start) and not (whole and (start and letter(inside, start - 1) or letter(inside, end))):
+                    reached[form] = end
+                    yield start, end, form
+
+
+def chosen(plain: str, text: str, language: str | None, forms: list[tuple]) -> tuple[str, list[tuple]]:
+    """A text with terms put for what is chosen of the forms' places, and what was put where."""
+    known = lambda x: (x is not None, x)
+    rule = lambda canonical, own: f"course-term:{(language or '') if own is None else own}:{canonical}"
+    found = [(start, start - end, known(form[3]), form[0], form[4], rule(form[4], form[5]), known(form[6]), end) for start, end, form in places(plain, text, language == "en", forms)]
+    parts, diffs, at = [], [], 0
+    for start, _, _, alias, canonical, told, source, end in sorted(found):
+        if start >= at:
+            parts += [text[at:start], canonical]
+            diffs.append((start, end, alias, canonical, told, source[1]))
+            at = end
+    return "".join([*parts, text[at:]]), diffs
 
 
 def corrected(texts: DataFrame, terms: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, corrected, diffs): texts (keys, text, language) with terms put for aliases, and what was put where.
 
-    terms: (rank, canonical, aliases, language, source), those that are supported. Of matches the leftmost is taken, of these the longest, of these the first by
-    rank; they don't overlap. diffs: array of (start, end, before, after, rule, source) in order, before being the alias. A null text stays null, one
-    without matches as it is; both have no diffs. Keys are unique.
+    terms: (rank, canonical, aliases, language, source), those that are supported. An alias that begins with an ASCII letter or digit, and any alias in an
+    English text, is met as a whole word in any case; another one as it is written anywhere. A term of another language than the text's isn't met, nor is
+    one without a name. Matches of one alias don't overlap, the leftmost first. Of matches the leftmost is taken, of these the longest, of these the first by
+    rank; they don't overlap. diffs: array of (start, end, before, after, rule, source) in order, places from 0, before being the alias. A null text stays
+    null, one without matches as it is; both have no diffs. Keys are unique.
+
+    A text meets its candidates once and is searched in a task, a few texts at a time, so what a task holds doesn't grow with the number of its words.
     """
-    rule = F.concat(F.lit("course-term:"), F.coalesce("term_language", "language", F.lit("")), F.lit(":"), F.col("canonical"))
-    language = texts.select(*keys, "language")
-    item = F.struct("start", (-(F.col("end") - F.col("start"))).alias("less"), "rank", "alias", "end", "canonical", rule.alias("rule"), "source")
-    kinds = "array<struct<start:int,end:int,before:string,after:string,rule:string,source:string>>"
-    sorted_all = matches(texts, terms, keys).join(language, keys).groupBy(*keys).agg(F.array_sort(F.collect_list(item)).alias("all"))
-    begin = F.struct(F.lit(0).alias("end"), F.array().cast(kinds).alias("out"))
-    diff = lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"), m["alias"].alias("before"), m["canonical"].alias("after"), m["rule"].alias("rule"), m["source"].cast("string").alias("source"))
-    take = lambda s, m: F.when(m["start"] >= s["end"], F.struct(m["end"].alias("end"), F.array_append(s["out"], diff(m)).alias("out"))).otherwise(s)
-    chosen = sorted_all.select(*keys, F.aggregate("all", begin, take, lambda s: s["out"]).alias("diffs"))
-    joined = texts.select(*keys, "text").join(chosen, keys, "left").withColumn("diffs", F.coalesce("diffs", F.array().cast(kinds)))
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    put = lambda s, d: F.struct(d["end"].alias("at"), F.concat(s["out"], F.substring("text", s["at"] + 1, d["start"] - s["at"]), d["after"]).alias("out"))
-    whole = F.aggregate("diffs", start, put, lambda s: F.concat(s["out"], F.substring(F.col("text"), s["at"] + 1, F.length("text"))))
-    return joined.select(*keys, F.when(F.size("diffs") == 0, F.col("text")).otherwise(whole).alias("corrected"), "diffs")
+    some = texts.filter("text != ''").select(*keys, folded(F.col("text")).alias("plain"), "text", "language")
+    plain = F.when(F.col("forms").isNotNull(), folded(F.col("text"))).alias("plain")
+    joined = texts.join(candidates(some, terms, keys), keys, "left").select(*keys, "text", plain, "language", "forms")
+    out = ", ".join([*(f"`{k}` {t}" for k, t in texts.select(*keys).dtypes), "corrected string", f"diffs array<struct<{','.join(f'`{n}`:{t}' for n, t in DIFF.items())}>>"])
+
+    def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = pa.list_(pa.struct([(n, pa.int32() if t == "int" else pa.string()) for n, t in DIFF.items()]))
+        for whole in batches:
+            for begin in range(0, whole.num_rows, TEXTS):
+                batch = whole.slice(begin, TEXTS)
+                text, plain, language, forms = (batch.column(c) for c in ("text", "plain", "language", "forms"))
+                each = iter(zip(*(x.to_pylist() for x in forms.flatten().flatten()), strict=True))
+                sizes = [n or 0 for n in pc.list_value_length(forms).to_pylist()]
+                rows = [chosen(p, t, g, list(islice(each, n))) if n else (t, []) for t, p, g, n in zip(text.to_pylist(), plain.to_pylist(), language.to_pylist(), sizes, strict=True)]
+                told = [pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], kind)]
+                yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keys), *told], [*keys, "corrected", "diffs"])
+
+    return joined.mapInArrow(put, out)
